@@ -21,7 +21,7 @@ from logquarry.operators.stitch import parse_lines
 from logquarry.plans import event_logs as E
 from logquarry.plans import incidents, metrics
 from logquarry.schema import LOG_SCHEMA, ROW_ID
-from logquarry.session import scratch_path
+from logquarry.session import scratch_path, spread
 from logquarry.sources.store import LogStore
 from logquarry.sources.tables import read_table_file
 from logquarry.sources.text_logs import read_logs
@@ -39,22 +39,31 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for work on whole texts, which is worth spreading when the table is small."""
+    return spread(_table(spark, sf, name))
+
+
 def _logs(spark: SparkSession, sf: str) -> DataFrame:
     return E.logs_from_events(spark, _table(spark, sf, "events"))
 
 
+def _log_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return E.logs_from_events(spark, _texts(spark, sf, "events"))
+
+
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
-    return E.questions_from_events(spark, _table(spark, sf, "events"))
+    return E.questions_from_events(spark, _texts(spark, sf, "events"))
 
 
 def _statements(spark: SparkSession, sf: str) -> DataFrame:
-    return E.statements_from_events(spark, _table(spark, sf, "events"))
+    return E.statements_from_events(spark, _texts(spark, sf, "events"))
 
 
 def _log_files(spark: SparkSession, sf: str) -> str:
     """The log as text files whose names and lines are in event order."""
     path = scratch_path(spark, "log-text")
-    logs = _logs(spark, sf)
+    logs = _log_texts(spark, sf)
     logs.repartitionByRange(4, ROW_ID).sortWithinPartitions(ROW_ID).select(C.render_line()).write.text(path)
     return path
 
@@ -72,12 +81,12 @@ def _store(spark: SparkSession, sf: str) -> LogStore:
 
 def error_rate_by_app(spark, sf):
     """Raw lines to records to a rate, end to end."""
-    rows = E.text_rows(_logs(spark, sf))
+    rows = E.text_rows(_log_texts(spark, sf))
     return metrics.error_rate_by_app(parse_lines(rows, file="app", seq="seq"))
 
 
 def log_parse(spark, sf):
-    return parse_lines(E.text_rows(_logs(spark, sf)), file="app", seq="seq")
+    return parse_lines(E.text_rows(_log_texts(spark, sf)), file="app", seq="seq")
 
 
 def log_file_parse(spark, sf):
@@ -90,7 +99,7 @@ def log_file_row_ids(spark, sf):
 
 def log_lines_single(spark, sf):
     """Each row a log of its own; only the first record of it has a header."""
-    rows = _logs(spark, sf).select(C.render_line().alias("value"))
+    rows = _log_texts(spark, sf).select(C.render_line().alias("value"))
     return parse_lines(rows).groupBy("app", "level").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("message")).alias("chars")
     )
@@ -157,7 +166,7 @@ def delete_whole_day(spark, sf):
 def _seeded(spark, sf):
     """The log with broken records: an unknown level, a lost app, and a bad time or line as text."""
     eid = F.col(ROW_ID)
-    return _logs(spark, sf).select(
+    return _log_texts(spark, sf).select(
         ROW_ID,
         F.when(eid % 97 == 0, "2024-13-45 00:00:00").otherwise(F.col("timestamp").cast("string")).alias("timestamp"),
         F.when(eid % 11 == 0, "CRITICAL").otherwise(F.col("level")).alias("level"),
@@ -194,7 +203,7 @@ def filter_raw_then_scrub(spark, sf):
 
 def group_raw_then_scrub(spark, sf):
     return S.run_query(
-        spark, "SELECT message, count(*) AS n FROM {logs} GROUP BY message", logs=_logs(spark, sf)
+        spark, "SELECT message, count(*) AS n FROM {logs} GROUP BY message", logs=_log_texts(spark, sf)
     )
 
 
@@ -228,19 +237,19 @@ def table_samples(spark, sf):
 
 
 def scrub_documents(spark, sf):
-    return scrub(_table(spark, sf, "documents"))
+    return scrub(_texts(spark, sf, "documents"))
 
 
 def scrub_pages(spark, sf):
-    return scrub(_table(spark, sf, "pages"))
+    return scrub(_texts(spark, sf, "pages"))
 
 
 def scrub_conversations(spark, sf):
-    return scrub(_table(spark, sf, "conversations"))
+    return scrub(_texts(spark, sf, "conversations"))
 
 
 def scrub_target_columns(spark, sf):
-    logs = _logs(spark, sf).withColumn("copy", F.col("message"))
+    logs = _log_texts(spark, sf).withColumn("copy", F.col("message"))
     return scrub(logs, ["message"])
 
 
@@ -251,11 +260,11 @@ def scrub_tokens(spark, sf):
         F.lit("auth eyJ"), digest, F.lit("."), F.reverse(digest), F.lit("."), F.substring(digest, 5, 9),
         F.lit(" then Authorization: Bearer \""), digest, F.lit("\" for doc "), F.col("doc_id").cast("string"),
     )
-    return _table(spark, sf, "documents").select("doc_id", scrub_text(text).alias("line"))
+    return _texts(spark, sf, "documents").select("doc_id", scrub_text(text).alias("line"))
 
 
 def scrub_nested(spark, sf):
-    logs = _logs(spark, sf).select(
+    logs = _log_texts(spark, sf).select(
         ROW_ID, F.struct("app", F.split("message", "\n").alias("lines")).alias("record")
     )
     deep = scrub(logs, deep=True)
@@ -264,19 +273,19 @@ def scrub_nested(spark, sf):
 
 def redaction_audit(spark, sf):
     """Matches per kind and app, and how many records hold any."""
-    counted = _logs(spark, sf).select("app", redaction_counts(F.col("message")).alias("c"))
+    counted = _log_texts(spark, sf).select("app", redaction_counts(F.col("message")).alias("c"))
     return counted.groupBy("app").agg(
         *[F.sum(f"c.{k}").alias(k) for k in ("jwt", "api_key", "email", "ip")]
     )
 
 
 def tracebacks(spark, sf):
-    return scrub(D.extract_tracebacks(_logs(spark, sf), "message", [ROW_ID]))
+    return scrub(D.extract_tracebacks(_log_texts(spark, sf), "message", [ROW_ID]))
 
 
 def _payloads(spark, sf):
     """Two copies of a message with a blank line between, so that a text holds two traces."""
-    return _logs(spark, sf).select(
+    return _log_texts(spark, sf).select(
         ROW_ID, F.concat("message", F.lit("\n\n"), "message", F.lit("\nlast line")).alias("payload")
     )
 
@@ -300,7 +309,7 @@ def failure_text(spark, sf):
 
 def document_failure_lines(spark, sf):
     """Failure extracts of whole documents, as sizes."""
-    docs = _table(spark, sf, "documents")
+    docs = _texts(spark, sf, "documents")
     return docs.select(
         "doc_id",
         X.failure_kind(F.col("text")).alias("kind"),
@@ -309,11 +318,11 @@ def document_failure_lines(spark, sf):
 
 
 def exception_profile(spark, sf):
-    return D.exception_profile(D.exceptions(_logs(spark, sf)))
+    return D.exception_profile(D.exceptions(_log_texts(spark, sf)))
 
 
 def top_exceptions(spark, sf):
-    return D.top_exceptions(D.exceptions(_logs(spark, sf)))
+    return D.top_exceptions(D.exceptions(_log_texts(spark, sf)))
 
 
 def recent_failures(spark, sf):
@@ -321,19 +330,19 @@ def recent_failures(spark, sf):
 
 
 def context_sample(spark, sf):
-    logs = _logs(spark, sf).withColumn("line", C.render_line())
+    logs = _log_texts(spark, sf).withColumn("line", C.render_line())
     return scrub(C.sample_context(logs, ["app"], ["timestamp", ROW_ID]))
 
 
 def context_payload(spark, sf):
-    lines = C.log_lines(_logs(spark, sf), ["app", "source_file"])
+    lines = C.log_lines(_log_texts(spark, sf), ["app", "source_file"])
     sample = C.sample_context(lines, ["app", "source_file"], ["timestamp", ROW_ID, "pos"])
     return C.context_payload(sample, ["app", "source_file"])
 
 
 def sample_text(spark, sf):
     """Every whole document cut by the one-text form."""
-    docs = _table(spark, sf, "documents")
+    docs = _texts(spark, sf, "documents")
     return docs.select("doc_id", sampling_text.sample_text(F.col("text"), 10).alias("sample"))
 
 
@@ -343,7 +352,7 @@ def route_questions(spark, sf):
 
 
 def route_conversations(spark, sf):
-    routed = Q.classify(_table(spark, sf, "conversations"), "text")
+    routed = Q.classify(_texts(spark, sf, "conversations"), "text")
     return routed.select("conv_id", "turn", F.array_join("routes", "+").alias("routes"))
 
 
@@ -357,7 +366,7 @@ def route_fanout(spark, sf):
 
 
 def diagnosis(spark, sf):
-    return D.diagnose(_logs(spark, sf))
+    return D.diagnose(_log_texts(spark, sf))
 
 
 def _rejects(spark, sf):
@@ -367,7 +376,7 @@ def _rejects(spark, sf):
 
 
 def incident_report(spark, sf):
-    return incidents.incident_reports(_questions(spark, sf), _logs(spark, sf), _rejects(spark, sf))
+    return incidents.incident_reports(_questions(spark, sf), _log_texts(spark, sf), _rejects(spark, sf))
 
 
 def _on_tables(statement: str, *names: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logquarry.functions import patterns as P
+from logquarry.functions.expressions import once
 
 NO_STRINGS = "array<string>"
 
@@ -16,6 +17,10 @@ def _contains_any(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
+def _has_failure_word(text: Column) -> Column:
+    return once(F.lower(text), lambda low: _contains_any(low, P.FAILURE_WORDS))
+
+
 def tracebacks(text: Column) -> Column:
     """Every traceback up to the first blank line or the end, in order.
 
@@ -25,31 +30,34 @@ def tracebacks(text: Column) -> Column:
     return F.when(text.contains(P.TRACE_HEADING), found).otherwise(F.array().cast(NO_STRINGS))
 
 
+def _failing_lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n", -1), _has_failure_word)
+
+
 def failure_lines(text: Column) -> Column:
     """Lines that contain a failure word in any case."""
-    lines = F.split(text, "\n", -1)
-    found = F.filter(lines, lambda line: _contains_any(F.lower(line), P.FAILURE_WORDS))
-    return F.when(_contains_any(F.lower(text), P.FAILURE_WORDS), found).otherwise(
-        F.array().cast(NO_STRINGS)
-    )
+    return F.when(_has_failure_word(text), _failing_lines(text)).otherwise(F.array().cast(NO_STRINGS))
 
 
 def failure_kind(text: Column) -> Column:
     """``traceback``, ``lines`` or ``none``."""
     return (
-        F.when(text.contains(P.TRACE_HEADING), "traceback")
-        .when(_contains_any(F.lower(text), P.FAILURE_WORDS), "lines")
-        .otherwise("none")
+        F.when(text.contains(P.TRACE_HEADING), "traceback").when(_has_failure_word(text), "lines").otherwise("none")
     )
 
 
 def failure_text(text: Column) -> Column:
     """The extract as one text: tracebacks, else failure lines, else a fixed sentence."""
-    kind = failure_kind(text)
     return (
         F.when(text.isNull(), None)
-        .when(kind == "traceback", F.concat(F.lit(P.TRACES_TITLE), F.array_join(tracebacks(text), "\n")))
-        .when(kind == "lines", F.concat(F.lit(P.LINES_TITLE), F.array_join(failure_lines(text), "\n")))
+        .when(
+            text.contains(P.TRACE_HEADING),
+            F.concat(F.lit(P.TRACES_TITLE), F.array_join(tracebacks(text), "\n")),
+        )
+        .when(
+            _has_failure_word(text),
+            F.concat(F.lit(P.LINES_TITLE), F.array_join(_failing_lines(text), "\n")),
+        )
         .otherwise(P.NO_FAILURE)
     )
 

@@ -24,6 +24,15 @@ def _in_order(items, text: str):
     )
 
 
+def split_to_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are not blank, each in one row, with the headers among them marked."""
+    return (
+        lines.select("file", "block", "seq", F.posexplode(L.split_lines(F.col("value"))).alias("pos", "line"))
+        .where(L.is_not_blank(F.col("line")))
+        .select("file", "block", "seq", "pos", L.mark_header(F.col("line")).alias("line"))
+    )
+
+
 def stitch(
     lines: DataFrame,
     on_bad: str = "fail",
@@ -38,11 +47,7 @@ def stitch(
     file are dropped.  `row_ids` adds a zero-based number in (file, position)
     order; `keep` may name ``file`` to keep it in the result.
     """
-    marked = (
-        lines.select("file", "block", "seq", F.posexplode(L.split_lines(F.col("value"))).alias("pos", "line"))
-        .where(L.is_not_blank(F.col("line")))
-        .select("file", "block", "seq", "pos", L.mark_header(F.col("line")).alias("line"))
-    )
+    marked = split_to_lines(lines)
     in_block = Window.partitionBy("file", "block").orderBy("seq", "pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -124,27 +129,24 @@ def parse_lines(
     text: str = "value",
     file: str | None = None,
     seq: str | None = None,
-    lines_per_block: int = 50_000,
+    block_bits: int = 16,
     on_bad: str = "fail",
     keep_file: bool = False,
 ) -> DataFrame:
     """Parse log text already held in a column, one line or many per row.
 
     `seq` is a whole number that orders the rows of one `file` (both optional:
-    without `seq` each row is a log of its own).  Rows are cut into blocks by
-    `seq`, so that one large log is spread over many tasks.
+    without `seq` each row is a log of its own).  Rows are cut into blocks of
+    ``2 ** block_bits`` by `seq`, so that one large log is spread over many tasks.  Rows
+    without a file form one log.
     """
     if seq is None:
-        source = df.select(
-            F.monotonically_increasing_id().alias("file"), F.lit(0).alias("block"), F.lit(0).alias("seq"),
-            F.col(text).alias("value"),
-        )
+        keys = F.monotonically_increasing_id(), F.lit(0), F.lit(0)
     else:
-        position = F.col(seq).cast("long")
-        source = df.select(
-            (F.col(file) if file else F.lit("")).alias("file"),
-            F.floor(position / lines_per_block).alias("block"),
-            position.alias("seq"),
-            F.col(text).alias("value"),
-        )
+        # Keys that cannot be null keep the planner from filtering one use of the
+        # lines and not the other, which would cost a second shuffle.
+        position = F.coalesce(F.col(seq).cast("long"), F.lit(-1))
+        name = F.coalesce(F.col(file).cast("string"), F.lit("")) if file else F.lit("")
+        keys = name, F.shiftright(position, block_bits), position
+    source = df.select(*[k.alias(n) for k, n in zip(keys, ("file", "block", "seq"))], F.col(text).alias("value"))
     return stitch(source, on_bad=on_bad, keep=("file",) if keep_file else ())

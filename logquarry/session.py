@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +48,18 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+# A table below this size is read by few tasks, or by one if it is a single row group.
+_SMALL_TABLE = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out to all cores, for work that costs far more than moving its rows.
+
+    A scan of up to 1 GB can end in one task while the rest of the cluster waits.  Anything
+    larger is returned as it is, and keeps the partitions of its scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= min(_SMALL_TABLE, cores * (64 << 20)) else df

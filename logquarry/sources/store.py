@@ -18,7 +18,7 @@ from logquarry.functions.redaction import scrub
 from logquarry.schema import DEFAULT_TABLE, EVENT_DATE, ROW_ID
 from logquarry.session import scratch_path
 from logquarry.sources.tables import read_table_file
-from logquarry.sources.text_logs import escape_glob, read_logs
+from logquarry.sources.text_logs import count_records, escape_glob, read_logs
 
 log = logging.getLogger(__name__)
 
@@ -100,7 +100,7 @@ class LogStore:
         literal = escape_glob(os.fspath(path))
         if mode == "ignore" and self.exists():
             log.warning("table %s exists, nothing inserted", self.table)
-            return read_logs(self.spark, literal, on_bad).count()
+            return count_records(self.spark, literal, on_bad)
         records = read_logs(self.spark, literal, on_bad, row_ids=True)
         seen = Observation()
         self.insert(records.observe(seen, F.count(F.lit(1)).alias("n")), mode, ids=False)

@@ -8,7 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.operators.stitch import stitch
+from logquarry.functions import lines as L
+from logquarry.operators.stitch import split_to_lines, stitch
 
 
 def escape_glob(path: str) -> str:
@@ -41,3 +42,15 @@ def read_logs(
 ) -> DataFrame:
     """The records of a file, a folder or a file pattern; see `stitch` for the options."""
     return stitch(read_log_lines(spark, path), on_bad=on_bad, row_ids=row_ids, keep=keep)
+
+
+def count_records(spark: SparkSession, path: str, on_bad: str = "fail") -> int:
+    """How many records `read_logs` would give.  Every header starts one, so no line is shuffled."""
+    headers = split_to_lines(read_log_lines(spark, path)).where(L.is_header(F.col("line")))
+    if on_bad == "quarantine":
+        return headers.count()
+    fields = L.header_fields(F.col("line"))
+    time = L.typed(fields["timestamp"], "timestamp_ntz", on_bad, "timestamp")
+    number = L.typed(fields["line_number"], "bigint", on_bad, "line number")
+    # Looking at the typed values makes a bad one fail here as it would in `read_logs`.
+    return headers.agg(F.count_if(time.isNotNull() & number.isNotNull())).first()[0]
