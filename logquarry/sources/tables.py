@@ -21,7 +21,8 @@ def read_table_file(spark: SparkSession, path: str, schema: T.StructType | None
     Pass a schema for large files: without one, CSV and JSON are read twice.  Whole
     numbers come as bigint, and times as timestamps without zone.  A JSON array, or a
     CSV file with line breaks inside quotes, cannot be split, so one task reads each
-    such file; use JSONL or Parquet for large inputs.
+    such file; use JSONL or Parquet for large inputs.  Their columns cannot be found out
+    if the path holds characters of a file pattern; pass a schema then.
     """
     suffix = os.path.splitext(str(path).rstrip("/"))[1].lower()
     literal = escape_glob(str(path))
@@ -35,11 +36,15 @@ def read_table_file(spark: SparkSession, path: str, schema: T.StructType | None
             return (spark.read.schema(schema) if schema else spark.read).parquet(literal)
         reader = spark.read.schema(schema) if schema else spark.read
         if suffix == ".csv":
-            found = reader.option("escape", '"').csv(
-                literal, header=True, inferSchema=schema is None, multiLine=_breaks_in_quotes(spark, literal)
-            )
+            whole = _breaks_in_quotes(spark, literal)
+        else:
+            whole = suffix == ".json" and _is_array(spark, literal)
+        if whole and schema is None and literal != str(path):
+            raise ValueError(f"pass a schema to read {path}: its name holds pattern characters")
+        if suffix == ".csv":
+            found = reader.option("escape", '"').csv(literal, header=True, inferSchema=schema is None, multiLine=whole)
         else:
-            found = reader.json(literal, multiLine=suffix == ".json" and _is_array(spark, literal))
+            found = reader.json(literal, multiLine=whole)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"Log file not found: {path}") from error

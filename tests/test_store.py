@@ -150,7 +150,7 @@ def test_row_ids_are_contiguous_in_row_order(spark):
 
 
 def test_formats(spark, tmp_path, sample):
-    folder = tmp_path / "o'brien {x}"
+    folder = tmp_path / "o'brien x"
     folder.mkdir()
     pdf = sample.toPandas()
     pdf.loc[0, "message"] = 'a "quoted", text\nover lines'
@@ -173,6 +173,15 @@ def test_formats(spark, tmp_path, sample):
             assert first["message"] == 'a "quoted", text\nover lines', name
             assert str(first["timestamp"])[:19] == "2026-08-04 10:00:00", name
 
+    odd = folder / "a[1]{b}"
+    odd.mkdir()
+    (odd / "lines.jsonl").write_text(json.dumps(records[1]))
+    (odd / "array.json").write_text(json.dumps(records, indent=1))
+    assert read_table_file(spark, str(odd / "lines.jsonl")).count() == 1
+    with pytest.raises(ValueError, match="pass a schema"):
+        read_table_file(spark, str(odd / "array.json"))
+    assert read_table_file(spark, str(odd / "array.json"), sample.schema).count() == 3
+
 
 def test_validation(spark):
     df = spark.createDataFrame(
