@@ -11,6 +11,7 @@ from logquarry.functions import patterns as P
 from logquarry.functions import sampling as sampling_text
 from logquarry.functions import traces as X
 from logquarry.functions.redaction import redaction_counts, scrub, scrub_text
+from logquarry.operators import access
 from logquarry.operators import classify as Q
 from logquarry.operators import diagnostics as D
 from logquarry.operators import profile as G
@@ -25,6 +26,7 @@ from logquarry.session import scratch_path, spread
 from logquarry.sources.store import LogStore
 from logquarry.sources.tables import read_table_file
 from logquarry.sources.text_logs import read_logs
+from logquarry.streaming import tail
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 DAY = "2024-01-15"
@@ -379,6 +381,64 @@ def incident_report(spark, sf):
     return incidents.incident_reports(_questions(spark, sf), _log_texts(spark, sf), _rejects(spark, sf))
 
 
+# -- extensions ----------------------------------------------------------------
+
+
+def telling_exceptions(spark, sf):
+    return D.telling_exceptions(D.exceptions(_log_texts(spark, sf)))
+
+
+def context_budget(spark, sf):
+    logs = _log_texts(spark, sf).withColumn("line", C.render_line())
+    kept = C.within_budget(C.sample_context(logs, ["app"], ["timestamp", ROW_ID]), ["app"], 1500)
+    return kept.select("app", "section", "pos_in_section", ROW_ID, "used")
+
+
+def recorded_query(spark, sf):
+    out, journal = scratch_path(spark, "result"), scratch_path(spark, "journal")
+    statement = "SELECT _rowid, app, message FROM {logs} WHERE level = ?"
+    S.run_recorded(spark, statement, out, journal, "sql", ("ERROR",), logs=_logs(spark, sf))
+    return spark.read.parquet(journal).select("query", "route", "row_count", "redacted")
+
+
+def alert_reports(spark, sf):
+    return incidents.alert_reports(_log_texts(spark, sf), 0.25)
+
+
+def visible_records(spark, sf):
+    logs = _logs(spark, sf)
+    grants = logs.select("app").distinct().select(
+        F.when(F.col("app").isin("app_1", "app_2"), "support").otherwise("admin").alias("role"), "app"
+    )
+    hidden = grants.where("role = 'support'").select("role", F.lit("message").alias("column_name"))
+    return access.visible_to(logs, "support", grants, hidden)
+
+
+def tailed_logs(spark, sf):
+    """The text files followed as a stream, a few files at a time."""
+    out = scratch_path(spark, "tail")
+    tail.tail_logs(
+        spark, _log_files(spark, sf), out, scratch_path(spark, "checkpoint"), files_per_batch=2
+    ).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+def streamed_error_rate(spark, sf):
+    """Windows of the record stream that can no longer change."""
+    source, out = scratch_path(spark, "tail"), scratch_path(spark, "rates")
+    files = _log_files(spark, sf)
+    tail.tail_logs(spark, files, source, scratch_path(spark, "checkpoint")).awaitTermination()
+    rates = tail.windowed_error_rate(tail.record_stream(spark, source))
+    (
+        rates.writeStream.format("parquet")
+        .option("checkpointLocation", scratch_path(spark, "checkpoint"))
+        .trigger(availableNow=True)
+        .start(out)
+        .awaitTermination()
+    )
+    return spark.read.parquet(out)
+
+
 def _on_tables(statement: str, *names: str) -> Callable[[SparkSession, str], DataFrame]:
     """A guarded statement over driver tables, the same text in both engines."""
 
@@ -496,7 +556,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         scrub_target_columns, scrub_tokens, scrub_nested, redaction_audit, tracebacks, payload_tracebacks,
         failure_lines, trace_kind, failure_text, document_failure_lines, exception_profile, top_exceptions,
         recent_failures, context_sample, context_payload, sample_text, route_questions, route_conversations,
-        route_mix, route_fanout, diagnosis, incident_report,
+        route_mix, route_fanout, diagnosis, incident_report, telling_exceptions, context_budget, recorded_query,
+        alert_reports, visible_records, tailed_logs, streamed_error_rate,
     ):
         found[f.__name__] = f
     for name, (statement, tables) in PASS_THROUGH.items():
@@ -745,6 +806,24 @@ def oracle_sql() -> dict[str, str]:
             "CASE WHEN analysis IS NULL AND result IS NULL THEN 'No results available for this question.' END, "
             "'## Warnings' || chr(10) || warnings)"
         ) + " AS report FROM parts",
+        "telling_exceptions": f"{logs}, {_EXC}, r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY "
+        "CASE level WHEN 'FATAL' THEN 0 WHEN 'ERROR' THEN 1 WHEN 'WARNING' THEN 2 WHEN 'INFO' THEN 3 WHEN 'DEBUG' THEN 4 ELSE 5 END, "
+        f"timestamp DESC, _rowid DESC) AS rank FROM exceptions) SELECT signature, rank, _rowid, timestamp, level, app, {_clean('trace')} AS trace FROM r WHERE rank <= 3",
+        "context_budget": f"{logs}, {_sampled('app', 'timestamp, _rowid', rendered)}, "
+        "u AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY app ORDER BY "
+        "CASE section WHEN 'tail' THEN 0 WHEN 'middle' THEN 1 ELSE 2 END, CASE section WHEN 'tail' THEN -pos_in_section ELSE pos_in_section END "
+        "ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM kept) SELECT app, section, pos_in_section, _rowid, used FROM u WHERE used <= 1500",
+        "recorded_query": f"{logs} SELECT 'SELECT _rowid, app, message FROM {{logs}} WHERE level = ?' AS query, 'sql' AS route, count(*) AS row_count, "
+        f"count(*) FILTER (message <> {_clean('message')}) AS redacted FROM logs WHERE level = 'ERROR'",
+        "alert_reports": f"WITH base AS ({_derived(E.LOGS_SQL)}), rates AS (SELECT app, CAST(timestamp AS DATE) AS day FROM base GROUP BY ALL "
+        "HAVING round(count(*) FILTER (level = 'ERROR') / count(*), 6) > 0.25), "
+        "logs AS (SELECT b.* REPLACE (concat(b.app, ' on ', CAST(r.day AS VARCHAR)) AS app) FROM base b JOIN rates r ON r.app = b.app AND r.day = CAST(b.timestamp AS DATE)), "
+        f"{_EXC}, {_DIAGNOSIS} SELECT app AS subject, {_clean('analysis')} AS analysis FROM diagnoses",
+        "visible_records": f"{logs} SELECT _rowid, timestamp, level, app, source_file, line_number FROM logs WHERE app IN ('app_1', 'app_2')",
+        "tailed_logs": f"{logs} SELECT {_LOG} FROM logs",
+        "streamed_error_rate": f"{logs} SELECT app, date_trunc('hour', timestamp) AS window_start, count(*) AS records, "
+        "count(*) FILTER (level = 'ERROR') AS errors, round(count(*) FILTER (level = 'ERROR') / count(*), 6) AS error_rate FROM logs "
+        "WHERE date_trunc('hour', timestamp) + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM logs) GROUP BY ALL",
         "errors_by_app": f"{logs} SELECT app, count(*) AS errors FROM logs WHERE level = 'ERROR' GROUP BY app",
         "errors_on_day": f"{logs} SELECT count(*) AS errors FROM logs WHERE level = 'ERROR' AND CAST(timestamp AS DATE) = DATE '{DAY}'",
         "top5_apps": f"{logs} SELECT app, count(*) AS errors FROM logs WHERE level = 'ERROR' GROUP BY app ORDER BY errors DESC, app LIMIT 5",

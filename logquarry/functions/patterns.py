@@ -13,10 +13,10 @@ LOG_HEADER = (
     + r"\[([A-Z]+)\]" + _GAP
     + r"(\w+)" + _GAP
     + r"\(([^:]+):(\d+)\):" + _GAP
-    + r"(.*)$"
 )
 # Everything that ends a line in a text log.
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+LINE_ENDS = ("\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
+LINE_BREAK = r"\r\n|[" + "".join(LINE_ENDS) + "]"
 NOT_BLANK = r"[^\s\x1f]"
 # The characters that stripping removes from both ends of a text.
 BLANKS = (

@@ -89,15 +89,32 @@ def recent_failures(logs: DataFrame, k: int = 20) -> DataFrame:
     return scrub(top.select("app", "rank", ROW_ID, "timestamp", "level", "source_file", "line_number", "message"))
 
 
+def severity_rank(level):
+    """Fatal first.  Levels outside the format's own come last."""
+    order = ("FATAL", "ERROR", "WARNING", "INFO", "DEBUG")
+    rank = F.lit(len(order))
+    for i, name in reversed(list(enumerate(order))):
+        rank = F.when(level == name, i).otherwise(rank)
+    return rank
+
+
+def telling_exceptions(excs: DataFrame, k: int = 3) -> DataFrame:
+    """Extension: the `k` gravest and then newest tracebacks of each signature."""
+    order = [severity_rank(F.col("level")).asc(), F.desc("timestamp"), F.desc(ROW_ID), F.asc("trace_no")]
+    top = top_k_per_group(excs, ["signature"], order, k)
+    return scrub(top.select("signature", "rank", ROW_ID, "timestamp", "level", "app", "trace"))
+
+
 def diagnose(logs: DataFrame, components: int = 5) -> DataFrame:
     """One analysis text per app: what failed, the commonest cause, and where.
 
     Only facts found in the records; advice on repair is left out.
     """
     failed = logs.where(F.col("level").isin(*FAILURE_LEVELS))
-    excs = exceptions(failed)
     totals = failed.groupBy("app").agg(F.count(F.lit(1)).alias("failures"))
-    causes = excs.groupBy("app", "exc_type", "exc_message").agg(F.count(F.lit(1)).alias("n"))
+    # Both rankings start from these counts, so the messages are read and shuffled once.
+    counts = exceptions(failed).groupBy("app", "exc_type", "exc_message", "frame").agg(F.count(F.lit(1)).alias("n"))
+    causes = counts.groupBy("app", "exc_type", "exc_message").agg(F.sum("n").alias("n"))
     cause = top_k_per_group(causes, ["app"], [F.desc("n"), F.asc("exc_type"), F.asc("exc_message")], 1).select(
         "app",
         F.concat(
@@ -105,7 +122,7 @@ def diagnose(logs: DataFrame, components: int = 5) -> DataFrame:
             F.lit(" ("), F.col("n").cast("string"), F.lit(" traces)"),
         ).alias("cause"),
     )
-    places = excs.groupBy("app", "frame").agg(F.count(F.lit(1)).alias("n"))
+    places = counts.groupBy("app", "frame").agg(F.sum("n").alias("n"))
     top_places = top_k_per_group(places, ["app"], [F.desc("n"), F.asc("frame")], components)
     where = top_places.groupBy("app").agg(
         F.array_join(

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logquarry.functions import guards
 from logquarry.functions import patterns as P
-from logquarry.functions.redaction import scrub
+from logquarry.functions.redaction import scrub, scrub_text
 from logquarry.operators.ranking import top_k_per_group
 
 
@@ -59,6 +61,32 @@ def query_text(
     return "\n".join(lines)
 
 
+def run_recorded(
+    spark: SparkSession, query: str, out: str, journal: str, route: str = "sql", params: Sequence | None = None,
+    **tables: DataFrame,
+) -> DataFrame:
+    """Extension: write a statement's redacted result to `out` and add a line to the `journal`.
+
+    The line holds the statement, its route, start, duration, row count, and how many values
+    were redacted.  Counts are taken while the result is written.
+    """
+    guards.check_query(query)
+    raw = spark.sql(query, args=list(params) if params else None, **tables)
+    started = time.time()
+    seen = Observation()
+    changed = F.lit(0)
+    for field in raw.schema:
+        if isinstance(field.dataType, T.StringType):
+            value = F.col(f"`{field.name}`")
+            changed = changed + F.when(value != scrub_text(value), 1).otherwise(0)
+    counts = [F.count(F.lit(1)).alias("row_count"), F.sum(changed.cast("long")).alias("redacted")]
+    scrub(raw.observe(seen, *counts)).write.parquet(out)
+    line = (query, route, started, time.time() - started, seen.get["row_count"], seen.get["redacted"] or 0)
+    schema = "query string, route string, started double, seconds double, row_count long, redacted long"
+    scrub(spark.createDataFrame([line], schema)).coalesce(1).write.mode("append").parquet(journal)
+    return spark.read.parquet(out)
+
+
 def audit_queries(queries: DataFrame, query: str = "query") -> DataFrame:
     """A log of statements with the guard's verdict and the forbidden token."""
     return queries.withColumn("verdict", guards.query_verdict(F.col(query))).withColumn(

@@ -26,11 +26,21 @@ def report_text(question: Column, diagnosis: Column, result: Column, warnings: C
 
 
 def warning_bullets(warnings: DataFrame) -> DataFrame:
-    """`warnings(question_id, pos, warning)` to one text of bullets per question."""
-    items = F.array_sort(F.collect_list(F.struct("pos", "warning")))
-    return warnings.groupBy("question_id").agg(
-        F.array_join(F.transform(items, lambda w: F.concat(F.lit("- "), w["warning"])), "\n").alias("warnings")
-    )
+    """`warnings(question_id, pos, warning)` to one text of bullets per question.
+
+    A report is one value and names every warning, so the warnings of a question meet in
+    one row.  They are joined in runs of positions first, so that a question with very many
+    of them is worked on by many tasks, and the last step only appends ready texts.
+    """
+    run = F.shiftright(F.col("pos").cast("long"), 10)
+    bullet = F.concat(F.lit("- "), F.col("warning"))
+    runs = warnings.groupBy("question_id", run.alias("run")).agg(_joined("pos", bullet))
+    return runs.groupBy("question_id").agg(_joined("run", F.col("warnings")))
+
+
+def _joined(order: str, text: Column) -> Column:
+    items = F.array_sort(F.collect_list(F.struct(F.col(order), text.alias("text"))))
+    return F.array_join(F.transform(items, lambda w: w["text"]), "\n").alias("warnings")
 
 
 def assemble_reports(

@@ -94,6 +94,21 @@ def sample_context(
     return chosen.select(*group, "section", "pos_in_section", "group_lines", *order, "line")
 
 
+def within_budget(sample: DataFrame, group: Sequence[str], budget: int) -> DataFrame:
+    """Extension: the rows of a sample whose text fits into `budget` characters per group.
+
+    Tail rows come first, as they are nearest to the crash, then the middle, then the head; a
+    row that does not fit ends the selection.  Meant for samples, whose groups are bounded.
+    """
+    place = F.when(F.col("section") == TAIL, 0).when(F.col("section") == MIDDLE, 1).otherwise(2)
+    nearest = F.when(F.col("section") == TAIL, -F.col("pos_in_section")).otherwise(F.col("pos_in_section"))
+    so_far = Window.partitionBy(*group).orderBy(place, nearest).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    used = sample.withColumn("used", F.sum(F.length("line") + 1).over(so_far))
+    return used.where(F.col("used") <= budget)
+
+
 def context_payload(sample: DataFrame, group: Sequence[str]) -> DataFrame:
     """The sample of each group as one redacted text."""
     rows = F.array_sort(F.collect_list(F.struct("pos_in_section", "section", "line")))

@@ -47,7 +47,9 @@ def stitch(
     file are dropped.  `row_ids` adds a zero-based number in (file, position)
     order; `keep` may name ``file`` to keep it in the result.
     """
-    marked = split_to_lines(lines)
+    # Everything below starts from this one shuffle.  What is taken from a line is worked
+    # out after it, so that each use needs the same columns and the shuffle is shared.
+    marked = split_to_lines(lines).repartition("file", "block")
     in_block = Window.partitionBy("file", "block").orderBy("seq", "pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -65,7 +67,6 @@ def stitch(
         .select("file", "block", "rec", "header", _in_order(F.col("rest"), "line").alias("rest"))
     )
 
-    # Uses the same columns as `records`, so the one shuffle serves both.
     blocks = numbered.groupBy("file", "block").agg(
         F.max("rec").alias("n"),
         F.collect_list(F.when(F.col("rec") == 0, place)).alias("lead"),

@@ -12,6 +12,7 @@ from logquarry.operators.classify import classify
 from logquarry.operators.diagnostics import diagnose
 from logquarry.operators.query import audit_queries, preview_per_group
 from logquarry.operators.report import report_text, warning_bullets
+from logquarry.plans import metrics
 
 
 def rejected_queries(statements: DataFrame) -> DataFrame:
@@ -52,3 +53,16 @@ def incident_reports(questions: DataFrame, logs: DataFrame, statements: DataFram
         F.col("warnings"),
     )
     return joined.select("question_id", text.alias("report")).withColumn("report", scrub_text(F.col("report")))
+
+
+def alert_reports(logs: DataFrame, threshold: float) -> DataFrame:
+    """Extension: a diagnosis of each app and day whose error rate passes `threshold`.
+
+    The rates are one row per app and day; joined back, they cut the log down to
+    the days in question before any message is looked at.
+    """
+    day = F.to_date("timestamp")
+    rates = metrics.error_rate_by_app(logs).where(F.col("error_rate") > threshold)
+    hot = logs.withColumn("day", day).join(rates.select("app", "day"), ["app", "day"], "left_semi")
+    named = hot.withColumn("app", F.concat("app", F.lit(" on "), F.col("day").cast("string"))).drop("day")
+    return diagnose(named).withColumnRenamed("app", "subject")
