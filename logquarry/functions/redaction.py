@@ -19,6 +19,10 @@ from logquarry.functions import patterns as P
 # address needs a dotted run of numbers.
 _DOTTED = r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"
 
+# The same e-mail pattern, told not to give characters back: none of them can be the "@" that
+# must follow, and trying costs as much again on every word.
+_EMAIL = P.java(P.EMAIL.replace("]+@", "]++@"))
+
 
 def _may_hold_secret(text: Column) -> Column:
     """False only for texts that none of the four patterns matches.
@@ -46,7 +50,7 @@ def scrub_text(text: Column) -> Column:
     """
     clean = F.regexp_replace(text, F.lit(P.java(P.JWT)), F.lit(P.JWT_MARK))
     clean = F.regexp_replace(clean, F.lit(P.java(P.API_KEY, True)), F.lit("$1" + P.API_KEY_MARK))
-    clean = F.regexp_replace(clean, F.lit(P.java(P.EMAIL)), F.lit(P.EMAIL_MARK))
+    clean = F.regexp_replace(clean, F.lit(_EMAIL), F.lit(P.EMAIL_MARK))
     clean = F.regexp_replace(clean, F.lit(P.java(P.IPV4)), F.lit(P.IPV4_MARK))
     return F.when(_may_hold_secret(text), clean).otherwise(text)
 
