@@ -13,6 +13,7 @@ from logquarry.operators.diagnostics import diagnose
 from logquarry.operators.query import audit_queries, preview_per_group
 from logquarry.operators.report import report_text, warning_bullets
 from logquarry.plans import metrics
+from logquarry.session import settle
 
 
 def rejected_queries(statements: DataFrame) -> DataFrame:
@@ -33,17 +34,17 @@ def incident_reports(questions: DataFrame, logs: DataFrame, statements: DataFram
     """One report per question about an app.
 
     `questions(question_id, app, question)`, `statements(question_id, pos, query)`.
-    A question is answered only on the branches it is routed to.  Counts and
-    diagnoses are worked out once per app and then joined; they hold one row per app, so
-    the adaptive planner broadcasts them when they are small, and splits a hot app
-    when they are not.
+    A question is answered only on the branches it is routed to.  Counts and diagnoses are
+    worked out once per app and settled as one table with a row per app.  Small, it is
+    broadcast and the questions are not shuffled for it; large, the join is by app and the
+    adaptive planner splits a hot one.
     """
     counts = logs.groupBy("app", "level").agg(F.count(F.lit(1)).alias("records"))
     tables = preview_per_group(counts, ["app"], ["level", "records"], [F.desc("records"), F.asc("level")])
+    per_app = settle(tables.select("app", "preview").join(diagnose(logs), "app", "left"), "per-app")
     joined = (
         classify(questions)
-        .join(diagnose(logs), "app", "left")
-        .join(tables.select("app", "preview"), "app", "left")
+        .join(per_app, "app", "left")
         .join(warning_bullets(rejected_queries(statements)), "question_id", "left")
     )
     text = report_text(
@@ -58,11 +59,12 @@ def incident_reports(questions: DataFrame, logs: DataFrame, statements: DataFram
 def alert_reports(logs: DataFrame, threshold: float) -> DataFrame:
     """Extension: a diagnosis of each app and day whose error rate passes `threshold`.
 
-    The rates are one row per app and day; joined back, they cut the log down to
-    the days in question before any message is looked at.
+    The rates are one row per app and day; joined back, they cut the log down to the days
+    in question before any message is looked at.
     """
     day = F.to_date("timestamp")
     rates = metrics.error_rate_by_app(logs).where(F.col("error_rate") > threshold)
-    hot = logs.withColumn("day", day).join(rates.select("app", "day"), ["app", "day"], "left_semi")
+    alerts = settle(rates.select("app", "day"), "alerts")
+    hot = logs.withColumn("day", day).join(alerts, ["app", "day"], "left_semi")
     named = hot.withColumn("app", F.concat("app", F.lit(" on "), F.col("day").cast("string"))).drop("day")
     return diagnose(named).withColumnRenamed("app", "subject")

@@ -50,6 +50,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """A small derived table written to the shared folder and read back.
+
+    The planner then knows its true size before it starts: it broadcasts the table if that is
+    under the session's limit, and does not shuffle the large side of a join first to
+    find out.  The table is also not worked out again when an executor is lost.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # A table below this size is read by few tasks, or by one if it is a single row group.
 _SMALL_TABLE = 1 << 30
 

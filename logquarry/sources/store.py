@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from logquarry.functions import guards
 from logquarry.functions.redaction import scrub
 from logquarry.schema import DEFAULT_TABLE, EVENT_DATE, ROW_ID
-from logquarry.session import scratch_path
+from logquarry.session import scratch_path, settle
 from logquarry.sources.tables import read_table_file
 from logquarry.sources.text_logs import count_records, escape_glob, read_logs
 
@@ -44,7 +44,7 @@ def with_row_ids(df: DataFrame, start: int = 0) -> DataFrame:
         .select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
     place = F.col("_row") - F.shiftleft(F.col("_part"), _ID_BITS)
-    numbered = staged.join(offsets, "_part").withColumn(ROW_ID, F.lit(start) + F.col("offset") + place)
+    numbered = staged.join(settle(offsets, "offsets"), "_part").withColumn(ROW_ID, F.lit(start) + F.col("offset") + place)
     return numbered.select(ROW_ID, *[F.col(f"`{c}`") for c in df.columns])
 
 
@@ -154,7 +154,7 @@ class LogStore:
         """
         current = self.df()
         if EVENT_DATE not in current.columns:
-            staged = self._stage(current.where(~doomed))
+            staged = settle(current.where(~doomed), "survivors")
             staged.write.insertInto(self.table, overwrite=True)
             self.spark.catalog.refreshTable(self.table)
             return
@@ -162,7 +162,7 @@ class LogStore:
         days = [r[0] for r in current.where(doomed).select(EVENT_DATE).distinct().collect()]
         if not days:
             return
-        staged = self._stage(current.where(F.col(EVENT_DATE).isin(days)).where(~doomed))
+        staged = settle(current.where(F.col(EVENT_DATE).isin(days)).where(~doomed), "survivors")
         kept = {r[0] for r in staged.select(EVENT_DATE).distinct().collect()}
         if kept:
             (
@@ -180,11 +180,6 @@ class LogStore:
                 self._remove(f"{self.path}/{EVENT_DATE}={day}")
         self.spark.catalog.refreshTable(self.table)
 
-    def _stage(self, survivors: DataFrame) -> DataFrame:
-        path = scratch_path(self.spark, "survivors")
-        survivors.write.parquet(path)
-        return self.spark.read.schema(survivors.schema).parquet(path)
-
     # -- files ---------------------------------------------------------------
 
     def _hadoop(self, path: str):
