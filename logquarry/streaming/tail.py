@@ -65,7 +65,7 @@ def windowed_error_rate(records: DataFrame, window: str = "1 hour", delay: str =
     more than `delay` past its end was seen.  Watermarks need a time with a zone; the
     session zone is taken for both directions, and UTC is the setting to use.
     """
-    timed = records.where(F.col("timestamp").isNotNull()).withColumn("at", F.col("timestamp").cast("timestamp"))
+    timed = records.where(F.col("timestamp").isNotNull()).withColumn("at", F.col("timestamp").cast("timestamp_ltz"))
     counts = (
         timed.withWatermark("at", delay)
         .groupBy("app", F.window("at", window).alias("w"))
