@@ -44,7 +44,8 @@ def read_table_file(spark: SparkSession, path: str, schema: T.StructType | None
         if suffix == ".csv":
             found = reader.option("escape", '"').csv(literal, header=True, inferSchema=schema is None, multiLine=whole)
         else:
-            found = reader.json(literal, multiLine=whole)
+            # Times are found by their look, as in CSV.
+            found = reader.option("inferTimestamp", True).json(literal, multiLine=whole)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"Log file not found: {path}") from error

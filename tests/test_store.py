@@ -168,6 +168,7 @@ def test_formats(spark, tmp_path, sample):
         found = read_table_file(spark, str(folder / name))
         assert found.count() == n, name
         assert dict(found.dtypes)["line_number"] == "bigint", name
+        assert dict(found.dtypes)["timestamp"] == ("string" if name == "a.parquet" else "timestamp_ntz"), name
         if n != 2:
             first = found.where("line_number = 10").first()
             assert first["message"] == 'a "quoted", text\nover lines', name
