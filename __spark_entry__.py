@@ -18,7 +18,7 @@ from logquarry.operators import profile as G
 from logquarry.operators import query as S
 from logquarry.operators import sampling as C
 from logquarry.operators import validate as V
-from logquarry.operators.stitch import parse_lines
+from logquarry.operators.stitch import parse_lines, parse_texts
 from logquarry.plans import event_logs as E
 from logquarry.plans import incidents, metrics
 from logquarry.schema import LOG_SCHEMA, ROW_ID
@@ -100,9 +100,9 @@ def log_file_row_ids(spark, sf):
 
 
 def log_lines_single(spark, sf):
-    """Each row a log of its own; only the first record of it has a header."""
+    """Each row a log of its own, of one record."""
     rows = _log_texts(spark, sf).select(C.render_line().alias("value"))
-    return parse_lines(rows).groupBy("app", "level").agg(
+    return parse_texts(rows, "value").groupBy("app", "level").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("message")).alias("chars")
     )
 
@@ -503,8 +503,10 @@ PASS_THROUGH = {
         ["documents", "labels"],
     ),
     "sql_window": (
-        "SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous, "
-        "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM @events",
+        "SELECT event_type, day, n, sum(n) OVER (PARTITION BY event_type ORDER BY day "
+        "ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last_three, lag(n) OVER (PARTITION BY event_type ORDER BY day) AS previous, "
+        "rank() OVER (PARTITION BY event_type ORDER BY n DESC) AS place FROM "
+        "(SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM @events GROUP BY event_type, CAST(ts AS DATE))",
         ["events"],
     ),
     "sql_set_operations": (

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.functions import lines as L
+from logquarry.functions.expressions import once
 from logquarry.schema import LOG_COLUMNS, ROW_ID
 
 
@@ -93,22 +94,20 @@ def stitch(
     if row_ids:
         out = out.join(_block_offsets(blocks), ["file", "block"])
 
-    fields = L.header_fields(F.col("header"))
-    message = F.concat_ws(
-        "\n", fields["message"], F.col("rest"), F.when(F.col("rec") == F.col("c_rec"), F.col("carry"))
-    )
-    columns = {
-        "timestamp": L.typed(fields["timestamp"], "timestamp_ntz", on_bad, "timestamp"),
-        "level": fields["level"],
-        "app": fields["app"],
-        "source_file": fields["source_file"],
-        "line_number": L.typed(fields["line_number"], "bigint", on_bad, "line number"),
-        "message": message,
-    }
+    carry = F.when(F.col("rec") == F.col("c_rec"), F.col("carry"))
     chosen = [F.col(c) for c in keep]
     if row_ids:
         chosen.append((F.col("offset") + F.col("rec") - 1).alias(ROW_ID))
-    return out.select(*chosen, *[columns[c].alias(c) for c in LOG_COLUMNS])
+    return out.select(*chosen, *_log_fields(on_bad, F.col("rest"), carry))
+
+
+def _log_fields(on_bad: str, *more_text) -> list:
+    """The six log columns of a row with a marked `header`; `more_text` continues the message."""
+    fields = L.header_fields(F.col("header"))
+    fields["timestamp"] = L.typed(fields["timestamp"], "timestamp_ntz", on_bad, "timestamp")
+    fields["line_number"] = L.typed(fields["line_number"], "bigint", on_bad, "line number")
+    fields["message"] = F.concat_ws("\n", fields["message"], *more_text)
+    return [fields[c].alias(c) for c in LOG_COLUMNS]
 
 
 def _block_offsets(blocks: DataFrame) -> DataFrame:
@@ -125,29 +124,55 @@ def _block_offsets(blocks: DataFrame) -> DataFrame:
     )
 
 
+def parse_texts(df: DataFrame, text: str, on_bad: str = "fail", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parse a column whose every value is a log of its own.  Nothing is shuffled.
+
+    `keep` names columns to repeat on each record.
+    """
+
+    def records(lines):
+        starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: L.is_header(F.element_at(lines, i)))
+
+        def cut(starts):
+            def record(start, k):
+                end = F.coalesce(F.get(starts, k + 1), F.size(lines) + 1)
+                more = F.slice(lines, start + 1, end - start - 1)
+                return F.struct(
+                    F.element_at(lines, start).alias("header"),
+                    F.when(F.size(more) > 0, F.array_join(more, "\n")).alias("rest"),
+                )
+
+            return F.transform(starts, record)
+
+        # A sequence from 1 to 0 would count down.
+        return F.when(F.size(lines) > 0, once(starts, cut))
+
+    lines = F.transform(F.filter(L.split_lines(F.col(text)), L.is_not_blank), L.mark_header)
+    found = df.select(*keep, F.explode(once(lines, records)).alias("r")).select(*keep, "r.*")
+    return found.select(*keep, *_log_fields(on_bad, F.col("rest")))
+
+
 def parse_lines(
     df: DataFrame,
+    seq: str,
     text: str = "value",
     file: str | None = None,
-    seq: str | None = None,
     block_bits: int = 16,
     on_bad: str = "fail",
     keep_file: bool = False,
 ) -> DataFrame:
-    """Parse log text already held in a column, one line or many per row.
+    """Parse logs whose lines are spread over rows, one line or many per row.
 
-    `seq` is a whole number that orders the rows of one `file` (both optional:
-    without `seq` each row is a log of its own).  Rows are cut into blocks of
+    `seq` is a whole number that orders the rows of one `file`.  Rows are cut into blocks of
     ``2 ** block_bits`` by `seq`, so that one large log is spread over many tasks.  Rows
     without a file form one log.
     """
-    if seq is None:
-        keys = F.monotonically_increasing_id(), F.lit(0), F.lit(0)
-    else:
-        # Keys that cannot be null keep the planner from filtering one use of the
-        # lines and not the other, which would cost a second shuffle.
-        position = F.coalesce(F.col(seq).cast("long"), F.lit(-1))
-        name = F.coalesce(F.col(file).cast("string"), F.lit("")) if file else F.lit("")
-        keys = name, F.shiftright(position, block_bits), position
-    source = df.select(*[k.alias(n) for k, n in zip(keys, ("file", "block", "seq"))], F.col(text).alias("value"))
+    # Keys that cannot be null keep the planner from filtering one use of the lines and
+    # not the other, which would cost a second shuffle.
+    position = F.coalesce(F.col(seq).cast("long"), F.lit(-1))
+    name = F.coalesce(F.col(file).cast("string"), F.lit("")) if file else F.lit("")
+    source = df.select(
+        name.alias("file"), F.shiftright(position, block_bits).alias("block"), position.alias("seq"),
+        F.col(text).alias("value"),
+    )
     return stitch(source, on_bad=on_bad, keep=("file",) if keep_file else ())

@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from logquarry.functions import lines as L
-from logquarry.operators.stitch import parse_lines
+from logquarry.operators.stitch import parse_lines, parse_texts
 from logquarry.schema import LOG_COLUMNS
 from logquarry.sources.text_logs import count_records, escape_glob, read_logs
 
@@ -16,7 +16,7 @@ HEAD = "2026-08-03 16:01:47 [ERROR] sleep_app (main.py:76): Pipeline failed: boo
 
 def parse(spark, text, **options):
     df = spark.createDataFrame([(text,)], "value string")
-    return rows(parse_lines(df, **options), *LOG_COLUMNS)
+    return rows(parse_texts(df, "value", **options), *LOG_COLUMNS)
 
 
 def test_continuation_lines_join_the_record(spark):
@@ -28,8 +28,11 @@ def test_continuation_lines_join_the_record(spark):
 
 
 def test_schema_of_an_empty_result(spark):
-    df = parse_lines(spark.createDataFrame([("no header here\n\n",)], "value string"))
+    lines = spark.createDataFrame([("no header here\n\n", 1), (None, 2), ("", 3)], "value string, i int")
+    df = parse_lines(lines, seq="i")
     assert df.count() == 0
+    assert parse_texts(lines, "value").schema.simpleString() == df.schema.simpleString()
+    assert parse_texts(lines, "value").count() == 0
     assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [
         ("timestamp", "timestamp_ntz"), ("level", "string"), ("app", "string"),
         ("source_file", "string"), ("line_number", "bigint"), ("message", "string"),
@@ -65,9 +68,16 @@ def test_adversarial_lines_agree_with_python(spark):
     found = rows(parse_lines(df, file="f", seq="i", keep_file=True))
     for i, text in enumerate(texts):
         assert sorted(r[1:] for r in found if r[0] == str(i)) == sorted(plain.parse(text)), text
+    alone = parse_texts(df, "value", keep=("f",))
+    assert sorted(rows(alone)) == sorted(found)
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
 
 
 def test_bad_values_fail_or_are_kept_apart(spark):
+    lines = spark.createDataFrame([(HEAD.replace("08-03", "13-45"), 0)], "value string, i int")
+    with pytest.raises(Exception, match="bad timestamp in log header"):
+        parse_lines(lines, seq="i").collect()
+    assert rows(parse_lines(lines, seq="i", on_bad="quarantine"), "timestamp") == [(None,)]
     for bad in (HEAD.replace("08-03", "13-45"), HEAD.replace(":76)", ":" + "9" * 30 + ")")):
         with pytest.raises(Exception, match="bad (timestamp|line number) in log header"):
             parse(spark, bad)
