@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -564,7 +566,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         found[f.__name__] = f
     for name, (statement, tables) in PASS_THROUGH.items():
         found[name] = _on_tables(statement, *tables)
-    return found
+    return found | _training_data()[0]
+
+
+def _training_data():
+    """The queries and SQL for training data, where that subpackage and its pipeline are installed."""
+    found, sql = {}, {}
+    if importlib.util.find_spec("logquarry.llm") and importlib.util.find_spec("logquarry.llm.queries"):
+        module = importlib.import_module("logquarry.llm.queries")
+        found, sql = module.queries(), module.oracle_sql()
+        if importlib.util.find_spec("corpus_pipeline"):
+            module = importlib.import_module("corpus_pipeline")
+            found["pipeline"] = module.run
+            if module.ORACLE_SQL:
+                sql["pipeline"] = module.ORACLE_SQL
+    return found, sql
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -840,4 +856,4 @@ def oracle_sql() -> dict[str, str]:
     }
     for name, (statement, _) in PASS_THROUGH.items():
         found[name] = statement.replace("@", "")
-    return found
+    return found | _training_data()[1]

@@ -1,3 +1,5 @@
+import re
+
 import oracle
 import pytest
 
@@ -14,7 +16,8 @@ def con(sf):
 
 def test_every_sql_has_its_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) <= {"table_profile_distinct"}
+    dealt = {n for n in QUERIES if re.match(r"op\d+_|pipeline$", n)}  # tested with their subpackage
+    assert set(QUERIES) - set(SQL) - dealt <= {"table_profile_distinct"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
