@@ -6,8 +6,11 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, licenses
+import public_tokenizers
+
+from . import bpe, chat, decontaminate, licenses, shards, simhash
 from .common import table
 
 
@@ -26,8 +29,42 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document held against the benchmark; see ``decontaminate.decontaminate``."""
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
+
+
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards; see ``shards.assign_shards``."""
+    return shards.assign_shards(table(spark, sf_dir, "documents"), 40)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; see ``simhash.near_duplicates``."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Every document encoded and decoded, as digests."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    decoded = bpe.decode(bpe.encode(docs, path), path)
+    return decoded.select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded; see ``bpe``."""
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_chat_format)}
+    return {f.__name__: f for f in (
+        op1_license_scan, op2_chat_format, op3_decontaminate, op4_shards, op6_simhash, op7_bpe,
+    )}
 
 
 def _text(s: str) -> str:
@@ -56,5 +93,40 @@ def _op2_sql() -> str:
         FROM sized GROUP BY conv_id"""
 
 
+def _words_sql(text: str) -> str:
+    """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of a text with A-Z lower-cased, as a list."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{upper}', '{lower}'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+def _op3_sql() -> str:
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words_sql("text")} AS w FROM documents),
+        b AS (SELECT item_id, {_words_sql("text")} AS w FROM benchmark),
+        cut AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+        windows AS (
+            SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS win
+            FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM cut)
+        ),
+        sizes AS (SELECT DISTINCT n FROM cut),
+        grams AS (
+            SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS win
+            FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
+        ),
+        found AS (SELECT r, item_id, i, n FROM grams JOIN windows USING (n, win)),
+        hits AS (
+            SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM found) GROUP BY r
+        ),
+        listed AS (
+            SELECT r, count(DISTINCT item_id) AS n_items,
+                array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids
+            FROM found GROUP BY r
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hits USING (r) LEFT JOIN listed USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _op2_sql()}
+    return {"op2_chat_format": _op2_sql(), "op3_decontaminate": _op3_sql()}
