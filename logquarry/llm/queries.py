@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat, decontaminate, licenses, shards, simhash
+from . import bpe, chat, decontaminate, licenses, linededup, quality_rules, shards, simhash
 from .common import table
 
 
@@ -41,6 +41,15 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document measured and judged; see ``quality_rules.judge``."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return quality_rules.judge(table(spark, sf_dir, "documents"), path).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "band_group", "chars_per_token", "byte_share", "entropy",
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component; see ``simhash.near_duplicates``."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -61,9 +70,15 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of 40 characters or more with its class; see ``linededup.classify_lines``."""
+    return linededup.classify_lines(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_license_scan, op2_chat_format, op3_decontaminate, op4_shards, op6_simhash, op7_bpe,
+        op1_license_scan, op2_chat_format, op3_decontaminate, op4_shards, op5_quality_rules, op6_simhash, op7_bpe,
+        op9_line_dedup,
     )}
 
 

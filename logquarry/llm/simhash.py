@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from logquarry.session import settle
 
 from .common import blank_words, fresh, id_and_text, named
+from .graph import components
 
 SHINGLE = 3
 DISTANCE = 2
@@ -103,29 +104,6 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return close.union(starred).distinct()
 
 
-def components(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """node, root (the smallest node that it reaches) for all nodes of ``pairs`` (a, b).
-
-    Large-star and small-star rounds in turn: each node's neighbours are tied to its smallest one, until all ties go
-    to roots.  Every round is written to the shared folder, which cuts the lineage.
-    """
-    pairs = settle(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "ties")
-    before = None
-    for _ in range(most_rounds):
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("t"))
-        pairs = settle(small.select("t.u", "t.v").where("u <> v").distinct(), "ties")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38)"))).first()
-        if now == before:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select("v", "v").distinct())
-        before = now
-    raise RuntimeError(f"components not settled after {most_rounds} rounds")
-
-
 def _classes(printed: DataFrame, fp: str, order: list, distance: int) -> DataFrame:
     """fp, first: of each fingerprint, the smallest ``struct(*order)`` in its component."""
     nodes = settle(printed.groupBy(named(printed, fp).alias("fp")).agg(F.min(F.struct(*order)).alias("first")), "prints")
