@@ -19,11 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from .common import id_and_text, slices
+from .common import PART_CHARS, id_and_text, parts, slices
 
-# Words that a task remembers, and characters of a text that are taken at once; both bound memory only.
+# Words that a task remembers.
 REMEMBERED = 300_000
-PART_CHARS = 1 << 20
 
 
 def _byte_characters() -> dict[str, int]:
@@ -222,20 +221,6 @@ class Encoder:
         return [b"".join(p if type(p) is bytes else b"".join(map(known, p)) for p in text) for text in held]
 
 
-def parts(text: str) -> Iterator[str]:
-    """A text in parts of about ``PART_CHARS``, cut before a blank or line feed, where no word and no special token
-    goes on and no character joins the one before."""
-    start = 0
-    while len(text) - start > PART_CHARS:
-        end = start + PART_CHARS
-        found = [i for i in (text.find(" ", end), text.find("\n", end)) if i >= 0]
-        if not found:
-            break
-        yield text[start : min(found)]
-        start = min(found)
-    yield text[start:]
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, ids (binary, little-endian unsigned 32-bit integers).
 

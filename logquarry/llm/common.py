@@ -9,6 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Characters of a text that are taken at once; bounds memory only.
+PART_CHARS = 1 << 20
+
 # Bytes to bytes: A-Z become a-z, every other ASCII character that is neither a letter nor a digit a space.
 # Bytes above 0x7F belong to letters of other scripts and stay.
 ALNUM = bytes(
@@ -59,6 +62,20 @@ def row_hash(*columns: Column) -> Column:
     return F.concat_ws("-", F.hex(F.xxhash64(*marked)), F.hex(F.xxhash64(F.lit("second"), *marked)))
 
 
+def parts(text: str) -> Iterator[str]:
+    """A text in parts of about ``PART_CHARS``, cut before a blank or line feed, where no word and no special token
+    goes on and no character joins the one before."""
+    start = 0
+    while len(text) - start > PART_CHARS:
+        end = start + PART_CHARS
+        found = [i for i in (text.find(" ", end), text.find("\n", end)) if i >= 0]
+        if not found:
+            break
+        yield text[start : min(found)]
+        start = min(found)
+    yield text[start:]
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a piece holds about ``most_bytes`` of a text column, or one longer text."""
     for batch in batches:

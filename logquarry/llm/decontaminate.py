@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from logquarry.session import settle
 
-from .common import ALNUM, alnum_words, id_and_text, records, slices
+from .common import ALNUM, alnum_words, fresh, id_and_text, records, slices
 
 WINDOW = 13
 SHINGLE = 3
@@ -100,15 +100,7 @@ _WINDOWS = pa.schema(
         ("shingles", pa.list_(pa.int64())),
     ]
 )
-_FOUND = pa.schema(
-    [
-        ("doc_id", pa.int64()), ("n_words", pa.int64()),
-        (
-            "places",
-            pa.list_(pa.struct([("shingle", pa.int64()), ("word", pa.int64()), ("from", pa.int64()), ("around", pa.string())])),
-        ),
-    ]
-)
+_PLACES = pa.list_(pa.struct([("shingle", pa.int64()), ("word", pa.int64()), ("from", pa.int64()), ("around", pa.string())]))
 
 
 def _windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
@@ -166,7 +158,9 @@ def _counts(docs: DataFrame, keep: Broadcast, sizes: list[int]) -> DataFrame:
 
 
 def _places(docs: DataFrame, keep: Broadcast, sizes: list[int], window: int) -> DataFrame:
-    """A row per document: doc_id, n_words, and where it has shingles that pass the filter, with the words around."""
+    """A row per document: its columns but the text, all of them bigint, n_words, and where it has shingles that pass
+    the filter, with the words around."""
+    ids = [c for c in docs.columns if c != "text"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
@@ -185,12 +179,12 @@ def _places(docs: DataFrame, keep: Broadcast, sizes: list[int], window: int) ->
                         {"shingle": h, "word": int(i - first), "from": int(a - first), "around": b" ".join(around.split()).decode()}
                     )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(words.first)), pa.array(places, _FOUND.field("places").type)],
-                schema=_FOUND,
+                [*map(batch.column, ids), pa.array(np.diff(words.first)), pa.array(places, _PLACES)],
+                names=[*ids, "n_words", "places"],
             )
 
-    columns = "doc_id bigint, n_words bigint, places array<struct<shingle:bigint,word:bigint,from:bigint,around:string>>"
-    return id_and_text(docs).mapInArrow(work, columns)
+    columns = "n_words bigint, places array<struct<shingle:bigint,word:bigint,from:bigint,around:string>>"
+    return docs.mapInArrow(work, ", ".join(f"{c} bigint" for c in ids) + ", " + columns)
 
 
 def find_contamination(
@@ -198,7 +192,7 @@ def find_contamination(
 ) -> tuple[DataFrame, DataFrame]:
     """Documents, and where they have item windows.
 
-    The first frame has a row per row of ``docs`` (doc_id, text): row (its number), doc_id, n_words.  The second has
+    The first frame has a row per row of ``docs`` (text and bigint columns): row (its number), those, n_words.  The second has
     a row per place: row, window, start (word), n (words).  A window is ``window`` consecutive words of an item, or
     the whole item if it has fewer.
     """
@@ -229,7 +223,7 @@ def find_contamination(
         .where(there == F.col("window"))
         .select("row", "window", start.alias("start"), "n")
     )
-    return found.select("row", "doc_id", "n_words"), places
+    return found.drop("places"), places
 
 
 def _covered(ranges: str) -> str:
@@ -240,16 +234,7 @@ def _covered(ranges: str) -> str:
     )
 
 
-def decontaminate(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit (words inside an occurrence of a window), n_items (items
-    with occurring windows), items (their ids as strings, sorted), contaminated (any hit, and at least one word in
-    ``share`` hit).
-
-    Null and empty texts have no words and no hits; items without words have no windows; an item without id causes
-    hits, but is not listed; items of one id count once.  Repeated rows give repeated rows.  Other columns are not read.
-    """
+def _judged(docs: DataFrame, items: DataFrame, window: int, shingle: int, share: int) -> DataFrame:
     rows, places = find_contamination(docs, items, window, shingle)
     hits = (
         places.select("row", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")).alias("r"))
@@ -266,7 +251,32 @@ def decontaminate(
     found = F.coalesce("items", F.array().cast("array<string>"))
     return (
         rows.join(hits, "row", "left").join(listed, "row", "left").select(
-            "doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("bigint").alias("n_items"), found.alias("items"),
+            *[c for c in docs.columns if c != "text"], "n_words", n_hit.alias("n_hit"), F.size(found).cast("bigint").alias("n_items"), found.alias("items"),
             ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
         )
     )
+
+
+def decontaminate(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_hit (words inside an occurrence of a window), n_items (items
+    with occurring windows), items (their ids as strings, sorted), contaminated (any hit, and at least one word in
+    ``share`` hit).
+
+    Null and empty texts have no words and no hits; items without words have no windows; an item without id causes
+    hits, but is not listed; items of one id count once.  Repeated rows give repeated rows.  Other columns are not read.
+    """
+    return _judged(id_and_text(docs), items, window, shingle, share)
+
+
+def keep_clean(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20
+) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    own, text_hash = fresh(docs, "own_id"), fresh(docs, "own_hash")
+    keyed = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    judged = _judged(keyed, items, window, shingle, share)
+    bad = judged.where("contaminated").select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash)).distinct()
+    same = docs["doc_id"].cast("bigint").eqNullSafe(bad[own]) & (F.xxhash64(docs["text"]) == bad[text_hash])
+    return docs.join(bad, same, "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat, decontaminate, licenses, linededup, quality_rules, shards, simhash
+from . import bpe, chat, decontaminate, langid, licenses, linededup, quality_model, quality_rules, shards, simhash
 from .common import table
 
 
@@ -70,15 +70,32 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from the labels of two thirds of them; see ``quality_model``."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.held_out(F.col("doc_id"), 3, 1)
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    scored = quality_model.score(docs, quality_model.learn(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of 40 characters or more with its class; see ``linededup.classify_lines``."""
     return linededup.classify_lines(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from four fifths of them; see ``langid``."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.held_out(F.col("doc_id"), 5, 0)
+    model = langid.learn(docs.where(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_chat_format, op3_decontaminate, op4_shards, op5_quality_rules, op6_simhash, op7_bpe,
-        op9_line_dedup,
+        op8_quality_model, op9_line_dedup, op10_language,
     )}
 
 
