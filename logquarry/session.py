@@ -45,9 +45,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), jvm_path
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder, removed when the application ends.
+
+    Lazy results read from such paths, so they stay until then.  A driver that is killed leaves its folder behind; it
+    has the name of the application.
+    """
+    root = f"{shared_folder(spark)}/logquarry-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        fs, jvm_path = file_system(spark, root)
+        fs.mkdirs(jvm_path)
+        fs.deleteOnExit(jvm_path)  # needs a folder that is there
+        _ROOTS.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+_ROOTS: set[str] = set()
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -60,18 +79,3 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-# A table below this size is read by few tasks, or by one if it is a single row group.
-_SMALL_TABLE = 1 << 30
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt out to all cores, for work that costs far more than moving its rows.
-
-    A scan of up to 1 GB can end in one task while the rest of the cluster waits.  Anything
-    larger is returned as it is, and keeps the partitions of its scan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size <= min(_SMALL_TABLE, cores * (64 << 20)) else df

@@ -2,27 +2,32 @@
 
 A Parquet table in the session's catalog, with its files in a folder of its own.
 It is partitioned by day when it has a timestamp, so date filters prune, and a delete
-rewrites only the days it touches.
+rewrites only the days it touches.  Overwrites and deletes write their rows next to the
+table first and move them into place, so one that fails leaves the table as it was.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 import os
+import re
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logquarry.functions import guards
 from logquarry.functions.redaction import scrub
 from logquarry.schema import DEFAULT_TABLE, EVENT_DATE, ROW_ID
-from logquarry.session import scratch_path, settle
+from logquarry.session import file_system, scratch_path, settle
 from logquarry.sources.tables import read_table_file
 from logquarry.sources.text_logs import count_records, escape_glob, read_logs
 
 log = logging.getLogger(__name__)
 
 _NO_DATE = "1970-01-01"
+_LIST = "days.json"  # the days that a delete swaps; complete when it is there
 _ID_BITS = 33  # monotonically_increasing_id holds the row's place in its partition in the lower bits
 
 
@@ -55,6 +60,7 @@ class LogStore:
         self.spark = spark
         self.table = table
         self.path = f"{path.rstrip('/')}/{table}"
+        self._recover()
         if not spark.catalog.tableExists(table) and self._exists(self.path):
             # Written by an earlier session whose catalog is gone.
             spark.catalog.createTable(table, path=self.path, source="parquet")
@@ -74,14 +80,14 @@ class LogStore:
 
         With ``ignore``, the default, nothing happens if the table is there; ``append``
         numbers on from the highest id; ``overwrite`` starts again at 0.  A frame may bring
-        its own ids with ``ids=False``.
+        its own ids with ``ids=False``.  The table has one writer at a time.
         """
         if mode not in ("ignore", "append", "overwrite"):
             raise ValueError(f"unknown mode {mode!r}")
         if isinstance(data, (str, os.PathLike)):
             data = read_table_file(self.spark, os.fspath(data))
         elif not isinstance(data, DataFrame):
-            raise ValueError(f"Unsupported data type for insertion: {type(data)}")
+            raise ValueError(f"a frame or a path is needed, not {type(data).__name__}")
         if mode == "ignore" and self.exists():
             log.warning("table %s exists, nothing inserted", self.table)
             return
@@ -113,16 +119,25 @@ class LogStore:
         return 0 if top is None else top + 1
 
     def _write(self, data: DataFrame, mode: str) -> None:
-        writer_mode = "append" if mode == "append" and self.exists() else "overwrite"
-        if "timestamp" in data.columns:
-            day = F.to_date(F.col("timestamp").try_cast("timestamp_ntz"))
-            data = data.withColumn(EVENT_DATE, F.coalesce(day, F.lit(_NO_DATE).cast("date")))
-            # Splits a day that holds much of the table and joins small days.
-            data = data.hint("rebalance", EVENT_DATE).sortWithinPartitions(EVENT_DATE, ROW_ID)
-            writer = data.write.partitionBy(EVENT_DATE)
-        else:
-            writer = data.write
-        writer.format("parquet").mode(writer_mode).option("path", self.path).saveAsTable(self.table)
+        columns, days = _days(data)
+        if mode == "append" and self.exists():
+            writer = columns.write.partitionBy(EVENT_DATE) if days else columns.write
+            writer.format("parquet").mode("append").option("path", self.path).saveAsTable(self.table)
+            return
+        # The new rows are complete in a folder of their own before the old ones go.
+        self._remove(self._next)
+        (columns.write.partitionBy(EVENT_DATE) if days else columns.write).parquet(self._next)
+        self._replace()
+        self._register(columns.schema, days)
+
+    def _register(self, schema: T.StructType, days: bool) -> None:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        parts = f" PARTITIONED BY ({EVENT_DATE})" if days else ""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self.spark.sql(f"CREATE TABLE {self.table} ({columns}) USING parquet{parts} LOCATION '{escaped(self.path)}'")
+        if days:
+            self.spark.catalog.recoverPartitions(self.table)
+        self.spark.catalog.refreshTable(self.table)
 
     # -- rows ----------------------------------------------------------------
 
@@ -130,7 +145,7 @@ class LogStore:
         """Ids compare as text, so '01' is no id; a plain number is compared as one
         so that file statistics prune."""
         text = str(record_id)
-        if text.isascii() and text.isdigit() and str(int(text)) == text and int(text) < 2**63:
+        if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", text, re.ASCII) and -(2**63) <= int(text) < 2**63:
             return F.col(ROW_ID) == F.lit(int(text)).cast("bigint")
         return F.lit(False)
 
@@ -147,49 +162,98 @@ class LogStore:
         self._delete(F.coalesce(F.expr(condition), F.lit(False)))
 
     def _delete(self, doomed) -> None:
-        """Write the survivors to a staged copy, then put that in place.
+        """Write the survivors of the days with something to delete to a folder of their own, and swap the days.
 
-        The staged copy is complete before anything is replaced, so a job that dies
-        in the second step can be repeated from it.
+        The folder and a list of its days are complete before anything is replaced.  A delete that breaks off before
+        that has done nothing; one that breaks off later is completed when the table is opened again.
         """
         current = self.df()
+        self._remove(self._next)
         if EVENT_DATE not in current.columns:
-            staged = settle(current.where(~doomed), "survivors")
-            staged.write.insertInto(self.table, overwrite=True)
-            self.spark.catalog.refreshTable(self.table)
+            current.where(~doomed).write.parquet(self._next)
+            self._replace()
+            self._register(current.schema, False)
             return
         # One row per day with something to delete.
         days = [r[0] for r in current.where(doomed).select(EVENT_DATE).distinct().collect()]
         if not days:
             return
-        staged = settle(current.where(F.col(EVENT_DATE).isin(days)).where(~doomed), "survivors")
-        kept = {r[0] for r in staged.select(EVENT_DATE).distinct().collect()}
-        if kept:
-            (
-                staged.hint("rebalance", EVENT_DATE)
-                .sortWithinPartitions(EVENT_DATE, ROW_ID)
-                .write.partitionBy(EVENT_DATE)
-                .mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .parquet(self.path)
-            )
-        # A day that lost every row is not in the staged copy and must go by itself.
-        for day in days:
-            if day not in kept:
-                self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION ({EVENT_DATE} = DATE'{day}')")
-                self._remove(f"{self.path}/{EVENT_DATE}={day}")
-        self.spark.catalog.refreshTable(self.table)
+        columns, _ = _days(current.where(F.col(EVENT_DATE).isin(days)).where(~doomed))
+        columns.write.partitionBy(EVENT_DATE).parquet(self._next)
+        kept = [str(d) for d in days if self._exists(f"{self._next}/{EVENT_DATE}={d}")]
+        self._put(f"{self._next}/{_LIST}", json.dumps({"days": [str(d) for d in days], "kept": kept}))
+        self._swap_days()
+        self._register(current.schema, True)
 
     # -- files ---------------------------------------------------------------
 
-    def _hadoop(self, path: str):
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jvm_path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), jvm_path
+    @property
+    def _next(self) -> str:
+        return f"{self.path}.next"
+
+    def _recover(self) -> None:
+        """Complete a replacement that broke off after its new rows were complete; drop one that broke off before."""
+        if self._exists(f"{self._next}/{_LIST}"):
+            self._swap_days()
+        elif self._exists(f"{self._next}/_SUCCESS") and not self._exists(self.path):
+            self._replace()
+        else:
+            self._remove(self._next)
+        if self._exists(self.path):
+            self._remove(f"{self.path}.old")
+
+    def _replace(self) -> None:
+        """Put the new rows in the place of all old ones."""
+        if self._exists(self.path):
+            self._remove(f"{self.path}.old")
+            self._rename(self.path, f"{self.path}.old")
+        self._rename(self._next, self.path)
+        self._remove(f"{self.path}.old")
+
+    def _swap_days(self) -> None:
+        """Put the new rows of each listed day in the place of the old ones; repeating it does no harm."""
+        todo = json.loads(self._get(f"{self._next}/{_LIST}"))
+        for day in todo["days"]:
+            old, new = f"{self.path}/{EVENT_DATE}={day}", f"{self._next}/{EVENT_DATE}={day}"
+            if day not in todo["kept"]:
+                self._remove(old)
+            elif self._exists(new):
+                self._remove(old)
+                self._rename(new, old)
+        self._remove(self._next)
 
     def _exists(self, path: str) -> bool:
-        fs, jvm_path = self._hadoop(path)
+        fs, jvm_path = file_system(self.spark, path)
         return fs.exists(jvm_path)
 
     def _remove(self, path: str) -> None:
-        fs, jvm_path = self._hadoop(path)
+        fs, jvm_path = file_system(self.spark, path)
         fs.delete(jvm_path, True)
+
+    def _rename(self, old: str, new: str) -> None:
+        fs, jvm_path = file_system(self.spark, old)
+        if not fs.rename(jvm_path, self.spark._jvm.org.apache.hadoop.fs.Path(new)):
+            raise OSError(f"could not move {old} to {new}")
+
+    def _put(self, path: str, text: str) -> None:
+        fs, jvm_path = file_system(self.spark, path)
+        out = fs.create(jvm_path, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _get(self, path: str) -> str:
+        return "\n".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect())
+
+
+def _days(data: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows ready to be written, and whether by day: a day that holds much of the table is split, small ones join."""
+    if "timestamp" not in data.columns:
+        return data, False
+    day = F.to_date(F.col("timestamp").try_cast("timestamp_ntz"))
+    data = data.withColumn(EVENT_DATE, F.coalesce(day, F.lit(_NO_DATE).cast("date")))
+    return data.hint("rebalance", EVENT_DATE).sortWithinPartitions(EVENT_DATE, ROW_ID), True
+
+
+def escaped(text: str) -> str:
+    """For a literal in Spark SQL."""
+    return text.replace("\\", "\\\\").replace("'", "\\'")
