@@ -45,6 +45,12 @@ UNSAFE_FILTER = (
     r"|CALL)\b"
 )
 
+# --- What Spark's own SQL can reach besides tables: methods of the virtual machine, files by path, names made from texts
+ENGINE_ACCESS = (
+    r"\b(?:java_method|reflect|try_reflect|identifier)`?\s*\("
+    r"|\b(?:parquet|orc|csv|json|text|xml|avro|binaryfile)`?\s*\.\s*`"
+)
+
 # --- Fixed values: failures ---------------------------------------------------
 TRACE_HEADING = "Traceback (most recent call last):"
 TRACE_BODY = r"(Traceback \(most recent call last\):[\s\S]*?)"
@@ -56,9 +62,11 @@ NO_FAILURE = "No explicit stack trace or exception block detected in log data."
 CONTEXT_WORDS = ("ERROR", "WARN", "FAIL")
 HEAD_LINES, MIDDLE_LINES, TAIL_LINES, MAX_LINES = 15, 15, 20, 50
 CRASH_TITLE = "\n\n... [RECENT CRASH CONTEXT] ...\n"
-# One frame of a Python traceback, and its closing "Type: text" line.
+
+# --- How a Python traceback reads: a frame, everything up to the last one, and the type and first line of the exception
 FRAME = r'(?m)^\s+File "([^"]*)", line (\d+)(?:, in (\S+))?'
-EXCEPTION_LINE = r"(?m)^([A-Za-z_][A-Za-z0-9_.]*)(?:: ?(.*))?$"
+UP_TO_LAST_FRAME = r'(?s)^.*\n\s+File "[^"]*", line \d+[^\n]*'
+EXCEPTION = r"(?m)^([A-Za-z_][A-Za-z0-9_.]*)(?:: ?([^\n]*))?$((?s:.*))"
 
 # --- Fixed values: question routing -------------------------------------------
 DIAGNOSTIC_PHRASES = (
@@ -73,6 +81,7 @@ SQL_PHRASES = (
 
 # --- Fixed values: report -----------------------------------------------------
 NO_RESULTS = "No results available for this question."
+QUERY_ERROR = "Error executing query: "
 EMPTY_RESULT = "Query executed successfully. Result is empty."
 PREVIEW_ROWS = 5
 SAMPLE_ROWS = 3

@@ -76,16 +76,17 @@ def frames(trace: Column) -> Column:
     )
 
 
-def exception_line(trace: Column) -> Column:
-    """The last unindented ``Type: text`` line; null when there is none."""
-    pattern = P.EXCEPTION_LINE.replace("(?m)", "(?md)")
-    return F.try_element_at(F.regexp_extract_all(trace, F.lit(pattern), F.lit(0)), F.lit(-1))
-
-
-def exception_type(line: Column) -> Column:
-    return F.substring_index(line, ":", 1)
-
+def exception(trace: Column) -> Column:
+    """Type and message of a traceback: the first unindented ``Type: text`` line after the last frame, and all lines
+    that follow it.  Both are null when there is no such line."""
+    pattern = P.EXCEPTION.replace("(?m)", "(?md)")
+
+    def parts(closing: Column) -> Column:
+        found = F.regexp_extract(closing, pattern, 1)
+        said = F.concat(F.regexp_extract(closing, pattern, 2), F.regexp_extract(closing, pattern, 3))
+        known = found != ""
+        return F.struct(
+            F.when(known, found).alias("type"), F.when(known, F.rtrim(said, F.lit("\n"))).alias("message")
+        )
 
-def exception_message(line: Column) -> Column:
-    """What follows the type; empty when the line is the type alone."""
-    return F.regexp_extract(line, r"(?d)^[^:]*: ?(.*)$", 1)
+    return once(F.regexp_replace(trace, F.lit(P.UP_TO_LAST_FRAME), F.lit("")), parts)

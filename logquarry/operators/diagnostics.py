@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions import patterns as P
 from logquarry.functions import traces as X
+from logquarry.functions.expressions import once
 from logquarry.functions.redaction import scrub, scrub_text
-from logquarry.operators.ranking import top_k_per_group
+from logquarry.operators.ranking import join_groups, top_k_per_group
+from logquarry.operators.sampling import context_payload, log_lines, sample_context
 from logquarry.schema import ROW_ID
 
 FAILURE_LEVELS = ("ERROR", "FATAL")
@@ -35,27 +37,29 @@ def failure_kinds(df: DataFrame, text: str, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by, kind).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _fields(trace: Column) -> Column:
+    """Type, message, innermost frame and all frames of a traceback."""
+    unknown = F.lit("unknown")
+
+    def parts(t: Column) -> Column:
+        inner = F.try_element_at(t["frames"], F.lit(-1))
+        place = F.concat(inner["file"], F.lit(":"), inner["line"].cast("string"), F.lit(" in "), inner["function"])
+        return F.struct(
+            F.coalesce(t["exc"]["type"], unknown).alias("exc_type"),
+            F.coalesce(t["exc"]["message"], F.lit("")).alias("exc_message"),
+            F.coalesce(place, unknown).alias("frame"),
+            t["frames"].alias("frames"),
+        )
+
+    return once(F.struct(X.exception(trace).alias("exc"), X.frames(trace).alias("frames")), parts)
+
+
 def exceptions(logs: DataFrame) -> DataFrame:
     """One row per traceback with its type, message, innermost frame and signature."""
     wanted = [c for c in (ROW_ID, "timestamp", "level", "app") if c in logs.columns]
     traces = extract_tracebacks(logs, "message", wanted)
-    parsed = traces.withColumn("exc_line", X.exception_line(F.col("trace"))).withColumn(
-        "frames", X.frames(F.col("trace"))
-    )
-    inner = F.try_element_at("frames", F.lit(-1))
-    return (
-        parsed.withColumn("exc_type", F.coalesce(X.exception_type(F.col("exc_line")), F.lit("unknown")))
-        .withColumn("exc_message", F.coalesce(X.exception_message(F.col("exc_line")), F.lit("")))
-        .withColumn(
-            "frame",
-            F.coalesce(
-                F.concat(inner["file"], F.lit(":"), inner["line"].cast("string"), F.lit(" in "), inner["function"]),
-                F.lit("unknown"),
-            ),
-        )
-        .withColumn("signature", F.concat("exc_type", F.lit(" at "), "frame"))
-        .drop("exc_line")
-    )
+    parsed = traces.withColumn("_fields", _fields(F.col("trace"))).select(*traces.columns, "_fields.*")
+    return parsed.withColumn("signature", F.concat("exc_type", F.lit(" at "), "frame"))
 
 
 def exception_profile(excs: DataFrame) -> DataFrame:
@@ -105,34 +109,80 @@ def telling_exceptions(excs: DataFrame, k: int = 3) -> DataFrame:
     return scrub(top.select("signature", "rank", ROW_ID, "timestamp", "level", "app", "trace"))
 
 
-def diagnose(logs: DataFrame, components: int = 5) -> DataFrame:
-    """One analysis text per app: what failed, the commonest cause, and where.
+_NO_FACTS = "array<struct<kind:string,exc_type:string,exc_message:string,frame:string,line:string>>"
+
+
+def _facts(message: Column) -> Column:
+    """What a failed record tells: that it failed, its tracebacks, and without one its failure lines."""
+
+    def fact(kind: str, **known: Column) -> Column:
+        fields = ("exc_type", "exc_message", "frame", "line")
+        return F.struct(F.lit(kind).alias("kind"), *[known.get(n, F.lit(None).cast("string")).alias(n) for n in fields])
+
+    def trace(t: Column) -> Column:
+        return once(_fields(t), lambda x: fact("trace", **{n: x[n] for n in ("exc_type", "exc_message", "frame")}))
 
-    Only facts found in the records; advice on repair is left out.
+    none = F.array().cast(_NO_FACTS)
+    lines = F.when(X.failure_kind(message) == "lines", X.failure_lines(message))
+    return F.concat(
+        F.array(fact("record")), F.coalesce(F.transform(X.tracebacks(message), trace), none),
+        F.coalesce(F.transform(lines, lambda x: fact("line", line=x)), none),
+    )
+
+
+def diagnose(logs: DataFrame, group: Sequence[str] = ("app",), components: int = 5) -> DataFrame:
+    """One row per group with failed records: the group, subject, failures, analysis.
+
+    The analysis states what failed, the commonest cause and where: the exception of most tracebacks, or without any
+    the commonest failure line; and the innermost frames, `components` of them by name and the number of the others.
+    Only facts found in the records; advice on repair is left out.  Records are read once, and everything is taken
+    from the counts of their facts.  Rows without a group form one of their own.
     """
     failed = logs.where(F.col("level").isin(*FAILURE_LEVELS))
-    totals = failed.groupBy("app").agg(F.count(F.lit(1)).alias("failures"))
-    # Both rankings start from these counts, so the messages are read and shuffled once.
-    counts = exceptions(failed).groupBy("app", "exc_type", "exc_message", "frame").agg(F.count(F.lit(1)).alias("n"))
-    causes = counts.groupBy("app", "exc_type", "exc_message").agg(F.sum("n").alias("n"))
-    cause = top_k_per_group(causes, ["app"], [F.desc("n"), F.asc("exc_type"), F.asc("exc_message")], 1).select(
-        "app",
-        F.concat(
-            "exc_type", F.when(F.col("exc_message") != "", F.concat(F.lit(": "), "exc_message")).otherwise(""),
-            F.lit(" ("), F.col("n").cast("string"), F.lit(" traces)"),
-        ).alias("cause"),
+    facts = failed.select(*group, F.inline(_facts(F.col("message"))))
+    counts = facts.groupBy(*group, "kind", "exc_type", "exc_message", "frame", "line").agg(F.count(F.lit(1)).alias("n"))
+
+    def commonest(kind: str, what: list[str], k: int) -> DataFrame:
+        sums = counts.where(F.col("kind") == kind).groupBy(*group, *what).agg(F.sum("n").alias("n"))
+        return top_k_per_group(sums, group, [F.desc("n"), *[F.asc(c) for c in what]], k)
+
+    said = F.when(F.col("exc_message") != "", F.concat(F.lit(": "), "exc_message")).otherwise("")
+    number = F.col("n").cast("string")
+    cause = commonest("trace", ["exc_type", "exc_message"], 1).select(
+        *group, F.concat("exc_type", said, F.lit(" ("), number, F.lit(" traces)")).alias("cause")
     )
-    places = counts.groupBy("app", "frame").agg(F.sum("n").alias("n"))
-    top_places = top_k_per_group(places, ["app"], [F.desc("n"), F.asc("frame")], components)
-    where = top_places.groupBy("app").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("rank", "frame"))), lambda r: r["frame"]), ", "
-        ).alias("places")
+    line = commonest("line", ["line"], 1).select(
+        *group, F.concat(F.btrim("line", F.lit(P.BLANKS)), F.lit(" ("), number, F.lit(" lines)")).alias("line")
     )
-    joined = totals.join(cause, "app", "left").join(where, "app", "left")
+    in_order = F.array_sort(F.collect_list(F.struct("rank", "frame")))
+    named = commonest("trace", ["frame"], components).groupBy(*group).agg(
+        F.array_join(F.transform(in_order, lambda r: r["frame"]), ", ").alias("places")
+    )
+    frames = counts.where("kind = 'trace'").select(*group, "frame").distinct()
+    all_places = frames.groupBy(*group).agg(F.count(F.lit(1)).alias("n_places"))
+    found = counts.where("kind = 'record'").groupBy(*group).agg(F.sum("n").alias("failures"))
+    for part in (cause, line, named, all_places):
+        found = join_groups(found, part, group, "left")
+    subject = F.concat_ws(" on ", *[F.coalesce(F.col(c).cast("string"), F.lit("(none)")) for c in group])
+    others = F.col("n_places") - components
     text = F.concat(
-        F.lit("- **Primary Issue**: "), F.col("failures").cast("string"), F.lit(" failed records in "), F.col("app"),
-        F.lit("\n- **Root Cause**: "), F.coalesce("cause", F.lit(P.NO_FAILURE)),
+        F.lit("- **Primary Issue**: "), F.col("failures").cast("string"), F.lit(" failed records in "), subject,
+        F.lit("\n- **Root Cause**: "), F.coalesce("cause", "line", F.lit(P.NO_FAILURE)),
         F.lit("\n- **Affected Components/Files**: "), F.coalesce("places", F.lit("none identified")),
+        F.when(others > 0, F.concat(F.lit(" and "), others.cast("string"), F.lit(" more"))).otherwise(""),
     )
-    return joined.select("app", text.alias("analysis")).withColumn("analysis", scrub_text(F.col("analysis")))
+    return found.select(*group, subject.alias("subject"), "failures", scrub_text(text).alias("analysis"))
+
+
+def failure_evidence(logs: DataFrame, group: Sequence[str] = ("app",)) -> DataFrame:
+    """The telling lines of each group's failed records (E4), as one redacted text: the group, group_lines,
+    kept_lines, payload."""
+    failed = logs.where(F.col("level").isin(*FAILURE_LEVELS))
+    sample = sample_context(log_lines(failed, group), group, ["timestamp", ROW_ID, "pos"])
+    return context_payload(sample, group)
+
+
+def diagnose_with_evidence(logs: DataFrame, group: Sequence[str] = ("app",)) -> DataFrame:
+    """`diagnose` with the payload of `failure_evidence` as a column more."""
+    evidence = failure_evidence(logs, group).select(*group, F.col("payload").alias("evidence"))
+    return join_groups(diagnose(logs, group), evidence, group, "left")

@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 from logquarry.functions import patterns as P
 from logquarry.functions.redaction import scrub_text
 from logquarry.functions.sampling import dropped_title, has_context_word
-from logquarry.operators.ranking import top_k_per_group
+from logquarry.operators.ranking import join_groups, top_k_per_group
 from logquarry.schema import ROW_ID
 
 HEAD, MIDDLE, TAIL, ALL = "head", "middle", "tail", "all"
 
 
 def render_line(prefix: str = ""):
-    """A record as it would stand in a log file."""
-    c = lambda name: F.col(prefix + name)
+    """A record as it would stand in a log file; nothing stands for a null."""
+
+    def shown(name: str, text=None):
+        value = F.col(prefix + name)
+        return F.coalesce(text(value) if text else value.cast("string"), F.lit(""))
+
     return F.concat(
-        F.date_format(c("timestamp"), "yyyy-MM-dd HH:mm:ss"),
-        F.lit(" ["), c("level"), F.lit("] "), c("app"), F.lit(" ("), c("source_file"), F.lit(":"),
-        c("line_number").cast("string"), F.lit("): "), c("message"),
+        shown("timestamp", lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")), F.lit(" ["), shown("level"), F.lit("] "), shown("app"),
+        F.lit(" ("), shown("source_file"), F.lit(":"), shown("line_number"), F.lit("): "), shown("message"),
     )
 
 
@@ -44,7 +47,8 @@ def sample_context(
 
     A group of at most `max_lines` rows is kept whole (section ``all``).  Of a
     longer one: the head, the tail, and from between them the first rows with a
-    context word, or the first rows if none has one.  `order` must be total.
+    context word, or the first rows if none has one.  `order` must be total.  Rows without a
+    group form one of their own.  `max_lines` is bounded as in `top_k_per_group`.
 
     Every candidate is among the first or last rows of its group, or among its first
     flagged rows.  So three bounded selections and a count replace a sort of the
@@ -75,7 +79,7 @@ def sample_context(
     sizes = base.groupBy(*group).agg(F.count(F.lit(1)).alias("group_lines"))
     head_size = F.least(F.lit(P.HEAD_LINES).cast("long"), F.col("group_lines"))
     tail_size = F.least(F.lit(P.TAIL_LINES).cast("long"), F.col("group_lines") - head_size)
-    placed = picks.join(sizes, list(group)).withColumn(
+    placed = join_groups(picks, sizes, group).withColumn(
         "section",
         F.when(F.col("group_lines") <= max_lines, ALL)
         .when(F.col("from_start") <= head_size, HEAD)

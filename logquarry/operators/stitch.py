@@ -68,24 +68,24 @@ def stitch(
         .select("file", "block", "rec", "header", _in_order(F.col("rest"), "line").alias("rest"))
     )
 
-    blocks = numbered.groupBy("file", "block").agg(
-        F.max("rec").alias("n"),
-        F.collect_list(F.when(F.col("rec") == 0, place)).alias("lead"),
-    ).select("file", "block", "n", _in_order(F.col("lead"), "line").alias("lead"))
+    blocks = numbered.groupBy("file", "block").agg(F.max("rec").alias("n"))
     by_file = Window.partitionBy("file").orderBy("block")
     earlier = by_file.rowsBetween(Window.unboundedPreceding, -1)
-    owned = blocks.withColumn(
-        "owner", F.last(F.when(F.col("n") > 0, F.struct("block", "n")), ignorenulls=True).over(earlier)
-    )
+    owner = F.last(F.when(F.col("n") > 0, F.struct("block", "n")), ignorenulls=True).over(earlier)
+    owned = blocks.select(
+        F.col("file").alias("l_file"), F.col("block").alias("l_block"), owner.alias("owner")
+    ).where(F.col("owner").isNotNull())
+    # Lines before a block's first header; those that no record owns are dropped before any are gathered.
+    lead = numbered.where(F.col("rec") == 0)
     carried = (
-        owned.where(F.col("lead").isNotNull() & F.col("owner").isNotNull())
+        lead.join(owned, (F.col("file") == F.col("l_file")) & (F.col("block") == F.col("l_block")))
         .groupBy("file", "owner")
-        .agg(F.collect_list(F.struct("block", "lead")).alias("leads"))
+        .agg(F.collect_list(F.struct("block", "seq", "pos", "line")).alias("lead"))
         .select(
             F.col("file").alias("c_file"),
             F.col("owner.block").alias("c_block"),
             F.col("owner.n").alias("c_rec"),
-            _in_order(F.col("leads"), "lead").alias("carry"),
+            _in_order(F.col("lead"), "line").alias("carry"),
         )
     )
     out = records.join(
@@ -163,16 +163,22 @@ def parse_lines(
 ) -> DataFrame:
     """Parse logs whose lines are spread over rows, one line or many per row.
 
-    `seq` is a whole number that orders the rows of one `file`.  Rows are cut into blocks of
+    `seq` is a whole number that orders the rows of one `file`; rows without it come first, and rows that share one
+    keep their lines together and follow the order of their text.  Rows are cut into blocks of
     ``2 ** block_bits`` by `seq`, so that one large log is spread over many tasks.  Rows
     without a file form one log.
     """
     # Keys that cannot be null keep the planner from filtering one use of the lines and
     # not the other, which would cost a second shuffle.
-    position = F.coalesce(F.col(seq).cast("long"), F.lit(-1))
+    position = F.col(seq).cast("long")
     name = F.coalesce(F.col(file).cast("string"), F.lit("")) if file else F.lit("")
+    # Rows of one position stay apart, in the order of their text.
+    place = F.struct(position.alias("position"), F.xxhash64(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     source = df.select(
-        name.alias("file"), F.shiftright(position, block_bits).alias("block"), position.alias("seq"),
-        F.col(text).alias("value"),
+        name.alias("file"), F.coalesce(F.shiftright(position, block_bits), F.lit(_BEFORE_ALL)).alias("block"),
+        place.alias("seq"), F.col(text).alias("value"),
     )
     return stitch(source, on_bad=on_bad, keep=("file",) if keep_file else ())
+
+
+_BEFORE_ALL = -(1 << 62)

@@ -15,8 +15,9 @@ from logquarry.schema import LOG_COLUMNS, ROW_ID
 LOGS_SQL = """
 SELECT event_id AS _rowid,
   {ts} AS timestamp,
-  CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING'
-                  WHEN 'purchase' THEN 'DEBUG' ELSE 'INFO' END AS level,
+  CASE WHEN event_id % 101 = 0 THEN 'FATAL' WHEN event_id % 103 = 0 THEN 'NOTICE'
+       WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'signup' THEN 'WARNING'
+       WHEN event_type = 'purchase' THEN 'DEBUG' ELSE 'INFO' END AS level,
   concat('app_', CAST(user_id % 10 AS STRING)) AS app,
   concat(event_type, '.py') AS source_file,
   event_id % 500 AS line_number,
@@ -25,10 +26,14 @@ SELECT event_id AS _rowid,
          CASE WHEN event_id % 7 = 0 THEN ' api_key=abcdefghijklmnop' ELSE '' END,
          CASE WHEN event_type = 'error' AND event_id % 4 <> 0 THEN concat(
            chr(10), 'Traceback (most recent call last):',
-           chr(10), '  File "svc/job', CAST(event_id % 3 AS STRING), '.py", line 7, in run',
+           chr(10), '  File "svc/entry.py", line ', CAST(event_id % 9 AS STRING), ', in main',
+           chr(10), '    run()',
+           chr(10), '  File "svc/job', CAST(event_id % 8 AS STRING), '.py", line 7, in run',
            chr(10), CASE event_id % 3 WHEN 0 THEN 'ValueError' WHEN 1 THEN 'KeyError' ELSE 'app.TimeoutError' END,
-           ': boom')
-              WHEN event_type = 'error' THEN ' request failed' ELSE '' END) AS message
+           CASE event_id % 5 WHEN 0 THEN concat(': over the limit', chr(10), 'detail: see the job notes', chr(10), 'retry: no')
+             WHEN 1 THEN '' ELSE ': boom' END)
+              WHEN event_type = 'error' THEN CASE event_id % 8 WHEN 0 THEN concat(' gave up', chr(10), 'Disk write FAILED on vol1')
+                ELSE ' request failed' END ELSE '' END) AS message
 FROM {src}
 """
 
@@ -37,29 +42,46 @@ SELECT event_id AS question_id,
   {ts} AS asked_at,
   concat('app_', CAST(user_id % 10 AS STRING)) AS app,
   CASE event_id % 8
-    WHEN 0 THEN 'how many errors happened today' WHEN 1 THEN 'why did the pipeline fail'
-    WHEN 2 THEN 'why are there so many errors, show me the top 5 apps'
-    WHEN 3 THEN 'configure failover for the database cluster' WHEN 4 THEN '   '
-    WHEN 5 THEN 'COUNT errors BY APP' WHEN 6 THEN 'who is admin@example.com?'
-    ELSE 'diagnose the exception in train.py' END AS question
+    WHEN 0 THEN concat('how many records did job', CAST(user_id AS STRING), ' write')
+    WHEN 1 THEN concat('why is queue ', CAST(event_id AS STRING), ' stuck')
+    WHEN 2 THEN concat('what is the root cause, and list the records of job', CAST(user_id AS STRING))
+    WHEN 3 THEN concat('please rename node ', CAST(event_id AS STRING)) WHEN 4 THEN '   '
+    WHEN 5 THEN 'AVERAGE value BY LEVEL' WHEN 6 THEN concat('mail ops', CAST(user_id AS STRING), '@example.com the rota')
+    ELSE concat('diagnose job', CAST(user_id AS STRING), ' please') END AS question
 FROM {src}
 """
 
 STATEMENTS_SQL = """
 SELECT event_id AS query_id,
-  CASE event_id % 12
-    WHEN 0 THEN concat('SELECT * FROM logs WHERE line_number = ', CAST(event_id % 500 AS STRING))
-    WHEN 1 THEN '  select level, count(*) from logs group by level'
-    WHEN 2 THEN 'WITH t AS (SELECT * FROM logs) SELECT * FROM t'
-    WHEN 3 THEN 'EXPLAIN SELECT * FROM logs'
-    WHEN 4 THEN concat('DELETE FROM logs WHERE line_number = ', CAST(event_id AS STRING))
-    WHEN 5 THEN 'SELECT * FROM logs; DROP TABLE logs;'
-    WHEN 6 THEN 'SELECT * FROM logs -- all of it'
-    WHEN 7 THEN 'WITH gone AS (DELETE FROM logs RETURNING *) SELECT * FROM gone'
+  CASE event_id % 14
+    WHEN 0 THEN concat('SELECT app FROM logs WHERE line_number = ', CAST(event_id % 500 AS STRING))
+    WHEN 1 THEN concat('  select app, max(line_number) from logs where line_number < ', CAST(event_id AS STRING), ' group by app')
+    WHEN 2 THEN concat('WITH few AS (SELECT * FROM logs LIMIT ', CAST(event_id AS STRING), ') SELECT app FROM few')
+    WHEN 3 THEN 'EXPLAIN SELECT app FROM logs'
+    WHEN 4 THEN concat('delete from logs where line_number > ', CAST(event_id AS STRING))
+    WHEN 5 THEN concat('SELECT app FROM logs LIMIT ', CAST(event_id AS STRING), '; SHOW TABLES')
+    WHEN 6 THEN concat('SELECT app FROM logs -- job ', CAST(user_id AS STRING))
+    WHEN 7 THEN concat('WITH x AS (SELECT ', CAST(user_id AS STRING), ') INSERT INTO logs SELECT * FROM x')
     WHEN 8 THEN '   '
-    WHEN 9 THEN 'SELECT message FROM logs WHERE message LIKE ''%please update%'''
-    WHEN 10 THEN 'PRAGMA memory_limit=''1GB'''
-    ELSE 'SELECT updated_at /* when */ FROM logs' END AS query
+    WHEN 9 THEN concat('SELECT app FROM logs WHERE message LIKE ''%grant ', CAST(user_id AS STRING), '%''')
+    WHEN 10 THEN concat('VACUUM logs RETAIN ', CAST(event_id AS STRING), ' HOURS')
+    WHEN 11 THEN concat('SELECT app, ', CAST(event_id AS STRING), ' /* which */ FROM logs')
+    WHEN 12 THEN concat('SELECT java_method(''java.lang.Math'', ''abs'', -', CAST(event_id AS STRING), ')')
+    ELSE concat('SELECT app FROM parquet.`/data/', CAST(event_id AS STRING), '`') END AS query
+FROM {src}
+"""
+
+CONDITIONS_SQL = """
+SELECT event_id AS filter_id,
+  CASE event_id % 8
+    WHEN 0 THEN concat('line_number > ', CAST(event_id AS STRING))
+    WHEN 1 THEN concat('app = ''app_', CAST(user_id AS STRING), ''' or level is null')
+    WHEN 2 THEN concat('line_number = ', CAST(event_id AS STRING), '; select 1')
+    WHEN 3 THEN concat('message = ''copy of ', CAST(user_id AS STRING), '''')
+    WHEN 4 THEN ' '
+    WHEN 5 THEN concat('reflect(''java.lang.Math'', ''abs'', ', CAST(event_id AS STRING), ') > 0')
+    WHEN 6 THEN concat('updated_by = ', CAST(user_id AS STRING))
+    ELSE concat('true /* ', CAST(event_id AS STRING), ' */') END AS condition
 FROM {src}
 """
 

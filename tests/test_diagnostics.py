@@ -1,6 +1,5 @@
 import random
 
-import plain
 import pytest
 from conftest import rows, value_of
 from pyspark.sql import functions as F
@@ -12,13 +11,13 @@ from logquarry.operators import diagnostics as D
 from logquarry.operators import sampling as C
 from logquarry.operators.ranking import top_k_per_group
 
-TRACE = 'Traceback (most recent call last):\n  File "x.py", line 1\nRuntimeError: boom'
+TRACE = 'Traceback (most recent call last):\n  File "jobs/load.py", line 31\nOSError: full'
 
 
 def test_two_traces_in_one_text(spark):
-    text = f"start\n{TRACE}\n\n\nbetween\n{TRACE.replace('boom', 'again')}\n\nrest"
-    assert value_of(spark, X.tracebacks, text) == [TRACE, TRACE.replace("boom", "again")]
-    assert value_of(spark, X.failure_text, text) == P.TRACES_TITLE + TRACE + "\n" + TRACE.replace("boom", "again")
+    text = f"start\n{TRACE}\n\n\nbetween\n{TRACE.replace('full', 'again')}\n\nrest"
+    assert value_of(spark, X.tracebacks, text) == [TRACE, TRACE.replace('full', 'again')]
+    assert value_of(spark, X.failure_text, text) == P.TRACES_TITLE + TRACE + "\n" + TRACE.replace('full', 'again')
 
 
 def test_trace_runs_to_the_end_of_the_text(spark):
@@ -44,46 +43,90 @@ def test_no_failure(spark, text):
 
 
 def test_exception_parts(spark):
-    trace = 'Traceback (most recent call last):\n  File "a b.py", line 7, in <module>\n    go()\n  File "c.py", line 9, in go\napp.Oops: x: y\n'
-    assert [tuple(f) for f in value_of(spark, X.frames, trace)] == [("a b.py", 7, "<module>"), ("c.py", 9, "go")]
-    line = value_of(spark, X.exception_line, trace)
-    assert line == "app.Oops: x: y"
-    assert value_of(spark, X.exception_type, line) == "app.Oops"
-    assert value_of(spark, X.exception_message, line) == "x: y"
-    assert value_of(spark, X.exception_message, "KeyboardInterrupt") == ""
-
-
-def make_text(n, flagged, seed=0):
+    head = 'Traceback (most recent call last):\n  File "a b.py", line 7, in <module>\n    go()\n  File "c.py", line 9, in go\n'
+    assert [tuple(f) for f in value_of(spark, X.frames, head + "app.Oops: x: y\n")] == [("a b.py", 7, "<module>"), ("c.py", 9, "go")]
+    for closing, expected in (
+        ("app.Oops: x: y\n", ("app.Oops", "x: y")),
+        ("    step()\n    ^^^^\nOops: one\ndetail: two\n\n", ("Oops", "one\ndetail: two")),
+        ("KeyboardInterrupt", ("KeyboardInterrupt", "")),
+        ("Oops:\n  indented", ("Oops", "\n  indented")),
+        ("  nothing more", (None, None)),
+    ):
+        assert tuple(value_of(spark, X.exception, head + closing)) == expected, closing
+    assert tuple(value_of(spark, X.exception, "Traceback (most recent call last):\nOops: bare")) == ("Oops", "bare")
+
+
+def make_lines(n, flagged, seed=0):
+    """Lines of which some have a context word, and which these are."""
     rng = random.Random(seed)
-    marked = set(rng.sample(range(n), min(flagged, n)))
-    return "\n".join(f"line{i} {rng.choice(['ERROR', 'WARN', 'FAILED'])}" if i in marked else f"line{i} error" for i in range(n))
+    marked = sorted(rng.sample(range(n), min(flagged, n)))
+    words = {i: rng.choice(["ERROR", "WARN", "FAILED"]) for i in marked}
+    return [f"line{i} {words.get(i, 'error')}" for i in range(n)], marked
+
+
+def check_sample(lines, marked, kept, max_lines):
+    """`kept`: (section, line).  Properties that fix the sample."""
+    n = len(lines)
+    part = {s: [x for t, x in kept if t == s] for s in ("all", "head", "middle", "tail")}
+    if n <= max_lines:
+        assert part["all"] == lines and len(kept) == n
+        return
+    tail_from = max(n - 20, min(15, n))
+    assert part["head"] == lines[:15] and part["tail"] == lines[tail_from:] and not part["all"]
+    between = [i for i in marked if 15 <= i < tail_from] or list(range(15, tail_from))
+    places = [lines.index(x) for x in part["middle"]]
+    assert places == sorted(places) and len(places) == min(15, len(between))
+    assert set(places) <= set(between) and not any(i < max(places) and i not in places for i in between)
 
 
 @pytest.mark.parametrize("max_lines", [0, 5, 50])
 def test_sampling_one_text(spark, max_lines):
-    sizes = [0, 1, 5, 14, 15, 16, 34, 35, 36, 49, 50, 51, 65, 120]
-    texts = ["\n \t" + make_text(n, flagged) + " \n\n" for n in sizes for flagged in (0, 1, 40)] + ["", "\n", "only line"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for text, found in rows(df.select("t", sample_text(F.col("t"), max_lines))):
-        assert found == plain.sample(text, max_lines)
+    sizes = [1, 5, 14, 15, 16, 34, 35, 36, 49, 50, 51, 65, 120]
+    cases = [make_lines(n, flagged) for n in sizes for flagged in (0, 1, 40)]
+    df = spark.createDataFrame([(i, "\n \t" + "\n".join(x) + " \n\n") for i, (x, _) in enumerate(cases)], "i int, t string")
+    found = dict(rows(df.select("i", sample_text(F.col("t"), max_lines))))
+    for i, (lines, marked) in enumerate(cases):
+        if len(lines) <= max_lines:
+            assert found[i] == "\n \t" + "\n".join(lines) + " \n\n"
+            continue
+        head, rest = found[i].split("\n\n... [TRUNCATED ")
+        count, rest = rest.split(" LINES] ...\n\n", 1)
+        middle, tail = rest.split("\n\n... [RECENT CRASH CONTEXT] ...\n")
+        kept = [(s, x) for s, t in (("head", head), ("middle", middle), ("tail", tail)) for x in t.split("\n") if x]
+        assert int(count) == len(lines) - len(kept)
+        check_sample(lines, marked, kept, max_lines)
+
+
+def test_sampling_a_text_without_lines(spark):
+    df = spark.createDataFrame([("",), ("\n",), ("only line",)], "t string")
+    assert [r[0] for r in rows(df.select(sample_text(F.col("t"))))] == ["", "\n", "only line"]
 
 
 @pytest.mark.parametrize("max_lines", [5, 50, 70])
 def test_sampling_groups_of_rows(spark, max_lines):
-    groups = {f"g{i}": make_text(n, f, i).split("\n") for i, (n, f) in enumerate(
-        [(1, 0), (20, 3), (50, 9), (51, 0), (51, 51), (70, 2), (90, 60), (400, 1), (900, 300), (3000, 0)])}
-    data = [(g, i, line) for g, lines in groups.items() for i, line in enumerate(lines)]
+    groups = {f"g{i}" if i else None: make_lines(n, f, i) for i, (n, f) in enumerate(
+        [(80, 2), (1, 0), (20, 3), (50, 9), (51, 0), (51, 51), (70, 2), (90, 60), (400, 1), (900, 300), (3000, 0)])}
+    data = [(g, i, line) for g, (lines, _) in groups.items() for i, line in enumerate(lines)]
     random.Random(3).shuffle(data)
     df = spark.createDataFrame(data, "g string, i long, line string").repartition(7)
     sample = C.sample_context(df, ["g"], ["i"], max_lines=max_lines)
     found = {}
     order = {"all": 0, "head": 0, "middle": 1, "tail": 2}
-    for g, section, pos, size, _, line in sorted(rows(sample), key=lambda r: (r[0], order[r[1]], r[2])):
-        assert size == len(groups[g])
+    for g, section, pos, size, _, line in sorted(rows(sample), key=lambda r: (str(r[0]), order[r[1]], r[2])):
+        assert size == len(groups[g][0])
         found.setdefault(g, []).append((section, line))
-    assert found == {g: plain.pick(lines, max_lines) for g, lines in groups.items()}
+    assert set(found) == set(groups)
+    for g, (lines, marked) in groups.items():
+        check_sample(lines, marked, found[g], max_lines)
     texts = {r["g"]: r["payload"] for r in C.context_payload(sample, ["g"]).collect()}
-    assert texts == {g: plain.sample("\n".join(lines), max_lines) for g, lines in groups.items()}
+    long = [g for g, (lines, _) in groups.items() if len(lines) > max_lines]
+    assert all(texts[g].startswith("\n".join(groups[g][0][:15]) + "\n\n... [TRUNCATED ") for g in long)
+    assert set(texts) == set(groups) and None in long
+
+
+def test_more_rows_than_spark_limits_are_refused(spark):
+    with pytest.raises(ValueError, match="rows per group"):
+        C.sample_context(spark.createDataFrame([("g", 1, "x")], "g string, i long, line string"), ["g"], ["i"], max_lines=1001)
 
 
 def test_sampling_keeps_bounded_candidates(spark, sf):
@@ -142,7 +185,7 @@ def test_recent_failures(spark):
 
 
 def test_diagnosis(spark):
-    found = dict(rows(D.diagnose(failures(spark))))
+    found = {r["app"]: r["analysis"] for r in D.diagnose(failures(spark)).collect()}
     assert set(found) == {"a", "b", "d"}
     assert found["a"].split("\n") == [
         "- **Primary Issue**: 3 failed records in a",
@@ -150,3 +193,17 @@ def test_diagnosis(spark):
         "- **Affected Components/Files**: a.py:7 in run",
     ]
     assert P.NO_FAILURE in found["b"] and "none identified" in found["b"]
+
+
+def test_diagnosis_without_traces_or_app_and_with_many_places(spark):
+    at = 'Traceback (most recent call last):\n  File "f{}.py", line 1, in run\nOSError: full\ndetail: y'
+    records = [(i, "2031-01-01 00:00:00", "ERROR", None, at.format(i)) for i in range(7)]
+    records += [(10, "2031-01-01 00:00:00", "ERROR", "b", "it\n disk FAILED \nagain"), (11, "2031-01-01 00:00:01", "FATAL", "b", "x\n disk FAILED ")]
+    found = {r["app"]: r for r in D.diagnose_with_evidence(logs(spark, records)).collect()}
+    assert found[None]["subject"] == "(none)" and found[None]["failures"] == 7
+    assert found[None]["analysis"].split("\n")[1:3] == ["- **Root Cause**: OSError: full", "detail: y (7 traces)"]
+    assert found[None]["analysis"].endswith("f4.py:1 in run and 2 more")
+    assert "- **Root Cause**: disk FAILED (2 lines)" in found["b"]["analysis"]
+    assert "disk FAILED" in found["b"]["evidence"] and "2031-01-01 00:00:00 [ERROR]  (f.py:1): Traceback" in found[None]["evidence"]
+    two = D.diagnose(logs(spark, records), ["app", "level"]).select("subject", "failures")
+    assert sorted(rows(two)) == [("(none) on ERROR", 7), ("b on ERROR", 1), ("b on FATAL", 1)]
