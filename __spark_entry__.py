@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from logquarry.functions import patterns as P
 from logquarry.functions import sampling as sampling_text
 from logquarry.functions import traces as X
+from logquarry.functions.guards import QUERY_RULES, filter_is_safe
 from logquarry.functions.redaction import redaction_counts, scrub, scrub_text
 from logquarry.operators import access
 from logquarry.operators import classify as Q
@@ -24,7 +25,7 @@ from logquarry.operators.stitch import parse_lines, parse_texts
 from logquarry.plans import event_logs as E
 from logquarry.plans import incidents, metrics
 from logquarry.schema import LOG_SCHEMA, ROW_ID
-from logquarry.session import scratch_path, spread
+from logquarry.session import scratch_path
 from logquarry.sources.store import LogStore
 from logquarry.sources.tables import read_table_file
 from logquarry.sources.text_logs import read_logs
@@ -43,32 +44,28 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table for work on whole texts, which is worth spreading when the table is small."""
-    return spread(_table(spark, sf, name))
-
-
 def _logs(spark: SparkSession, sf: str) -> DataFrame:
     return E.logs_from_events(spark, _table(spark, sf, "events"))
 
 
-def _log_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return E.logs_from_events(spark, _texts(spark, sf, "events"))
+def _lost(logs: DataFrame) -> DataFrame:
+    """The log with records whose app is gone."""
+    return logs.withColumn("app", F.when(F.col(ROW_ID) % 13 != 0, F.col("app")))
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
-    return E.questions_from_events(spark, _texts(spark, sf, "events"))
+    return E.questions_from_events(spark, _table(spark, sf, "events"))
 
 
 def _statements(spark: SparkSession, sf: str) -> DataFrame:
-    return E.statements_from_events(spark, _texts(spark, sf, "events"))
+    return E.statements_from_events(spark, _table(spark, sf, "events"))
 
 
 def _log_files(spark: SparkSession, sf: str) -> str:
     """The log as text files whose names and lines are in event order."""
     path = scratch_path(spark, "log-text")
-    logs = _log_texts(spark, sf)
-    logs.repartitionByRange(4, ROW_ID).sortWithinPartitions(ROW_ID).select(C.render_line()).write.text(path)
+    logs = _logs(spark, sf)
+    logs.repartitionByRange(ROW_ID).sortWithinPartitions(ROW_ID).select(C.render_line()).write.text(path)
     return path
 
 
@@ -85,12 +82,12 @@ def _store(spark: SparkSession, sf: str) -> LogStore:
 
 def error_rate_by_app(spark, sf):
     """Raw lines to records to a rate, end to end."""
-    rows = E.text_rows(_log_texts(spark, sf))
+    rows = E.text_rows(_logs(spark, sf))
     return metrics.error_rate_by_app(parse_lines(rows, file="app", seq="seq"))
 
 
 def log_parse(spark, sf):
-    return parse_lines(E.text_rows(_log_texts(spark, sf)), file="app", seq="seq")
+    return parse_lines(E.text_rows(_logs(spark, sf)), file="app", seq="seq")
 
 
 def log_file_parse(spark, sf):
@@ -103,35 +100,52 @@ def log_file_row_ids(spark, sf):
 
 def log_lines_single(spark, sf):
     """Each row a log of its own, of one record."""
-    rows = _log_texts(spark, sf).select(C.render_line().alias("value"))
+    rows = _logs(spark, sf).select(C.render_line().alias("value"))
     return parse_texts(rows, "value").groupBy("app", "level").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("message")).alias("chars")
     )
 
 
 def format_round_trip(spark, sf):
-    """The log written and read back in each format, summed up per format."""
-    logs = E.log_columns(_logs(spark, sf))
+    """The log written and read back in each format, row by row; some messages hold quotes, some are empty."""
+    odd = F.when(F.col(ROW_ID) % 5 == 0, "").when(F.col(ROW_ID) % 5 == 1, F.concat(F.lit('"'), "message", F.lit('", said\nit')))
+    logs = E.log_columns(_logs(spark, sf).withColumn("message", F.coalesce(odd, "message")))
     out = None
     for suffix in ("csv", "json", "jsonl", "parquet"):
         path = f"{scratch_path(spark, 'formats')}.{suffix}"
         writer = logs.write
         if suffix == "csv":
-            writer.option("escape", '"').csv(path, header=True, quoteAll=True)
+            writer.option("escape", '"').option("emptyValue", "").csv(path, header=True, quoteAll=True)
         elif suffix == "parquet":
             writer.parquet(path)
         else:
             writer.json(path)
-        back = read_table_file(spark, path, LOG_SCHEMA).groupBy(F.lit(suffix).alias("format"), "level", "app").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("timestamp").alias("first_seen"),
-            F.sum("line_number").alias("lines"),
-            F.sum(F.length("message")).alias("chars"),
-        )
+        back = read_table_file(spark, path, LOG_SCHEMA, multi_line=True)
+        back = back.withColumn("message", F.coalesce("message", F.lit(""))).withColumn("format", F.lit(suffix))
         out = back if out is None else out.unionByName(back)
     return out
 
 
+def _fresh_store(spark) -> LogStore:
+    path = scratch_path(spark, "store")
+    return LogStore(spark, path, "logs_" + path.rsplit("-", 1)[1])
+
+
+def store_append(spark, sf):
+    """Two halves of the log, the second appended; ids go on from the first."""
+    logs, store = _logs(spark, sf).orderBy(ROW_ID), _fresh_store(spark)
+    for odd, mode in ((0, "overwrite"), (1, "append")):
+        store.insert(E.log_columns(logs.where(F.col(ROW_ID) % 2 == odd)), mode=mode)
+    return store.df().drop("event_date")
+
+
+def store_overwrite(spark, sf):
+    """A full store replaced by its errors, with new ids."""
+    store = _store(spark, sf)
+    store.insert(E.log_columns(_logs(spark, sf).where("level = 'ERROR'").orderBy(ROW_ID)), mode="overwrite")
+    return store.df().drop("event_date")
+
+
 def store_ingest(spark, sf):
     """Text files into the store; a second ingest changes nothing."""
     files = _log_files(spark, sf)
@@ -170,7 +184,7 @@ def delete_whole_day(spark, sf):
 def _seeded(spark, sf):
     """The log with broken records: an unknown level, a lost app, and a bad time or line as text."""
     eid = F.col(ROW_ID)
-    return _log_texts(spark, sf).select(
+    return _logs(spark, sf).select(
         ROW_ID,
         F.when(eid % 97 == 0, "2024-13-45 00:00:00").otherwise(F.col("timestamp").cast("string")).alias("timestamp"),
         F.when(eid % 11 == 0, "CRITICAL").otherwise(F.col("level")).alias("level"),
@@ -207,7 +221,7 @@ def filter_raw_then_scrub(spark, sf):
 
 def group_raw_then_scrub(spark, sf):
     return S.run_query(
-        spark, "SELECT message, count(*) AS n FROM {logs} GROUP BY message", logs=_log_texts(spark, sf)
+        spark, "SELECT message, count(*) AS n FROM {logs} GROUP BY message", logs=_logs(spark, sf)
     )
 
 
@@ -221,19 +235,46 @@ def query_audit_counts(spark, sf):
 
 def query_preview(spark, sf):
     return S.preview_per_group(
-        _logs(spark, sf), ["app"], [ROW_ID, "level", "source_file"], [F.desc("timestamp"), F.desc(ROW_ID)]
+        _lost(_logs(spark, sf)), ["app"], [ROW_ID, "level", "message"], [F.desc("timestamp"), F.desc(ROW_ID)]
     )
 
 
 def table_profile(spark, sf):
-    profiled = G.profile(_table(spark, sf, "orders"))
-    return profiled.where(F.col("column_type").isin("bigint", "string", "timestamp_ntz")).select(
-        "position", "column_name", "row_count", "null_count", "min_value", "max_value"
-    )
+    return G.profile(_table(spark, sf, "orders")).drop("distinct_count", "distinct_exact")
 
 
 def table_profile_distinct(spark, sf):
-    return G.profile(_logs(spark, sf))
+    found = G.profile(_lost(_logs(spark, sf)), exact=["level", "app", "source_file", "line_number"])
+    return found.where("distinct_exact").select("column_name", "row_count", "null_count", "distinct_count")
+
+
+def table_descriptions(spark, sf):
+    tables = {"logs": E.log_columns(_lost(_logs(spark, sf))), "nation": _table(spark, sf, "nation").select("n_nationkey", "n_name")}
+    return G.describe_tables(spark, ["logs", "nothing", "nation"], tables, {"logs": ["line_number", "message"]})
+
+
+def query_results(spark, sf):
+    """Statements of all kinds, each with its rows, its error or its refusal."""
+    logs = _logs(spark, sf)
+    logs.createOrReplaceTempView("query_results_logs")
+    statements = [
+        (0, f"SELECT level, count(*) AS n FROM {{logs}} WHERE app = '{APP}' GROUP BY level ORDER BY level"),
+        (1, "SELECT message FROM {logs} ORDER BY _rowid DESC"),
+        (2, "SELECT app FROM {logs} WHERE level = 'NONE'"),
+        (3, "DROP TABLE logs"),
+        (4, "SELECT java_method('java.lang.Math', 'abs', -1)"),
+        (5, "SELECT level FROM {logs} WHERE CAST(app AS INT) = 1"),
+        (6, "DESCRIBE query_results_logs"),
+    ]
+    found = S.query_results(spark, statements, logs=logs)
+    failed = F.col("verdict") == "failed"
+    return found.withColumn("text", F.when(failed, F.substring("text", 1, len(P.QUERY_ERROR))).otherwise(F.col("text")))
+
+
+def filter_audit(spark, sf):
+    """Delete conditions made from events, judged as a column."""
+    conditions = spark.sql(E.CONDITIONS_SQL.replace("{src}", "{events}"), events=_table(spark, sf, "events"))
+    return conditions.select("filter_id", filter_is_safe(F.col("condition")).alias("safe"))
 
 
 def table_samples(spark, sf):
@@ -241,34 +282,37 @@ def table_samples(spark, sf):
 
 
 def scrub_documents(spark, sf):
-    return scrub(_texts(spark, sf, "documents"))
+    return scrub(_table(spark, sf, "documents"))
 
 
 def scrub_pages(spark, sf):
-    return scrub(_texts(spark, sf, "pages"))
+    return scrub(_table(spark, sf, "pages"))
 
 
 def scrub_conversations(spark, sf):
-    return scrub(_texts(spark, sf, "conversations"))
+    """Each turn with an address of its speaker behind it."""
+    turns = _table(spark, sf, "conversations")
+    address = F.concat(F.lit(" from "), "role", F.lit("."), F.col("conv_id").cast("string"), F.lit("@mail.example.org"))
+    return scrub(turns.withColumn("text", F.concat("text", address)))
 
 
 def scrub_target_columns(spark, sf):
-    logs = _log_texts(spark, sf).withColumn("copy", F.col("message"))
+    logs = _logs(spark, sf).withColumn("copy", F.col("message"))
     return scrub(logs, ["message"])
 
 
 def scrub_tokens(spark, sf):
-    """Each document's head line with a web token and a bearer key made from its hash."""
+    """Each whole document with a web token before and a bearer key behind it, both made from its hash."""
     digest = F.md5("text")
     text = F.concat(
-        F.lit("auth eyJ"), digest, F.lit("."), F.reverse(digest), F.lit("."), F.substring(digest, 5, 9),
-        F.lit(" then Authorization: Bearer \""), digest, F.lit("\" for doc "), F.col("doc_id").cast("string"),
+        F.lit("auth eyJ"), digest, F.lit("."), F.reverse(digest), F.lit("."), F.substring(digest, 5, 9), F.lit(" "), "text",
+        F.lit(" Authorization: Bearer \""), digest, F.lit("\" for doc "), F.col("doc_id").cast("string"),
     )
-    return _texts(spark, sf, "documents").select("doc_id", scrub_text(text).alias("line"))
+    return _table(spark, sf, "documents").select("doc_id", scrub_text(text).alias("text"))
 
 
 def scrub_nested(spark, sf):
-    logs = _log_texts(spark, sf).select(
+    logs = _logs(spark, sf).select(
         ROW_ID, F.struct("app", F.split("message", "\n").alias("lines")).alias("record")
     )
     deep = scrub(logs, deep=True)
@@ -276,20 +320,22 @@ def scrub_nested(spark, sf):
 
 
 def redaction_audit(spark, sf):
-    """Matches per kind and app, and how many records hold any."""
-    counted = _log_texts(spark, sf).select("app", redaction_counts(F.col("message")).alias("c"))
-    return counted.groupBy("app").agg(
-        *[F.sum(f"c.{k}").alias(k) for k in ("jwt", "api_key", "email", "ip")]
-    )
+    """Replacements per kind and app, and how many records have any.  Some records hold a web token as a key."""
+    token = F.concat("message", F.lit(" token=eyJ"), F.md5("message"), F.lit(".a.b"))
+    text = F.when(F.col(ROW_ID) % 3 == 0, token).otherwise(F.col("message"))
+    counted = _logs(spark, sf).select("app", redaction_counts(text).alias("c"))
+    kinds = ("jwt", "api_key", "email", "ip")
+    some = sum((F.col(f"c.{k}") for k in kinds[1:]), F.col(f"c.{kinds[0]}")) > 0
+    return counted.groupBy("app").agg(*[F.sum(f"c.{k}").alias(k) for k in kinds], F.count_if(some).alias("records"))
 
 
 def tracebacks(spark, sf):
-    return scrub(D.extract_tracebacks(_log_texts(spark, sf), "message", [ROW_ID]))
+    return scrub(D.extract_tracebacks(_logs(spark, sf), "message", [ROW_ID]))
 
 
 def _payloads(spark, sf):
     """Two copies of a message with a blank line between, so that a text holds two traces."""
-    return _log_texts(spark, sf).select(
+    return _logs(spark, sf).select(
         ROW_ID, F.concat("message", F.lit("\n\n"), "message", F.lit("\nlast line")).alias("payload")
     )
 
@@ -311,22 +357,27 @@ def failure_text(spark, sf):
     return scrub(text)
 
 
+def _troubled(docs: DataFrame) -> DataFrame:
+    """Whole documents, of which some report a failure in their middle and some hold a traceback."""
+    n = F.col("doc_id").cast("string")
+    line = F.concat(F.lit("\njob "), n, F.lit(" FAILED after "), F.col("n_chars").cast("string"), F.lit(" characters\n"))
+    trace = F.concat(F.lit("\nTraceback (most recent call last):\n  File \"doc.py\", line "), n, F.lit(", in load\nOSError: "), "source", F.lit("\n\n"))
+    middle = F.when(F.col("doc_id") % 3 == 0, line).when(F.col("doc_id") % 3 == 1, trace).otherwise("\n")
+    return docs.withColumn("text", F.concat("text", middle, "text"))
+
+
 def document_failure_lines(spark, sf):
-    """Failure extracts of whole documents, as sizes."""
-    docs = _texts(spark, sf, "documents")
-    return docs.select(
-        "doc_id",
-        X.failure_kind(F.col("text")).alias("kind"),
-        F.length(X.failure_text(F.col("text"))).cast("long").alias("chars"),
-    )
+    """Failure extracts of whole documents."""
+    docs = _troubled(_table(spark, sf, "documents"))
+    return docs.select("doc_id", X.failure_kind(F.col("text")).alias("kind"), X.failure_text(F.col("text")).alias("extract"))
 
 
 def exception_profile(spark, sf):
-    return D.exception_profile(D.exceptions(_log_texts(spark, sf)))
+    return D.exception_profile(D.exceptions(_logs(spark, sf)))
 
 
 def top_exceptions(spark, sf):
-    return D.top_exceptions(D.exceptions(_log_texts(spark, sf)))
+    return D.top_exceptions(D.exceptions(_logs(spark, sf)))
 
 
 def recent_failures(spark, sf):
@@ -334,20 +385,22 @@ def recent_failures(spark, sf):
 
 
 def context_sample(spark, sf):
-    logs = _log_texts(spark, sf).withColumn("line", C.render_line())
+    logs = _lost(_logs(spark, sf)).withColumn("line", C.render_line())
     return scrub(C.sample_context(logs, ["app"], ["timestamp", ROW_ID]))
 
 
 def context_payload(spark, sf):
-    lines = C.log_lines(_log_texts(spark, sf), ["app", "source_file"])
+    lines = C.log_lines(_logs(spark, sf), ["app", "source_file"])
     sample = C.sample_context(lines, ["app", "source_file"], ["timestamp", ROW_ID, "pos"])
     return C.context_payload(sample, ["app", "source_file"])
 
 
 def sample_text(spark, sf):
-    """Every whole document cut by the one-text form."""
-    docs = _texts(spark, sf, "documents")
-    return docs.select("doc_id", sampling_text.sample_text(F.col("text"), 10).alias("sample"))
+    """Every whole document, a sentence a line, cut by the one-text form; some have telling lines in the middle."""
+    docs = _table(spark, sf, "documents")
+    lines = F.replace(F.col("text"), F.lit(". "), F.lit(".\n"))
+    telling = F.when(F.col("doc_id") % 2 == 0, F.replace(lines, F.lit("re"), F.lit("WARN"))).otherwise(lines)
+    return docs.select("doc_id", sampling_text.sample_text(telling).alias("sample"))
 
 
 def route_questions(spark, sf):
@@ -356,7 +409,10 @@ def route_questions(spark, sf):
 
 
 def route_conversations(spark, sf):
-    routed = Q.classify(_texts(spark, sf, "conversations"), "text")
+    """Turns with a request before them, of which there are four kinds."""
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    asked = F.when(kind == 0, "Why this: ").when(kind == 1, "List the parts of ").when(kind == 2, "Count, and diagnose ").otherwise("")
+    routed = Q.classify(_table(spark, sf, "conversations").withColumn("text", F.concat(asked, "text")), "text")
     return routed.select("conv_id", "turn", F.array_join("routes", "+").alias("routes"))
 
 
@@ -370,7 +426,9 @@ def route_fanout(spark, sf):
 
 
 def diagnosis(spark, sf):
-    return D.diagnose(_log_texts(spark, sf))
+    """With the telling lines of the failed records."""
+    found = D.diagnose_with_evidence(_lost(_logs(spark, sf)))
+    return found.select("subject", "failures", "analysis", "evidence")
 
 
 def _rejects(spark, sf):
@@ -380,18 +438,18 @@ def _rejects(spark, sf):
 
 
 def incident_report(spark, sf):
-    return incidents.incident_reports(_questions(spark, sf), _log_texts(spark, sf), _rejects(spark, sf))
+    return incidents.incident_reports(_questions(spark, sf), _logs(spark, sf), _rejects(spark, sf))
 
 
 # -- extensions ----------------------------------------------------------------
 
 
 def telling_exceptions(spark, sf):
-    return D.telling_exceptions(D.exceptions(_log_texts(spark, sf)))
+    return D.telling_exceptions(D.exceptions(_logs(spark, sf)))
 
 
 def context_budget(spark, sf):
-    logs = _log_texts(spark, sf).withColumn("line", C.render_line())
+    logs = _logs(spark, sf).withColumn("line", C.render_line())
     kept = C.within_budget(C.sample_context(logs, ["app"], ["timestamp", ROW_ID]), ["app"], 1500)
     return kept.select("app", "section", "pos_in_section", ROW_ID, "used")
 
@@ -404,7 +462,7 @@ def recorded_query(spark, sf):
 
 
 def alert_reports(spark, sf):
-    return incidents.alert_reports(_log_texts(spark, sf), 0.25)
+    return incidents.alert_reports(_lost(_logs(spark, sf)), 0.25)
 
 
 def visible_records(spark, sf):
@@ -496,8 +554,8 @@ PASS_THROUGH = {
     ),
     "sql_semi_anti": (
         "SELECT c_nationkey, count(*) AS idle FROM @customer c WHERE NOT EXISTS "
-        "(SELECT 1 FROM @orders o WHERE o.o_custkey = c.c_custkey) AND c.c_nationkey IN "
-        "(SELECT n_nationkey FROM @nation) GROUP BY c_nationkey",
+        "(SELECT 1 FROM @orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT') AND c.c_nationkey IN "
+        "(SELECT n_nationkey FROM @nation WHERE n_regionkey > 0) GROUP BY c_nationkey",
         ["customer", "orders", "nation"],
     ),
     "sql_outer_join": (
@@ -554,9 +612,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found["totals"] = lambda spark, sf: metrics.totals(_table(spark, sf, "events"), "value")
     for f in (
         error_rate_by_app, log_parse, log_file_parse, log_file_row_ids, log_lines_single, format_round_trip,
-        store_ingest, get_by_id, delete_record, delete_filter, delete_whole_day, validate_logs, validation_counts,
+        store_ingest, store_append, store_overwrite, get_by_id, delete_record, delete_filter, delete_whole_day, validate_logs, validation_counts,
         param_query, filter_raw_then_scrub, group_raw_then_scrub, query_audit, query_audit_counts, query_preview,
-        table_profile, table_profile_distinct, table_samples, scrub_documents, scrub_pages, scrub_conversations,
+        table_profile, table_profile_distinct, table_descriptions, query_results, filter_audit, table_samples, scrub_documents, scrub_pages, scrub_conversations,
         scrub_target_columns, scrub_tokens, scrub_nested, redaction_audit, tracebacks, payload_tracebacks,
         failure_lines, trace_kind, failure_text, document_failure_lines, exception_profile, top_exceptions,
         recent_failures, context_sample, context_payload, sample_text, route_questions, route_conversations,
@@ -633,31 +691,53 @@ _VERDICT = (
     "CASE WHEN trim(query) = '' THEN 'empty' "
     "WHEN upper(regexp_extract(trim(query), '^[A-Za-z]+')) NOT IN "
     "('SELECT', 'WITH', 'SHOW', 'DESCRIBE', 'EXPLAIN') THEN 'not_read_only' "
-    f"WHEN regexp_matches(query, {_lit(P.UNSAFE_QUERY)}, 'i') THEN 'unsafe' ELSE 'ok' END"
+    f"WHEN regexp_matches(query, {_lit(P.UNSAFE_QUERY)}, 'i') THEN 'unsafe' "
+    f"WHEN regexp_matches(query, {_lit(P.ENGINE_ACCESS)}, 'i') THEN 'engine_access' ELSE 'ok' END"
 )
-_TOKEN = f"upper(regexp_extract(query, {_lit('(?i)' + P.UNSAFE_QUERY)}))"
+_TOKEN = (
+    f"CASE verdict WHEN 'unsafe' THEN upper(regexp_extract(query, {_lit('(?i)' + P.UNSAFE_QUERY)})) "
+    f"WHEN 'engine_access' THEN upper(regexp_extract(query, {_lit('(?i)' + P.ENGINE_ACCESS)})) END"
+)
+_FRAME_LINE = _lit(r'^\s+File "[^"]*", line [0-9]+')
+# Line by line: the last frame, and behind it the first line that may name a type.
 _EXC = f"""
-traces AS (SELECT _rowid, timestamp, level, app, unnest(regexp_extract_all(message, {_TRACES}, 1)) AS trace FROM logs),
-excs AS (SELECT *, regexp_extract_all(trace, {_lit(P.EXCEPTION_LINE)})[-1] AS exc_line,
-    regexp_extract(trace, {_lit('(?s).*File "([^"]*)", line (?:[0-9]+)')}, 1) || ':' ||
-    regexp_extract(trace, {_lit('(?s).*File "(?:[^"]*)", line ([0-9]+)')}, 1) || ' in ' ||
-    regexp_extract(trace, {_lit('(?s).*File "(?:[^"]*)", line (?:[0-9]+), in ([^ \n]+)')}, 1) AS frame FROM traces),
-exceptions AS (SELECT *, split_part(exc_line, ':', 1) AS exc_type, ltrim(substr(exc_line, length(split_part(exc_line, ':', 1)) + 2)) AS exc_message,
-    split_part(exc_line, ':', 1) || ' at ' || frame AS signature FROM excs)"""
-_DIAGNOSIS = """
+traces AS (SELECT * EXCLUDE (message), unnest(regexp_extract_all(message, {_TRACES}, 1)) AS trace FROM logs),
+cut AS (SELECT *, string_split(trace, chr(10)) AS ls FROM traces),
+framed AS (SELECT *, coalesce(list_max(list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], {_FRAME_LINE}))), 0) AS f FROM cut),
+closed AS (SELECT *, list_min(list_filter(range(f + 1, len(ls) + 1), lambda i: regexp_matches(ls[i], '^[A-Za-z_][A-Za-z0-9_.]*(:.*)?$'))) AS x FROM framed),
+exceptions AS (SELECT *, coalesce(split_part(ls[x], ':', 1), 'unknown') AS exc_type,
+  coalesce(rtrim(concat(regexp_extract(ls[x], '^[^:]*: ?(.*)$', 1), CASE WHEN len(ls) > x THEN concat(chr(10), array_to_string(ls[x + 1:], chr(10))) END), chr(10)), '') AS exc_message,
+  CASE WHEN f > 0 THEN concat(regexp_extract(ls[f], 'File "([^"]*)"', 1), ':', regexp_extract(ls[f], 'line ([0-9]+)', 1), ' in ',
+    regexp_extract(ls[f], 'line [0-9]+, in ([^ ]+)', 1)) ELSE 'unknown' END AS frame,
+  concat(exc_type, ' at ', frame) AS signature FROM closed)"""
+
+
+def _diagnosis(*group: str) -> str:
+    """CTEs that end in `diagnoses`, from `logs` and `exceptions`; null is a group like any other."""
+    g = ", ".join(group)
+
+    def same(x: str) -> str:
+        return " AND ".join(f"t.{c} IS NOT DISTINCT FROM {x}.{c}" for c in group)
+
+    label = "concat_ws(' on ', " + ", ".join(f"coalesce(CAST(t.{c} AS VARCHAR), '(none)')" for c in group) + ")"
+    return f"""
 failed AS (SELECT * FROM logs WHERE level IN ('ERROR', 'FATAL')),
-totals AS (SELECT app, count(*) AS failures FROM failed GROUP BY app),
-causes AS (SELECT app, exc_type, exc_message, count(*) AS n,
-  row_number() OVER (PARTITION BY app ORDER BY count(*) DESC, exc_type, exc_message) AS r
-  FROM exceptions WHERE level IN ('ERROR', 'FATAL') GROUP BY app, exc_type, exc_message),
-places AS (SELECT app, frame, row_number() OVER (PARTITION BY app ORDER BY count(*) DESC, frame) AS r
-  FROM exceptions WHERE level IN ('ERROR', 'FATAL') GROUP BY app, frame),
-spots AS (SELECT app, string_agg(frame, ', ' ORDER BY r) AS places FROM places WHERE r <= 5 GROUP BY app),
-diagnoses AS (SELECT t.app, concat('- **Primary Issue**: ', failures, ' failed records in ', t.app,
-  chr(10), '- **Root Cause**: ', coalesce(exc_type || CASE WHEN exc_message <> '' THEN ': ' || exc_message ELSE '' END
-  || ' (' || n || ' traces)', 'No explicit stack trace or exception block detected in log data.'),
-  chr(10), '- **Affected Components/Files**: ', coalesce(places, 'none identified')) AS analysis
-  FROM totals t LEFT JOIN causes c ON c.app = t.app AND c.r = 1 LEFT JOIN spots s ON s.app = t.app)"""
+thrown AS (SELECT * FROM exceptions WHERE level IN ('ERROR', 'FATAL')),
+totals AS (SELECT {g}, count(*) AS failures FROM failed GROUP BY {g}),
+causes AS (SELECT {g}, exc_type, exc_message, count(*) AS n,
+  row_number() OVER (PARTITION BY {g} ORDER BY count(*) DESC, exc_type, exc_message) AS r FROM thrown GROUP BY {g}, exc_type, exc_message),
+hints AS (SELECT {g}, line, count(*) AS n, row_number() OVER (PARTITION BY {g} ORDER BY count(*) DESC, line) AS r FROM (
+  SELECT {g}, unnest(list_filter(string_split(message, chr(10)), lambda x: {_has_words('x')})) AS line FROM failed
+  WHERE NOT contains(message, {_lit(P.TRACE_HEADING)})) GROUP BY {g}, line),
+places AS (SELECT {g}, frame, row_number() OVER (PARTITION BY {g} ORDER BY count(*) DESC, frame) AS r FROM thrown GROUP BY {g}, frame),
+spots AS (SELECT {g}, string_agg(frame, ', ' ORDER BY r) FILTER (r <= 5) AS places, count(*) AS n FROM places GROUP BY {g}),
+diagnoses AS (SELECT {", ".join("t." + c for c in group)}, {label} AS subject, t.failures,
+  concat('- **Primary Issue**: ', t.failures, ' failed records in ', {label}, chr(10), '- **Root Cause**: ',
+    coalesce(c.exc_type || CASE WHEN c.exc_message <> '' THEN ': ' || c.exc_message ELSE '' END || ' (' || c.n || ' traces)',
+      trim(h.line) || ' (' || h.n || ' lines)', {_lit(P.NO_FAILURE)}),
+    chr(10), '- **Affected Components/Files**: ', coalesce(s.places, 'none identified'),
+    CASE WHEN s.n > 5 THEN concat(' and ', s.n - 5, ' more') END) AS analysis
+  FROM totals t LEFT JOIN causes c ON {same("c")} AND c.r = 1 LEFT JOIN hints h ON {same("h")} AND h.r = 1 LEFT JOIN spots s ON {same("s")})"""
 
 
 def _sampled(group: str, order: str, units: str) -> str:
@@ -677,6 +757,8 @@ kept AS (SELECT * FROM ranked WHERE section <> 'middle' OR pos_in_section <= 15)
 def oracle_sql() -> dict[str, str]:
     """The results that plain SQL can give."""
     logs = "WITH logs AS (" + _derived(E.LOGS_SQL) + ")"
+    lost = "WITH logs AS (SELECT * REPLACE (CASE WHEN _rowid % 13 <> 0 THEN app END AS app) FROM (" + _derived(E.LOGS_SQL) + "))"
+    one_cell = "replace(replace(replace({x}, '\\', '\\\\'), '|', '\\|'), chr(10), '<br>')"
     questions = "WITH questions AS (" + _derived(E.QUESTIONS_SQL) + ")"
     statements = "WITH statements AS (" + _derived(E.STATEMENTS_SQL) + ")"
     logs_clean = f"timestamp, level, app, source_file, line_number, {_clean('message')} AS message"
@@ -692,23 +774,29 @@ def oracle_sql() -> dict[str, str]:
     errors = ", ".join(
         [
             "CASE WHEN _rowid % 97 = 0 THEN 'bad_timestamp' END",
-            "CASE WHEN _rowid % 11 = 0 THEN 'unknown_level' END",
+            "CASE WHEN _rowid % 11 = 0 OR level = 'NOTICE' THEN 'unknown_level' END",
             "CASE WHEN _rowid % 13 = 0 THEN 'missing_app' END",
             "CASE WHEN _rowid % 89 = 0 THEN 'bad_line_number' END",
         ]
     )
     payloads = logs + ", payloads AS (SELECT _rowid, concat(message, chr(10), chr(10), message, chr(10), 'last line') AS payload FROM logs)"
     by_format = " UNION ALL ".join(
-        f"SELECT '{s}' AS format, level, app, count(*) AS n, min(timestamp) AS first_seen, "
-        "CAST(sum(line_number) AS BIGINT) AS lines, CAST(sum(length(message)) AS BIGINT) AS chars FROM logs GROUP BY level, app"
-        for s in ("csv", "json", "jsonl", "parquet")
+        f"SELECT '{x}' AS format, timestamp, level, app, source_file, line_number, CASE _rowid % 5 WHEN 0 THEN '' "
+        "WHEN 1 THEN concat('\"', message, '\", said', chr(10), 'it') ELSE message END AS message FROM logs"
+        for x in ("csv", "json", "jsonl", "parquet")
     )
-    count_matches = "CAST(sum(len(regexp_extract_all(message, {p}))) AS BIGINT) AS {k}"
     rendered = "SELECT app, timestamp, _rowid, " + _LINE + " AS line FROM logs"
     split = (
         "SELECT app, source_file, timestamp, _rowid, unnest(string_split(" + _LINE + ", chr(10))) AS line, "
         "generate_subscripts(string_split(" + _LINE + ", chr(10)), 1) AS pos FROM logs"
     )
+    payload_texts = "texts AS (SELECT {group}, max(group_lines) AS group_lines, count(*) AS kept_lines, " + ", ".join(
+        f"coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (section = '{x}'), '') AS {x}_text" for x in ("all", "head", "middle", "tail")
+    ) + " FROM kept GROUP BY {group})"
+    payload_cut = (
+        "CASE WHEN group_lines <= 50 THEN all_text ELSE concat(head_text, chr(10), chr(10), '... [TRUNCATED ', group_lines - kept_lines, "
+        "' LINES] ...', chr(10), chr(10), middle_text, chr(10), chr(10), '... [RECENT CRASH CONTEXT] ...', chr(10), tail_text) END"
+    )
     doc_lines = "string_split(trim(text, {b}), chr(10))".format(b=_lit(" \t\n\r\x0b\x0c"))
     middle = "ls[16:len(ls) - 20]"
     telling = f"list_filter({middle}, lambda x: {_context('x')})"
@@ -722,6 +810,8 @@ def oracle_sql() -> dict[str, str]:
         "format_round_trip": f"{logs} {by_format}",
         "store_ingest": f"{logs}, r AS (SELECT *, row_number() OVER (ORDER BY _rowid) - 1 AS id FROM logs) "
         "SELECT CAST(timestamp AS DATE) AS event_date, level, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM r GROUP BY ALL",
+        "store_append": f"{logs} SELECT row_number() OVER (ORDER BY _rowid % 2, _rowid) - 1 AS _rowid, {_LOG} FROM logs",
+        "store_overwrite": f"{logs} SELECT row_number() OVER (ORDER BY _rowid) - 1 AS _rowid, {_LOG} FROM logs WHERE level = 'ERROR'",
         "get_by_id": f"{logs} SELECT _rowid, {logs_clean} FROM logs WHERE CAST(_rowid AS VARCHAR) = '42'",
         "delete_record": f"{logs} SELECT _rowid, {_LOG} FROM logs WHERE CAST(_rowid AS VARCHAR) NOT IN ('42', '0042')",
         "delete_filter": f"{logs} SELECT _rowid, {_LOG} FROM logs WHERE NOT coalesce({GONE}, false)",
@@ -733,33 +823,70 @@ def oracle_sql() -> dict[str, str]:
         "filter_raw_then_scrub": f"{logs} SELECT _rowid, {_clean('message')} AS message FROM logs WHERE message LIKE '%@example.com from 10.0.7.%'",
         "group_raw_then_scrub": f"{logs} SELECT {_clean('message')} AS message, n FROM (SELECT message, count(*) AS n FROM logs GROUP BY message)",
         "query_audit": f"{statements}, v AS (SELECT query_id, query, {_VERDICT} AS verdict FROM statements) "
-        f"SELECT query_id, verdict, CASE WHEN verdict = 'unsafe' THEN {_TOKEN} END AS token FROM v",
+        f"SELECT query_id, verdict, {_TOKEN} AS token FROM v",
         "query_audit_counts": f"{statements}, v AS (SELECT query, {_VERDICT} AS verdict FROM statements) "
-        f"SELECT verdict, CASE WHEN verdict = 'unsafe' THEN {_TOKEN} END AS token, count(*) AS n FROM v GROUP BY ALL",
-        "query_preview": f"{logs}, r AS (SELECT *, row_number() OVER (PARTITION BY app ORDER BY timestamp DESC, _rowid DESC) AS r, count(*) OVER (PARTITION BY app) AS row_count FROM logs) "
-        "SELECT app, '| _rowid | level | source_file |' || chr(10) || '| --- | --- | --- |' || chr(10) || "
-        "string_agg(concat('| ', _rowid, ' | ', level, ' | ', source_file, ' |'), chr(10) ORDER BY r) AS preview, max(row_count) AS row_count "
+        f"SELECT verdict, {_TOKEN} AS token, count(*) AS n FROM v GROUP BY ALL",
+        "query_preview": f"{lost}, r AS (SELECT *, row_number() OVER (PARTITION BY app ORDER BY timestamp DESC, _rowid DESC) AS r, count(*) OVER (PARTITION BY app) AS row_count FROM logs) "
+        "SELECT app, concat('| _rowid | level | message |', chr(10), '| --- | --- | --- |', chr(10), "
+        f"string_agg(concat('| ', _rowid, ' | ', level, ' | ', {one_cell.format(x=_clean('message'))}, ' |'), chr(10) ORDER BY r), "
+        "CASE WHEN max(row_count) > 5 THEN concat(chr(10), chr(10), max(row_count) - 5, ' more rows') END) AS preview, max(row_count) AS row_count "
         "FROM r WHERE r <= 5 GROUP BY app",
         "table_profile": " UNION ALL ".join(
-            f"SELECT {i} AS position, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, "
+            f"SELECT {i} AS position, '{c}' AS column_name, CASE typeof(any_value({c})) WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' "
+            f"WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS column_type, count(*) AS row_count, count(*) - count({c}) AS null_count, "
             f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM orders"
             for i, c in enumerate(("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
-            if c != "o_totalprice"
         ),
+        "table_profile_distinct": f"{lost} " + " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count FROM logs"
+            for c in ("level", "app", "source_file", "line_number")
+        ),
+        "table_descriptions": f"{lost}, few AS (SELECT * FROM logs ORDER BY line_number, message LIMIT 3), "
+        "three AS (SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey, n_name LIMIT 3) "
+        "SELECT 'logs' AS table_name, 'timestamp timestamp_ntz, level string, app string, source_file string, line_number bigint, message string' AS columns, "
+        "(SELECT string_agg(" + _clean("concat_ws(' | ', CAST(timestamp AS VARCHAR), level, coalesce(app, 'NULL'), source_file, line_number, message)")
+        + ", chr(10) ORDER BY line_number, message) FROM few) AS sample, NULL AS problem "
+        "UNION ALL SELECT 'nation', 'n_nationkey ' || (SELECT CASE typeof(any_value(n_nationkey)) WHEN 'INTEGER' THEN 'int' ELSE 'bigint' END FROM nation) || ', n_name string', "
+        "(SELECT string_agg(concat(n_nationkey, ' | ', n_name), chr(10) ORDER BY n_nationkey, n_name) FROM three), NULL "
+        "UNION ALL SELECT 'nothing', NULL, NULL, 'nothing is not among the tables'",
+        "query_results": f"{logs}, levels AS (SELECT level, count(*) AS n FROM logs WHERE app = '{APP}' GROUP BY level), "
+        "numbered AS (SELECT *, row_number() OVER (ORDER BY level) AS r, count(*) OVER () AS all_rows FROM levels), "
+        "newest AS (SELECT *, row_number() OVER (ORDER BY _rowid DESC) AS r, count(*) OVER () AS all_rows FROM logs) "
+        "SELECT 0 AS query_id, 'ok' AS verdict, max(all_rows) AS row_count, concat('| level | n |', chr(10), '| --- | --- |', chr(10), "
+        "string_agg(concat('| ', level, ' | ', n, ' |'), chr(10) ORDER BY r) FILTER (r <= 5), "
+        "CASE WHEN max(all_rows) > 5 THEN concat(chr(10), chr(10), max(all_rows) - 5, ' more rows') END) AS text FROM numbered "
+        "UNION ALL SELECT 1, 'ok', max(all_rows), concat('| message |', chr(10), '| --- |', chr(10), string_agg(concat('| ', "
+        + one_cell.format(x=_clean("message"))
+        + ", ' |'), chr(10) ORDER BY r) FILTER (r <= 5), chr(10), chr(10), max(all_rows) - 5, ' more rows') FROM newest "
+        f"UNION ALL SELECT 2, 'ok', 0, {_lit(P.EMPTY_RESULT)} "
+        f"UNION ALL SELECT 3, 'not_read_only', NULL, {_lit(P.QUERY_ERROR + 'refused, ' + QUERY_RULES[1].says + ': DROP TABLE logs')} "
+        "UNION ALL SELECT 4, 'engine_access', NULL, "
+        + _lit(P.QUERY_ERROR + "refused, " + QUERY_RULES[3].says + ": SELECT java_method('java.lang.Math', 'abs', -1)")
+        + f" UNION ALL SELECT 5, 'failed', NULL, {_lit(P.QUERY_ERROR)} "
+        "UNION ALL SELECT 6, 'ok', 7, concat('| col_name | data_type | comment |', chr(10), '| --- | --- | --- |', chr(10), "
+        "array_to_string(['| _rowid | bigint | NULL |', '| timestamp | timestamp_ntz | NULL |', '| level | string | NULL |', '| app | string | NULL |', "
+        "'| source_file | string | NULL |'], chr(10)), chr(10), chr(10), '2 more rows')",
+        "filter_audit": f"WITH c AS ({E.CONDITIONS_SQL.replace('{src}', 'events')}) SELECT filter_id, trim(condition) <> '' "
+        f"AND NOT regexp_matches(condition, {_lit(P.UNSAFE_FILTER)}, 'i') AND NOT regexp_matches(condition, {_lit(P.ENGINE_ACCESS)}, 'i') AS safe FROM c",
         "table_samples": f"{logs} SELECT _rowid, {logs_clean} FROM logs ORDER BY _rowid LIMIT 3",
         "scrub_documents": f"SELECT doc_id, {_clean('text')} AS text, lang, source, n_chars FROM documents",
         "scrub_pages": f"SELECT page_id, {_clean('url')} AS url, {_clean('html')} AS html FROM pages",
-        "scrub_conversations": f"SELECT conv_id, turn, role, {_clean('text')} AS text FROM conversations",
+        "scrub_conversations": "SELECT conv_id, turn, role, "
+        + _clean("concat(text, ' from ', role, '.', conv_id, '@mail.example.org')") + " AS text FROM conversations",
         "scrub_target_columns": f"{logs} SELECT _rowid, {logs_clean}, message AS copy FROM logs",
         "scrub_tokens": "SELECT doc_id, " + _clean(
-            "concat('auth eyJ', md5(text), '.', reverse(md5(text)), '.', substr(md5(text), 5, 9), "
-            "' then Authorization: Bearer \"', md5(text), '\" for doc ', doc_id)"
-        ) + " AS line FROM documents",
+            "concat('auth eyJ', md5(text), '.', reverse(md5(text)), '.', substr(md5(text), 5, 9), ' ', text, "
+            "' Authorization: Bearer \"', md5(text), '\" for doc ', doc_id)"
+        ) + " AS text FROM documents",
         "scrub_nested": f"{logs} SELECT _rowid, app, {_clean('message')} AS message FROM logs",
-        "redaction_audit": f"{logs} SELECT app, " + ", ".join(
-            count_matches.format(p=_lit(p), k=k)
-            for k, p in (("jwt", P.JWT), ("api_key", "(?i)" + P.API_KEY), ("email", P.EMAIL), ("ip", P.IPV4))
-        ) + " FROM logs GROUP BY app",
+        "redaction_audit": f"{logs}, t0 AS (SELECT app, CASE WHEN _rowid % 3 = 0 THEN concat(message, ' token=eyJ', md5(message), '.a.b') ELSE message END AS x0 FROM logs), "
+        + ", ".join(
+            f"t{i + 1} AS (SELECT *, len(regexp_extract_all(x{i}, {_lit(p)})) AS {k}, regexp_replace(x{i}, {_lit(p)}, {_lit(m)}, 'g') AS x{i + 1} FROM t{i})"
+            for i, (k, p, m) in enumerate((
+                ("jwt", P.JWT, P.JWT_MARK), ("api_key", "(?i)" + P.API_KEY, "\\1" + P.API_KEY_MARK), ("email", P.EMAIL, P.EMAIL_MARK), ("ip", P.IPV4, P.IPV4_MARK)))
+        )
+        + " SELECT app, " + ", ".join(f"CAST(sum({k}) AS BIGINT) AS {k}" for k in ("jwt", "api_key", "email", "ip"))
+        + ", count(*) FILTER (jwt + api_key + email + ip > 0) AS records FROM t4 GROUP BY app",
         "tracebacks": f"{logs} SELECT _rowid, CAST(0 AS BIGINT) AS trace_no, {_clean('t')} AS trace FROM (SELECT _rowid, unnest(regexp_extract_all(message, {_TRACES}, 1)) AS t FROM logs)",
         "payload_tracebacks": f"{payloads}, t AS (SELECT _rowid, regexp_extract_all(payload, {_TRACES}, 1) AS ts FROM payloads) "
         f"SELECT _rowid, CAST(n - 1 AS BIGINT) AS trace_no, {_clean('tr')} AS trace FROM (SELECT _rowid, unnest(ts) AS tr, generate_subscripts(ts, 1) AS n FROM t)",
@@ -772,47 +899,51 @@ def oracle_sql() -> dict[str, str]:
             f"WHEN {_has_words('payload')} THEN concat({_lit(P.LINES_TITLE)}, array_to_string(list_filter(string_split(payload, chr(10)), lambda x: {_has_words('x')}), chr(10))) "
             f"ELSE {_lit(P.NO_FAILURE)} END"
         ) + " AS extract FROM payloads",
-        "document_failure_lines": "SELECT doc_id, "
+        "document_failure_lines": "WITH documents AS (SELECT doc_id, concat(text, CASE doc_id % 3 WHEN 0 THEN concat(chr(10), 'job ', doc_id, ' FAILED after ', n_chars, "
+        "' characters', chr(10)) WHEN 1 THEN concat(chr(10), 'Traceback (most recent call last):', chr(10), '  File \"doc.py\", line ', doc_id, ', in load', chr(10), "
+        "'OSError: ', source, chr(10), chr(10)) ELSE chr(10) END, text) AS text FROM documents) SELECT doc_id, "
         f"CASE WHEN contains(text, '{P.TRACE_HEADING}') THEN 'traceback' WHEN {_has_words('text')} THEN 'lines' ELSE 'none' END AS kind, "
-        f"length(CASE WHEN contains(text, '{P.TRACE_HEADING}') THEN concat({_lit(P.TRACES_TITLE)}, array_to_string(regexp_extract_all(text, {_TRACES}, 1), chr(10))) "
+        f"CASE WHEN contains(text, '{P.TRACE_HEADING}') THEN concat({_lit(P.TRACES_TITLE)}, array_to_string(regexp_extract_all(text, {_TRACES}, 1), chr(10))) "
         f"WHEN {_has_words('text')} THEN concat({_lit(P.LINES_TITLE)}, array_to_string(list_filter(string_split(text, chr(10)), lambda x: {_has_words('x')}), chr(10))) "
-        f"ELSE {_lit(P.NO_FAILURE)} END) AS chars FROM documents",
+        f"ELSE {_lit(P.NO_FAILURE)} END AS extract FROM documents",
         "exception_profile": f"{logs}, {_EXC} SELECT signature, exc_type, frame, count(*) AS n, count(DISTINCT app) AS apps, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM exceptions GROUP BY ALL",
         "top_exceptions": f"{logs}, {_EXC}, c AS (SELECT app, signature, count(*) AS n, row_number() OVER (PARTITION BY app ORDER BY count(*) DESC, signature) AS rank FROM exceptions GROUP BY app, signature) SELECT app, rank, signature, n FROM c WHERE rank <= 3",
         "recent_failures": f"{logs}, r AS (SELECT *, row_number() OVER (PARTITION BY app ORDER BY timestamp DESC, _rowid DESC) AS rank FROM logs WHERE level IN ('ERROR', 'FATAL')) "
         f"SELECT app, rank, _rowid, timestamp, level, source_file, line_number, {_clean('message')} AS message FROM r WHERE rank <= 20",
-        "context_sample": f"{logs}, {_sampled('app', 'timestamp, _rowid', rendered)} "
+        "context_sample": f"{lost}, {_sampled('app', 'timestamp, _rowid', rendered)} "
         f"SELECT app, section, pos_in_section, group_lines, timestamp, _rowid, {_clean('line')} AS line FROM kept",
         "context_payload": f"{logs}, {_sampled('app, source_file', 'timestamp, _rowid, pos', split)}, "
-        "texts AS (SELECT app, source_file, max(group_lines) AS group_lines, count(*) AS kept_lines, "
-        + ", ".join(
-            f"coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (section = '{s}'), '') AS {s}_text" for s in ("all", "head", "middle", "tail")
-        )
-        + " FROM kept GROUP BY app, source_file) SELECT app, source_file, group_lines, kept_lines, "
-        + _clean(
-            "CASE WHEN group_lines <= 50 THEN all_text ELSE concat(head_text, chr(10), chr(10), '... [TRUNCATED ', group_lines - kept_lines, "
-            "' LINES] ...', chr(10), chr(10), middle_text, chr(10), chr(10), '... [RECENT CRASH CONTEXT] ...', chr(10), tail_text) END"
-        )
+        + payload_texts.format(group="app, source_file") + " SELECT app, source_file, group_lines, kept_lines, " + _clean(payload_cut)
         + " AS payload FROM texts",
-        "sample_text": f"WITH d AS (SELECT doc_id, text, {doc_lines} AS ls FROM documents), "
+        "sample_text": "WITH documents AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(replace(text, '. ', '.' || chr(10)), 're', 'WARN') "
+        f"ELSE replace(text, '. ', '.' || chr(10)) END AS text FROM documents), d AS (SELECT doc_id, text, {doc_lines} AS ls FROM documents), "
         "cut AS (SELECT doc_id, text, ls, least(15, len(ls)) AS h, least(20, len(ls) - least(15, len(ls))) AS t FROM d), "
         "parts AS (SELECT *, ls[1:h] AS head, ls[len(ls) - t + 1:len(ls)] AS tail, ls[h + 1:len(ls) - t] AS mid FROM cut), "
         f"tell AS (SELECT *, list_filter(mid, lambda x: {_context('x')}) AS hit FROM parts), "
         "kept AS (SELECT *, CASE WHEN len(hit) > 0 THEN hit[1:15] ELSE mid[1:15] END AS m FROM tell) "
-        "SELECT doc_id, CASE WHEN len(ls) <= 10 THEN text ELSE concat(array_to_string(head, chr(10)), chr(10), chr(10), "
+        "SELECT doc_id, CASE WHEN len(ls) <= 50 THEN text ELSE concat(array_to_string(head, chr(10)), chr(10), chr(10), "
         "'... [TRUNCATED ', len(ls) - h - t - len(m), ' LINES] ...', chr(10), chr(10), array_to_string(m, chr(10)), "
         "chr(10), chr(10), '... [RECENT CRASH CONTEXT] ...', chr(10), array_to_string(tail, chr(10))) END AS sample FROM kept",
         "route_questions": f"{questions} SELECT question_id, {_ROUTES.format(q='question')} AS routes FROM questions",
-        "route_conversations": f"SELECT conv_id, turn, {_ROUTES.format(q='text')} AS routes FROM conversations",
+        "route_conversations": "WITH c AS (SELECT conv_id, turn, concat(CASE (conv_id + turn) % 4 WHEN 0 THEN 'Why this: ' WHEN 1 THEN 'List the parts of ' "
+        f"WHEN 2 THEN 'Count, and diagnose ' ELSE '' END, text) AS text FROM conversations) SELECT conv_id, turn, {_ROUTES.format(q='text')} AS routes FROM c",
         "route_mix": f"{questions} SELECT CAST(asked_at AS DATE) AS day, coalesce(nullif({_ROUTES.format(q='question')}, ''), 'unsupported') AS route_set, count(*) AS n FROM questions GROUP BY ALL",
         "route_fanout": f"{questions} SELECT question_id, {_clean('question')} AS question, unnest(string_split({_ROUTES.format(q='question')}, '+')) AS route FROM questions WHERE {_ROUTES.format(q='question')} <> ''",
-        "diagnosis": f"{logs}, {_EXC}, {_DIAGNOSIS} SELECT app, {_clean('analysis')} AS analysis FROM diagnoses",
-        "incident_report": f"{logs}, {_EXC}, {_DIAGNOSIS}, questions AS ({_derived(E.QUESTIONS_SQL)}), statements AS ({_derived(E.STATEMENTS_SQL)}), "
+        "diagnosis": f"{lost}, {_EXC}, {_diagnosis('app')}, "
+        + _sampled("app", "timestamp, _rowid, pos", split.replace("FROM logs", "FROM failed").replace("app, source_file,", "app,")) + ", "
+        + payload_texts.format(group="app") + " SELECT subject, failures, " + _clean("analysis") + " AS analysis, " + _clean(payload_cut) + " AS evidence "
+        "FROM diagnoses d LEFT JOIN texts p ON p.app IS NOT DISTINCT FROM d.app",
+        "incident_report": f"{logs}, {_EXC}, {_diagnosis('app')}, questions AS ({_derived(E.QUESTIONS_SQL)}), statements AS ({_derived(E.STATEMENTS_SQL)}), "
         "counts AS (SELECT app, level, count(*) AS n, row_number() OVER (PARTITION BY app ORDER BY count(*) DESC, level) AS r FROM logs GROUP BY app, level), "
-        "previews AS (SELECT app, '| level | records |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(concat('| ', level, ' | ', n, ' |'), chr(10) ORDER BY r) AS preview FROM counts WHERE r <= 5 GROUP BY app), "
+        "previews AS (SELECT app, '| level | records |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(concat('| ', level, ' | ', n, ' |'), chr(10) ORDER BY r) AS preview FROM counts GROUP BY app), "
         f"audited AS (SELECT query_id, query, {_VERDICT} AS verdict FROM statements), "
-        "bullets AS (SELECT query_id - query_id % 3 AS question_id, string_agg(concat('- Error executing query: ', CASE verdict WHEN 'empty' THEN 'Query is empty.' "
-        "WHEN 'unsafe' THEN 'Unsafe SQL query rejected: ' || trim(query) ELSE 'Only read-only queries are permitted: ' || trim(query) END), chr(10) ORDER BY query_id) AS warnings "
+        "bullets AS (SELECT query_id - query_id % 3 AS question_id, string_agg(concat('- Error executing query: ', CASE verdict "
+        + " ".join(
+            f"WHEN '{r.verdict}' THEN " + _lit(f"refused, {r.says}" + ("" if r.verdict == "empty" else ": "))
+            + ("" if r.verdict == "empty" else " || trim(query)")
+            for r in QUERY_RULES
+        )
+        + " END), chr(10) ORDER BY query_id) AS warnings "
         "FROM audited WHERE verdict <> 'ok' GROUP BY ALL), "
         f"asked AS (SELECT q.*, {_ROUTES.format(q='question')} AS routes FROM questions q), "
         "parts AS (SELECT a.question_id, trim(a.question) AS title, CASE WHEN contains(a.routes, 'diagnostic') THEN d.analysis END AS analysis, "
@@ -833,10 +964,10 @@ def oracle_sql() -> dict[str, str]:
         "ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM kept) SELECT app, section, pos_in_section, _rowid, used FROM u WHERE used <= 1500",
         "recorded_query": f"{logs} SELECT 'SELECT _rowid, app, message FROM {{logs}} WHERE level = ?' AS query, 'sql' AS route, count(*) AS row_count, "
         f"count(*) FILTER (message <> {_clean('message')}) AS redacted FROM logs WHERE level = 'ERROR'",
-        "alert_reports": f"WITH base AS ({_derived(E.LOGS_SQL)}), rates AS (SELECT app, CAST(timestamp AS DATE) AS day FROM base GROUP BY ALL "
+        "alert_reports": f"{lost.replace('WITH logs', 'WITH base')}, rates AS (SELECT app, CAST(timestamp AS DATE) AS day FROM base GROUP BY ALL "
         "HAVING round(count(*) FILTER (level = 'ERROR') / count(*), 6) > 0.25), "
-        "logs AS (SELECT b.* REPLACE (concat(b.app, ' on ', CAST(r.day AS VARCHAR)) AS app) FROM base b JOIN rates r ON r.app = b.app AND r.day = CAST(b.timestamp AS DATE)), "
-        f"{_EXC}, {_DIAGNOSIS} SELECT app AS subject, {_clean('analysis')} AS analysis FROM diagnoses",
+        "logs AS (SELECT b.*, r.day FROM base b JOIN rates r ON r.app IS NOT DISTINCT FROM b.app AND r.day = CAST(b.timestamp AS DATE)), "
+        f"{_EXC}, {_diagnosis('app', 'day')} SELECT subject, {_clean('analysis')} AS analysis FROM diagnoses",
         "visible_records": f"{logs} SELECT _rowid, timestamp, level, app, source_file, line_number FROM logs WHERE app IN ('app_1', 'app_2')",
         "tailed_logs": f"{logs} SELECT {_LOG} FROM logs",
         "streamed_error_rate": f"{logs} SELECT app, date_trunc('hour', timestamp) AS window_start, count(*) AS records, "
