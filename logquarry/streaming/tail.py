@@ -52,17 +52,34 @@ def tail_logs(
     )
 
 
-def record_stream(spark: SparkSession, out: str) -> DataFrame:
-    """The records that `tail_logs` writes, as a stream."""
+def record_stream(spark: SparkSession, out: str, files_per_batch: int | None = None) -> DataFrame:
+    """The records that `tail_logs` writes, as a stream.
+
+    A batch of `tail_logs` that is run again after a failure writes new files, which a stream that has read the old ones
+    reads too; let the tailing query end a batch before the stream starts on it where records must not come twice.
+    """
     schema = T.StructType([*LOG_SCHEMA.fields, T.StructField(_BATCH, T.LongType())])
-    return spark.readStream.schema(schema).parquet(out)
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(out)
+
+
+def without_time(records: DataFrame) -> DataFrame:
+    """The records that no window can hold, to be counted or kept elsewhere."""
+    return records.where(F.col("timestamp").isNull())
+
+
+def late_counts(query: StreamingQuery) -> int:
+    """What a query over `windowed_error_rate` has left out as too late, over its recent batches: counts per app, window
+    and task, each of one record or more.  Above 0, records were lost."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
 def windowed_error_rate(records: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Records and errors per app and time window.
 
     A window is given out once no record can fall into it any more, that is when a record
-    more than `delay` past its end was seen.  Watermarks need a time with a zone; the
+    more than `delay` past its end was seen.  A record that comes later than that is left out and counted by
+    `late_counts`; one without a time is in no window, see `without_time`.  Watermarks need a time with a zone; the
     session zone is taken for both directions, and UTC is the setting to use.
     """
     timed = records.where(F.col("timestamp").isNotNull()).withColumn("at", F.col("timestamp").cast("timestamp_ltz"))

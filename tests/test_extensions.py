@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from conftest import rows
@@ -69,6 +70,22 @@ def test_windows_wait_for_the_watermark(spark, tmp_path):
     ]
 
 
+def test_late_and_timeless_records_are_counted(spark, tmp_path):
+    out = str(tmp_path / "records")
+    for i, hour in enumerate((1, 9, 15, 2)):
+        df = spark.range(4).select(
+            F.when(F.col("id") > 0, F.lit(f"2031-01-01 {hour:02d}:00:00")).cast("timestamp_ntz").alias("timestamp"), F.lit("INFO").alias("level"),
+            F.lit("a").alias("app"), F.lit("f").alias("source_file"), F.lit(1).cast("bigint").alias("line_number"), F.lit("m").alias("message"),
+        )
+        df.coalesce(1).write.parquet(f"{out}/batch={i}")
+        time.sleep(1.1)  # files are read in the order of their times
+    records = tail.record_stream(spark, out, files_per_batch=1)
+    query = tail.windowed_error_rate(records).writeStream.format("memory").queryName("late").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert tail.late_counts(query) == 1  # three records of one window
+    assert tail.without_time(spark.read.parquet(out)).count() == 4
+
+
 def test_recorded_query(spark, tmp_path):
     logs = spark.createDataFrame([(1, "a@b.cc"), (2, "x"), (3, None)], "n long, message string")
     out, journal = str(tmp_path / "out"), str(tmp_path / "journal")
