@@ -22,7 +22,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from .common import PART_CHARS, id_and_text, parts, slices
 
 # Words that a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def _byte_characters() -> dict[str, int]:

@@ -9,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Rows that Python gets at a time.
+BATCH_ROWS = 256
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 # Characters of a text that are taken at once; bounds memory only.
 PART_CHARS = 1 << 20
 
@@ -51,9 +55,20 @@ def named(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session was told to hand Python ``BATCH_ROWS`` rows at a time at most.
+
+    The default of 10,000 whole texts would be held several times over, in the executor and in its Python worker.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_SETTING)) > BATCH_ROWS:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def id_and_text(df: DataFrame) -> DataFrame:
     """Only doc_id and text, so that no other column is read or can clash."""
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return in_small_batches(df).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
 def row_hash(*columns: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from logquarry.session import settle
 
-from .common import fresh, named
+from .common import fresh, in_small_batches, named
 
 # Fixed values of the base rules.
 BLANKS = " \t\n\v\f\r"
@@ -40,7 +40,7 @@ BANDS = {
     "entropy": {"times": 6.0, "least": 1.1, "low": True, "high": False},
 }
 
-REMEMBERED = 300_000  # words that a task remembers
+REMEMBERED = 200_000  # words that a task remembers
 MEASURES = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, "
     "chars_per_token double, byte_share double, entropy double, band_group string"
@@ -180,7 +180,7 @@ def judge(docs: DataFrame, path: str) -> DataFrame:
     language goes by script.  ``path`` names the vocabulary's file on every executor.  Texts are measured once; the
     measures are staged, counted for the bands, and judged.
     """
-    rows = docs.select(
+    rows = in_small_batches(docs).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), measures(path, F.col("text"), _lang(docs)).alias("m")
     )
     rows = settle(rows, "measures")
@@ -191,5 +191,5 @@ def judge(docs: DataFrame, path: str) -> DataFrame:
 def keep_good(docs: DataFrame, path: str) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
     m, verdict = fresh(docs, "measures"), fresh(docs, "verdict")
-    rows = settle(docs.withColumn(m, measures(path, F.col("text"), _lang(docs))), "measured")
+    rows = settle(in_small_batches(docs).withColumn(m, measures(path, F.col("text"), _lang(docs))), "measured")
     return _judged(rows, m, verdict).where(f"`{verdict}`").drop(m, verdict)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from logquarry.session import settle
 
-from .common import blank_words, fresh, id_and_text, named
+from .common import blank_words, fresh, id_and_text, in_small_batches, named
 from .graph import components
 
 SHINGLE = 3
@@ -61,7 +61,7 @@ def with_fingerprints(docs: DataFrame, name: str, shingle: int = SHINGLE) -> Dat
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-    return docs.withColumn(name, of(F.col("text")))
+    return in_small_batches(docs).withColumn(name, of(F.col("text")))
 
 
 def _buckets(nodes: DataFrame, distance: int) -> DataFrame:
