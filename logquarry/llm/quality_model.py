@@ -20,7 +20,7 @@ from .decontaminate import Words
 # Bytes of a passage at least, and less than twice as many; a shorter text is one passage.
 PASSAGE = 512
 # Bounds of the sample that is learned from: documents, and characters of one.
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 3000
 SAMPLE_CHARS = 50_000
 WORD_BUCKETS = 256
 HIDDEN, ATTENTION = 32, 16
@@ -112,7 +112,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = 60, seed: int = 11) -
         return None
     random = np.random.default_rng(seed)
     order = sorted(range(len(texts)), key=lambda i: (texts[i], labels[i]))
-    x, first = encode(pa.array([texts[i] for i in order], pa.large_string()))
+    parts = [encode(pa.array([texts[i] for i in order[k : k + 100]], pa.large_string())) for k in range(0, len(order), 100)]
+    x = np.concatenate([p for p, _ in parts])
+    first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))))
     y = np.array([labels[i] for i in order], np.float32)
     draw = lambda *shape: (random.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
     model = Model(
