@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go, and documents of which nothing is left."""
-    return linededup.drop_repeated_lines(docs)
+    """Lines that repeat an earlier one up to two edits go, and documents of which nothing is left."""
+    return linededup.drop_repeated_lines(docs, linededup.EDITS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
