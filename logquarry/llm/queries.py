@@ -80,7 +80,7 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of 40 characters or more with its class; see ``linededup.classify_lines``."""
+    """Every line that is not empty with its class; see ``linededup.classify_lines``."""
     return linededup.classify_lines(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
