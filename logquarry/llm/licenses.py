@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -23,11 +24,13 @@ from .common import ALNUM, id_and_text, records
 @dataclass(frozen=True)
 class Notice:
     """Words of a notice, joined by single blanks, and the label it stands for.  ``edits``: tolerated edits of
-    characters; 0 takes it only at word limits, which is how the base phrases are meant."""
+    characters; 0 takes it only at word limits, which is how the base phrases are meant.  ``names``: words that tell the
+    notice from others; it is then held to word limits, and a third of each name's characters may be edited."""
 
     label: str
     phrase: str
     edits: int = 0
+    names: tuple[str, ...] = ()
 
 
 # The base phrases.
@@ -54,6 +57,13 @@ NOTICES = (
     Notice("mpl-2", "mozilla public license version 2 0", 3),
     Notice("unlicense", "released into the public domain", 3),
 )
+# The base phrases and other short forms with one edit per ten characters ("cc by nc" has none); taken where nothing above is.
+SHORT = (
+    Notice("mit", "under the mit license", 2, ("mit",)),
+    Notice("apache-2", "apache license version 2", 2, ("apache", "2")),
+    Notice("gpl", "gnu general public license", 2, ("gnu", "general")),
+    Notice("bsd", "under the bsd license", 2, ("bsd",)),
+)
 
 SCHEMA = pa.schema(
     [
@@ -86,14 +96,28 @@ COLUMNS = (
 )
 
 
+def _whole(n: Notice) -> bool:
+    """Whether a notice is taken only at word limits."""
+    return bool(n.names) or not n.edits
+
+
+def _fewest(n: Notice, found: str) -> int:
+    """The edits that a text found for a notice has."""
+    phrase = regex.escape(n.phrase.encode().decode("latin-1"))
+    return sum(regex.fullmatch(f"(?b)(?:{phrase}){{e<={n.edits}}}", found).fuzzy_counts)
+
+
 class Scanner:
     """The notices, cut and ready to be looked for.  Texts are seen as blank-joined words with a blank at each end,
     one character per byte."""
 
-    def __init__(self, base: tuple[Notice, ...] = BASE, notices: tuple[Notice, ...] = NOTICES):
+    def __init__(
+        self, base: tuple[Notice, ...] = BASE, notices: tuple[Notice, ...] = NOTICES, short: tuple[Notice, ...] = SHORT
+    ):
         self.automaton = ahocorasick.Automaton()
         self.base = [n for n in base]
-        self.fuzzy = [n for n in notices if n.edits]
+        self.fuzzy = [*notices, *short]
+        self.first_short = len(self.base) + len(notices)
         pieces: dict[str, list[tuple[int, int, int]]] = {}
         for i, n in enumerate([*self.base, *self.fuzzy]):
             phrase = n.phrase.encode().decode("latin-1")
@@ -107,12 +131,21 @@ class Scanner:
             self.automaton.add_word(piece, (len(piece), uses))
         if pieces:
             self.automaton.make_automaton()
-        self.patterns = [
-            regex.compile(f"(?e)(?:{regex.escape(n.phrase.encode().decode('latin-1'))}){{e<={n.edits}}}")
-            for n in self.fuzzy
-        ]
+        self.patterns = [self._pattern(n) for n in self.fuzzy]
         self.empty = not pieces
 
+    @staticmethod
+    def _pattern(n: Notice) -> regex.Pattern:
+        phrase = f"(?:{regex.escape(n.phrase.encode().decode('latin-1'))})"
+        if n.edits:
+            phrase += f"{{e<={n.edits}}}"
+        return regex.compile("(?e)" + (f"(?<= ){phrase}(?= )" if _whole(n) else phrase))
+
+    @staticmethod
+    def _named(n: Notice, found: str) -> bool:
+        """Whether all names of a notice are among the words found."""
+        return all(any(regex.fullmatch(f"(?:{x}){{e<={len(x) // 3}}}", w) for w in found.split()) for x in n.names)
+
     def find(self, line: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
         """Base places as (notice, start, end), and fuzzy ones as (notice, start, end, edits), in characters."""
         exact, windows = [], {}
@@ -124,12 +157,14 @@ class Scanner:
                 if i < len(self.base):
                     exact.append((i, first - offset + 1, first - offset + length - 1))  # one piece: the whole phrase
                 else:
-                    k = self.fuzzy[i - len(self.base)].edits
-                    windows.setdefault(i, []).append((max(0, first - offset - k), first - offset + length + k))
+                    notice = self.fuzzy[i - len(self.base)]
+                    k = notice.edits
+                    end = first - offset + length + k + (1 if _whole(notice) else 0)
+                    windows.setdefault(i, []).append((max(0, first - offset - k), end))
         return exact, [(i, *hit) for i, found in windows.items() for hit in self._verify(i, line, found)]
 
     def _verify(self, i: int, line: str, windows: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
-        pattern, merged = self.patterns[i - len(self.base)], []
+        notice, pattern, merged = self.fuzzy[i - len(self.base)], self.patterns[i - len(self.base)], []
         for start, end in sorted(windows):
             if merged and start <= merged[-1][1]:
                 merged[-1][1] = max(end, merged[-1][1])
@@ -137,7 +172,10 @@ class Scanner:
                 merged.append([start, end])
         for start, end in merged:
             while m := pattern.search(line, start, end):
-                yield m.start(), m.end(), sum(m.fuzzy_counts)
+                if self._named(notice, m[0]):
+                    # Held to word limits, a match may come with more edits than it needs.
+                    least = _fewest(notice, m[0]) if notice.names else sum(m.fuzzy_counts)
+                    yield m.start(), m.end(), least
                 start = max(m.end(), start + 1)
 
     def scan(self, text: str | None) -> tuple:
@@ -152,7 +190,7 @@ class Scanner:
         starts, ends = _places(text)
         notices, first_fuzzy = [*self.base, *self.fuzzy], len(self.base)
         spans, base_starts, base_labels, best = [], [], set(), 0.0
-        for i, start, end, edits in sorted([*((*e, 0) for e in exact), *self._settle(fuzzy)], key=lambda s: s[1:]):
+        for i, start, end, edits in sorted([*((*e, 0) for e in exact), *self._settle(fuzzy, exact)], key=lambda s: s[1:]):
             while line[start] == " " and start < end - 1:
                 start += 1
             while line[end - 1] == " " and start < end - 1:
@@ -169,11 +207,21 @@ class Scanner:
             [dict(zip(("label", "notice", "edits", "first_word", "last_word", "start", "end"), s)) for s in spans],
         )
 
-    def _settle(self, fuzzy: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """Of matches that overlap, the one with the fewest edits for its length."""
+    def _settle(
+        self, fuzzy: list[tuple[int, int, int, int]], exact: list[tuple[int, int, int]]
+    ) -> list[tuple[int, int, int, int]]:
+        """Of matches that overlap, the one with the fewest edits for its length; a short form only where neither
+        another notice nor a base phrase is."""
         kept: list[tuple[int, int, int, int]] = []  # by start; they don't overlap
         notice = lambda f: self.fuzzy[f[0] - len(self.base)]
-        for f in sorted(fuzzy, key=lambda f: (f[3] / len(notice(f).phrase), -len(notice(f).phrase), notice(f).label, f)):
+        short = lambda f: f[0] >= self.first_short
+        starts = sorted(start for _, start, _ in exact)
+        ends = list(accumulate((end for _, _, end in sorted(exact, key=lambda e: e[1])), max))
+        order = lambda f: (short(f), f[3] / len(notice(f).phrase), -len(notice(f).phrase), notice(f).label, f)
+        for f in sorted(fuzzy, key=order):
+            before = bisect_left(starts, f[2])
+            if short(f) and before and ends[before - 1] > f[1]:
+                continue
             at = bisect_left(kept, f[1], key=lambda k: k[1])
             if (at == 0 or kept[at - 1][2] <= f[1]) and (at == len(kept) or f[2] <= kept[at][1]):
                 kept.insert(at, f)
@@ -190,7 +238,7 @@ def _places(text: str) -> tuple[list[int], list[int]]:
 
 
 def scan_licenses(
-    docs: DataFrame, base: tuple[Notice, ...] = BASE, notices: tuple[Notice, ...] = NOTICES
+    docs: DataFrame, base: tuple[Notice, ...] = BASE, notices: tuple[Notice, ...] = NOTICES, short: tuple[Notice, ...] = SHORT
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): number of words, places of the base phrases, labels, the best
     similarity as score, and every span with its edits, its words and its place in the text in code points.
@@ -200,7 +248,7 @@ def scan_licenses(
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(base, notices)
+        scanner = Scanner(base, notices, short)
         for batch in batches:
             texts = batch.column("text")
             yield records(

@@ -85,3 +85,29 @@ def test_table(docs, clashing):
 
 def test_empty_table(docs):
     assert licenses.scan_licenses(docs([(1, "x")]).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("distributed under the MIT licence", "mit"),
+        ("available under the MIT licence", "mit"),
+        ("Apache Licence, Version 2.0", "apache-2"),
+        ("use under the MIT licens terms", "mit"),
+        ("the GNU Generel Public License applies", "gpl"),
+        ("under the MPL license", ""),
+        ("Apache License, Version 1.1", ""),
+    ],
+)
+def test_misspelt_short_forms(text, labels):
+    assert (scan(text)["labels"], scan(text)["n_base"]) == (labels, 0)
+
+
+def test_a_base_phrase_is_found_once():
+    assert [s["edits"] for s in scan("x under the MIT license, under the MIT licence")["spans"]] == [0, 1]
+
+
+def test_notices_without_edits_are_searched():
+    scanner = licenses.Scanner((), (licenses.Notice("isc", "isc license"),), ())
+    rows = [scanner.scan(t)[5] for t in ("the ISC License.", "the ISC licence", "misc license")]
+    assert rows == ["isc", "", ""]
