@@ -32,13 +32,16 @@ SCRIPTS = (
     "Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Bengali", "Tamil", "Thai", "Han", "Hiragana",
     "Katakana", "Hangul",
 )
-# A band reaches this many times from the median to the quartile on its side, but at least ``least`` (a share of the
-# median for ``chars_per_token``, a difference for the others).
+# A band reaches this many times from the median to the quartile on its side: 7 is the usual outer fence, three quartile
+# ranges beyond the quartile.  Means over few tokens scatter more, so ``chars_per_token`` is judged by its distance from the
+# median times the root of the number of tokens.  Most groups have no byte tokens at all, and a quartile distance of 0
+# would reject one odd character; only there a band has a least width.
 BANDS = {
-    "chars_per_token": {"times": 10.0, "least": 0.15, "low": True, "high": True},
-    "byte_share": {"times": 10.0, "least": 0.05, "low": False, "high": True},
-    "entropy": {"times": 6.0, "least": 1.1, "low": True, "high": False},
+    "chars_per_token": {"times": 7.0, "least": 0.0, "low": True, "high": True},
+    "byte_share": {"times": 7.0, "least": 0.05, "low": False, "high": True},
+    "entropy": {"times": 7.0, "least": 0.0, "low": True, "high": False},
 }
+NOISE = 0.01  # of rounding, added to each band
 
 REMEMBERED = 200_000  # words that a task remembers
 MEASURES = (
@@ -134,27 +137,42 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"])
 
 
-def bands(measured: Column, rows: DataFrame) -> DataFrame:
-    """band_group and, for each measure, the lowest and highest value that is kept: at most a row per language and
-    script.  Quartiles are taken from counts of values rounded to thousandths, over all rows that pass the base rules."""
-    values = F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), F.round(measured[k], 3).alias("value")) for k in BANDS]))
-    counted = (
-        rows.where(~base_failed(measured)).select(measured["band_group"].alias("band_group"), values)
-        .groupBy("band_group", "measure", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    quartiles = counted.groupBy("band_group", "measure").agg(
+def _value(measured: Column, name: str, middle: Column) -> Column:
+    """What the band of a measure is held against."""
+    if name != "chars_per_token":
+        return F.round(measured[name], 3)
+    return F.round((measured[name] - middle) * F.sqrt(measured["n_tokens"]), 2)
+
+
+def _quartiles(rows: DataFrame, values: list[Column]) -> DataFrame:
+    """band_group, measure, q: exact quartiles from counts of (measure, value) structs of each row."""
+    counted = rows.select("band_group", F.inline(F.array(*values))).groupBy("band_group", "measure", "value")
+    return counted.agg(F.count(F.lit(1)).alias("n")).groupBy("band_group", "measure").agg(
         F.expr("percentile(value, array(0.25D, 0.5D, 0.75D), n)").alias("q")
     )
+
+
+def bands(measured: Column, rows: DataFrame) -> DataFrame:
+    """band_group, middle (the median of ``chars_per_token``) and, for each measure, the lowest and highest ``_value`` that
+    is kept: at most a row per language and script.  Quartiles are taken from counts of rounded values, over all rows
+    that pass the base rules."""
+    good = rows.where(~base_failed(measured)).select(measured["band_group"].alias("band_group"), F.struct(
+        *[measured[k].alias(k) for k in (*BANDS, "n_tokens")]).alias("m"))
+    pair = lambda k, value: F.struct(F.lit(k).alias("measure"), value.alias("value"))
+    middles = _quartiles(good, [pair("chars_per_token", F.round(F.col("m.chars_per_token"), 3))])
+    middles = middles.select(F.col("band_group").alias("own_group"), F.col("q")[1].alias("middle"))
+    placed = good.join(F.broadcast(middles), F.col("band_group") == F.col("own_group"))
+    quartiles = _quartiles(placed, [pair(k, _value(F.col("m"), k, F.col("middle"))) for k in BANDS])
     limits = []
     for name, band in BANDS.items():
-        middle = F.col("q")[1]
-        least = F.lit(band["least"]) * (middle if name == "chars_per_token" else F.lit(1.0))
-        low = middle - F.greatest(F.lit(band["times"]) * (middle - F.col("q")[0]), least)
-        high = middle + F.greatest(F.lit(band["times"]) * (F.col("q")[2] - middle), least)
+        middle, least = F.col("q")[1], F.lit(band["least"])
+        low = middle - F.greatest(F.lit(band["times"]) * (middle - F.col("q")[0]), least) - NOISE
+        high = middle + F.greatest(F.lit(band["times"]) * (F.col("q")[2] - middle), least) + NOISE
         here = F.col("measure") == name
         limits.append(F.max(F.when(here, low if band["low"] else F.lit(float("-inf")))).alias(f"{name}_low"))
         limits.append(F.max(F.when(here, high if band["high"] else F.lit(float("inf")))).alias(f"{name}_high"))
-    return quartiles.groupBy("band_group").agg(*limits)
+    return quartiles.groupBy("band_group").agg(*limits).join(
+        F.broadcast(middles), F.col("band_group") == F.col("own_group")).drop("own_group")
 
 
 def _judged(rows: DataFrame, m: str, verdict: str) -> DataFrame:
@@ -164,7 +182,7 @@ def _judged(rows: DataFrame, m: str, verdict: str) -> DataFrame:
     own = F.col(f"`{name}`")
     inside = F.lit(True)
     for k in BANDS:
-        inside &= F.round(measured[k], 3).between(own[f"{k}_low"], own[f"{k}_high"])
+        inside &= _value(measured, k, own["middle"]).between(own[f"{k}_low"], own[f"{k}_high"])
     joined = rows.join(F.broadcast(limits), measured["band_group"] == own["band_group"], "left")
     return joined.withColumn(verdict, ~base_failed(measured) & F.coalesce(inside, F.lit(False))).drop(name)
 

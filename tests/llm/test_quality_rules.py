@@ -85,3 +85,12 @@ def test_clean_labelled_documents_stay(spark, sf):
     rows = [r for r in Q.judge(df.drop("quality", "toxic"), PATH).collect() if not r["base_failed"]]
     assert [r["doc_id"] for r in rows if r["doc_id"] in good and not r["kept"]] == []
     assert any(not r["kept"] for r in rows)
+
+
+def test_strewn_symbols_are_outside(docs):
+    rng = random.Random(8)
+    good = [(i, _text(rng, 150)) for i in range(60)]
+    strewn = " ".join(w + (" $$$" if i % 4 == 0 else "") for i, w in enumerate(_text(rng, 150).split()))
+    rows = {r["doc_id"]: r for r in Q.judge(docs(good + [(100, strewn)]), PATH).collect()}
+    assert not rows[100]["base_failed"] and not rows[100]["kept"]
+    assert all(rows[i]["kept"] for i in range(60))
