@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import rows, value_of
+from helpers import rows, value_of
 from pyspark.sql import functions as F
 
 from logquarry.functions import patterns as P

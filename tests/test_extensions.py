@@ -2,7 +2,7 @@ import os
 import time
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from logquarry.operators import access

@@ -3,7 +3,7 @@ import random
 from datetime import datetime
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from logquarry.functions import lines as L

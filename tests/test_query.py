@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows, value_of, values_of
+from helpers import rows, value_of, values_of
 from pyspark.sql import functions as F
 
 from logquarry.functions import guards

@@ -1,5 +1,5 @@
 import pytest
-from conftest import value_of, values_of
+from helpers import value_of, values_of
 
 from logquarry.functions.redaction import redaction_counts, scrub, scrub_text
 

@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 
 from logquarry.functions import patterns as P
 from logquarry.operators.report import assemble_reports
