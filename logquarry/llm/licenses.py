@@ -172,10 +172,12 @@ class Scanner:
                 merged.append([start, end])
         for start, end in merged:
             while m := pattern.search(line, start, end):
-                if self._named(notice, m[0]):
-                    # Held to word limits, a match may come with more edits than it needs.
-                    least = _fewest(notice, m[0]) if notice.names else sum(m.fuzzy_counts)
-                    yield m.start(), m.end(), least
+                if not self._named(notice, m[0]):
+                    start = m.start() + 1  # another one may begin inside it
+                    continue
+                # Held to word limits, a match may come with more edits than it needs.
+                least = _fewest(notice, m[0]) if notice.names else sum(m.fuzzy_counts)
+                yield m.start(), m.end(), least
                 start = max(m.end(), start + 1)
 
     def scan(self, text: str | None) -> tuple:
@@ -210,17 +212,19 @@ class Scanner:
     def _settle(
         self, fuzzy: list[tuple[int, int, int, int]], exact: list[tuple[int, int, int]]
     ) -> list[tuple[int, int, int, int]]:
-        """Of matches that overlap, the one with the fewest edits for its length; a short form only where neither
-        another notice nor a base phrase is."""
+        """Of matches that overlap, the one with the fewest edits for its length; a short form only where neither another
+        notice nor a base phrase is, and a notice that cuts a base phrase in two only where no short form is."""
         kept: list[tuple[int, int, int, int]] = []  # by start; they don't overlap
         notice = lambda f: self.fuzzy[f[0] - len(self.base)]
         short = lambda f: f[0] >= self.first_short
         starts = sorted(start for _, start, _ in exact)
         ends = list(accumulate((end for _, _, end in sorted(exact, key=lambda e: e[1])), max))
-        order = lambda f: (short(f), f[3] / len(notice(f).phrase), -len(notice(f).phrase), notice(f).label, f)
+        # Whether a base phrase that starts before a place goes beyond another one.
+        reached = lambda before, beyond: (k := bisect_left(starts, before)) > 0 and ends[k - 1] > beyond
+        cuts = lambda f: reached(f[1], f[1]) or reached(f[2], f[2])
+        order = lambda f: (cuts(f), short(f), f[3] / len(notice(f).phrase), -len(notice(f).phrase), notice(f).label, f)
         for f in sorted(fuzzy, key=order):
-            before = bisect_left(starts, f[2])
-            if short(f) and before and ends[before - 1] > f[1]:
+            if short(f) and reached(f[2], f[1]):
                 continue
             at = bisect_left(kept, f[1], key=lambda k: k[1])
             if (at == 0 or kept[at - 1][2] <= f[1]) and (at == len(kept) or f[2] <= kept[at][1]):

@@ -71,7 +71,9 @@ def test_equals_search_without_seeds():
             n.phrase for n in licenses.NOTICES if regex.search(f"(?:{regex.escape(n.phrase)}){{e<={n.edits}}}", line)
         }
         best = {s["notice"] for s in got["spans"]} - {n.phrase for n in licenses.BASE}
-        assert best <= found and bool(best) == bool(found)
+        # A notice that takes a word of a base phrase gives way to a short form.
+        misspelt = {s["notice"] for s in got["spans"] if s["edits"]}
+        assert best <= found and bool(best | misspelt) >= bool(found)
         assert set(got["base_labels"].split(",")) - {""} <= set(got["labels"].split(","))
 
 
