@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat, decontaminate, langid, licenses, linededup, quality_model, quality_rules, shards, simhash
+from . import (
+    bpe, chat, decontaminate, langid, licenses, linededup, negatives, quality_model, quality_rules, shards, simhash, superminhash,
+)
 from .common import table
 
 
@@ -92,10 +94,25 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every 50th vector; see ``negatives.hard_negatives``."""
+    rows = table(spark, sf_dir, "embeddings")
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    used = rows.where(finite).select("vec_id", moved.alias("label"), whole.alias("vector"))
+    return negatives.hard_negatives(used, F.col("vec_id") % 50 == 0)
+
+
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near documents; see ``superminhash.near_duplicates``."""
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_chat_format, op3_decontaminate, op4_shards, op5_quality_rules, op6_simhash, op7_bpe,
-        op8_quality_model, op9_line_dedup, op10_language,
+        op8_quality_model, op9_line_dedup, op10_language, op11_hard_negatives, op13_superminhash,
     )}
 
 
@@ -160,5 +177,57 @@ def _op3_sql() -> str:
         FROM d LEFT JOIN hits USING (r) LEFT JOIN listed USING (r)"""
 
 
+def _op11_sql() -> str:
+    return """
+        WITH v AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vector
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same,
+                list_inner_product(a.vector, v.vector)::BIGINT AS score
+            FROM v AS a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 50 = 0
+        ),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+            row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3"""
+
+
+def _op13_sql() -> str:
+    return """
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ),
+        g AS (
+            SELECT DISTINCT r, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS gram
+            FROM (SELECT r, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)
+        ),
+        n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+        shared AS (SELECT a.r AS a, b.r AS b, count(*) AS m FROM g AS a JOIN g AS b ON a.gram = b.gram AND a.r <> b.r GROUP BY 1, 2),
+        links AS (
+            SELECT a, b FROM shared JOIN n AS x ON x.r = a JOIN n AS y ON y.r = b WHERE 100 * m >= 80 * (x.n + y.n - m)
+        ),
+        reach AS (SELECT r, r AS other FROM n UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.other),
+        least AS (SELECT reach.r, min(d.doc_id) AS component FROM reach JOIN d ON d.r = reach.other GROUP BY 1)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n > 0 THEN component ELSE doc_id END AS component_id,
+            doc_id IS NOT DISTINCT FROM CASE WHEN n > 0 THEN component ELSE doc_id END AS kept
+        FROM d LEFT JOIN n USING (r) LEFT JOIN least USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _op2_sql(), "op3_decontaminate": _op3_sql()}
+    return {
+        "op2_chat_format": _op2_sql(), "op3_decontaminate": _op3_sql(), "op11_hard_negatives": _op11_sql(),
+        "op13_superminhash": _op13_sql(),
+    }
