@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import (
-    bpe, chat, decontaminate, langid, licenses, linededup, negatives, quality_model, quality_rules, shards, simhash, superminhash,
+    alignment, bpe, chat, decontaminate, langid, licenses, linededup, negatives, quality_model, quality_rules, shards, simhash, superminhash,
 )
 from .common import table
 
@@ -104,6 +104,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(used, F.col("vec_id") % 50 == 0)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two vocabularies aligned; see ``alignment.align_corpus``."""
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align_corpus(table(spark, sf_dir, "documents"), *paths)
+
+
 def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near documents; see ``superminhash.near_duplicates``."""
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), 2)
@@ -112,7 +118,8 @@ def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_chat_format, op3_decontaminate, op4_shards, op5_quality_rules, op6_simhash, op7_bpe,
-        op8_quality_model, op9_line_dedup, op10_language, op11_hard_negatives, op13_superminhash,
+        op8_quality_model, op9_line_dedup, op10_language, op11_hard_negatives, op12_alignment,
+        op13_superminhash,
     )}
 
 
