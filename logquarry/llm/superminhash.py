@@ -6,10 +6,11 @@ components, which is why a signature varies less than one of independent hashes.
 hold ranks below ``j + 1`` is finished after step ``j``: later steps offer more.
 
 Documents with equal sets are one node from the start.  Nodes with ``ROWS`` equal components in a row meet in a bucket.
-A bucket is never paired with itself as a whole: its members are held against one pivot; whatever that does not
-connect gets further pivots; and only members of different components are paired in the end, where their known
-distances to the pivot leave it open (the Jaccard distance obeys the triangle inequality).  So copies of one text cost a
-comparison each, and no link between different components is lost.
+A bucket is never paired with itself as a whole.  In each of a few rounds a member is held against one pivot of another
+component, the one that meets most members in its buckets, and components grow by the links found.  Only members of one
+bucket that are in different components after that are paired, where their known distances to a common pivot leave it open (the
+Jaccard distance obeys the triangle inequality).  So copies of one text cost a comparison a round each, and no link between
+different components is lost.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ PERCENT = 80
 COMPONENTS, ROWS = 128, 4  # two sets with a similarity of 0.8 share none of the 32 bands once in 20 million times
 # Each component gives one bit.  Of sets with a similarity of 0.8 a tenth of the bits differ, six deviations are 33.
 MOST_BITS = 33
-PIVOTS = 3  # rounds with pivots before what is left is paired
+PIVOTS = 8  # rounds with pivots, while they find links, before what is left is paired
 FILTER_BITS = 24
 
 _PART = 1 << 17  # shingles that are ranked at once; bounds memory only
@@ -212,7 +213,7 @@ def _judged(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, known: DataFra
     """a, b, common, near, far (the Jaccard distance) of the pairs (a < b) that may be near and are not known yet."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if known is not None:
-        pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
     pairs = pairs.join(_side(nodes, "b"), "b").join(_side(nodes, "a"), "a").where(_possible(percent))
     pairs = settle(pairs.select("a", "b", "an", "bn"), "pairs")
     union = F.col("an") + F.col("bn") - F.col("common")
@@ -226,53 +227,68 @@ def _judged(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, known: DataFra
 def links(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """a, b: pairs of ``nodes`` (id, th, tg, n, bands, k0, k1) whose sets are near, which connect all that are and share
     a band."""
-    entries = nodes.select("id", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = settle(entries.join(buckets.select("key", "pivot"), "key"), "shared")
-    wanted = settle(nodes.select("id", "th", "tg").join(shared.select("id").distinct(), "id", "left_semi"), "wanted")
-    texts = settle(_texts(docs, wanted), "texts")
-    few = settle(nodes.select("id", "n", "k0", "k1").join(wanted.select("id"), "id", "left_semi"), "described")
-
-    starred = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    known = first = _judged(starred, few, texts, None, shingle, percent)
-    for round_ in range(PIVOTS):
+    entries = nodes.select("id", F.posexplode("bands").alias("band", "key"))
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = settle(entries.join(buckets, "key"), "shared")
+    # The more members a node meets in its buckets, the nearer it is to the middle of a group of copies.
+    met = shared.groupBy("id").agg(F.sum("size").alias("met"))
+    wanted = settle(nodes.select("id", "th", "tg", "n", "bands", "k0", "k1").join(met, "id"), "wanted")
+    shared = settle(shared.select("id", "band", "key").join(wanted.select("id", "met"), "id"), "shared")
+    texts = settle(_texts(docs, wanted.select("id", "th", "tg")), "texts")
+
+    known = first = _judged(_stars(_open(shared, None)), wanted, texts, None, shingle, percent)
+    for _ in range(PIVOTS):
         open_ = _open(shared, known.where("near"))
-        if round_ == PIVOTS - 1 or open_.isEmpty():
-            break
-        # A member of the component with the largest root meets all members of others.
-        pivots = open_.groupBy("key").agg(F.max(F.struct("root", "id")).alias("p")).select("key", "p.*")
-        pivots = pivots.select("key", F.col("root").alias("proot"), F.col("id").alias("pid"))
-        pairs = open_.join(pivots, "key").where("root <> proot").select(F.col("pid").alias("a"), F.col("id").alias("b"))
-        more = _judged(pairs, few, texts, known.select("a", "b"), shingle, percent)
-        known = known.union(more)
+        more = _judged(_stars(open_, known), wanted, texts, known, shingle, percent)
+        known = settle(known.union(more), "known")
         if more.where("near").isEmpty():
-            open_ = _open(shared, known.where("near"))
             break
-    if not open_.isEmpty():
-        known = known.union(_judged(_apart(open_, first, few, percent), few, texts, known.select("a", "b"), shingle, percent))
-    return known.where("near").select("a", "b")
+    open_ = _open(shared, known.where("near"))
+    left = _judged(_apart(open_, first, wanted, percent), wanted, texts, known, shingle, percent)
+    return known.union(left).where("near").select("a", "b")
 
 
-def _open(shared: DataFrame, near: DataFrame) -> DataFrame:
-    """key, id, pivot, root: the members of the buckets that lie in more than one component."""
+def _open(shared: DataFrame, near: DataFrame | None) -> DataFrame:
+    """``shared`` (key, id, band, met) with root: the members of the buckets that lie in more than one component."""
+    if near is None:
+        return shared.withColumn("root", F.col("id"))
     roots = components(near.select("a", "b"))
     rooted = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return settle(rooted.join(several, "key", "left_semi").select("key", "id", "pivot", "root"), "open")
+    return settle(rooted.join(several, "key", "left_semi"), "open")
+
+
+def _stars(open_: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """a, b: each member of a bucket with one pivot of another component, the one that meets most members; in the bucket
+    where that is the highest, and none that is known already."""
+    most = F.max(F.struct("met", "id", "root"))
+    best = open_.groupBy("key").agg(most.alias("p1"))
+    other = open_.join(best, "key").where(F.col("root") != F.col("p1.root")).groupBy("key").agg(most.alias("p2"))
+    pivots = best.join(other, "key", "left")
+    pivot = F.when(F.col("root") != F.col("p1.root"), F.col("p1")).otherwise(F.col("p2"))
+    pairs = open_.join(pivots, "key").select("id", pivot.alias("p")).where("p is not null")
+    if known is not None:
+        seen = known.select(F.col("a").alias("id"), F.col("b").alias("pid")).union(known.select("b", "a"))
+        pairs = pairs.withColumn("pid", F.col("p.id")).join(seen, ["id", "pid"], "left_anti")
+    return pairs.groupBy("id").agg(F.max("p").alias("p")).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
 
 
 def _apart(open_: DataFrame, first: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """a, b: members of one bucket in different components that may be near, also by their distances to its pivot."""
-    seen = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "far")
-    placed = open_.join(seen, ["pivot", "id"], "left").join(nodes, "id")
-    placed = placed.withColumn("far", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("far")))
+    """a, b: members of one bucket in different components that may be near, also by their distances to a pivot that both
+    were held against; in the first band that they share."""
+    seen = first.select(F.col("a").alias("one"), F.col("b").alias("two"), "far")
+    seen = seen.select(F.col("one").alias("pivot"), F.col("two").alias("id"), "far").union(seen.select("two", "one", "far"))
+    nearest = seen.groupBy("id").agg(F.min(F.struct("far", "pivot")).alias("to"))
+    placed = open_.select("key", "band", "id", "root").join(nearest, "id", "left").join(nodes.drop("th", "tg", "met"), "id")
     one, two = (
-        placed.select("key", *[F.col(c).alias(f"{x}{c}") for c in ("id", "root", "far", "n", "k0", "k1")]) for x in "ab"
-    )
-    reach = F.coalesce(F.abs(F.col("afar") - F.col("bfar")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    return one.join(two, "key").where((F.col("aroot") < F.col("broot")) & reach & _possible(percent)).select(
-        F.col("aid").alias("a"), F.col("bid").alias("b")
+        placed.select("key", *[F.col(c).alias(f"{x}{c}") for c in ("band", "id", "root", "to", "n", "k0", "k1", "bands")])
+        for x in "ab"
     )
+    reach = F.abs(F.col("ato.far") - F.col("bto.far")) <= 1 - percent / 100 + 1e-9
+    reach = F.coalesce((F.col("ato.pivot") != F.col("bto.pivot")) | reach, F.lit(True))
+    earlier = F.expr("exists(zip_with(slice(abands, 1, aband), slice(bbands, 1, aband), (x, y) -> x = y), z -> z)")
+    apart = (F.col("aroot") < F.col("broot")) & reach & _possible(percent) & ~earlier
+    return one.join(two, "key").where(apart).select(F.col("aid").alias("a"), F.col("bid").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
