@@ -62,6 +62,7 @@ class ByteLevel:
         self.bytes = [b""] * (1 + max(ranks.values()))
         for token, i in ranks.items():
             self.bytes[i] = token
+        self.widths = np.array([len(x) for x in self.bytes], np.int64)
 
     def encode(self, text: str) -> list[int]:
         if _newer(text):
@@ -83,9 +84,6 @@ class Pieces:
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:-1], 16)]) if self.model.is_byte(i) else piece.replace(BLANK, " ").encode())
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text, num_threads=1)
-
 
 @lru_cache(maxsize=2)
 def sides(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces]:
@@ -93,50 +91,53 @@ def sides(path_a: str, path_b: str) -> tuple[ByteLevel, Pieces]:
 
 
 class Side:
-    """The tokens of the documents of a batch, one after the other: doc, id, start and end in the text's bytes."""
+    """The tokens of the documents of a batch, one after the other: doc, id, start and end in the bytes of all texts."""
 
     def __init__(self, ids: list[np.ndarray], widths: np.ndarray):
         self.counts = np.array([len(x) for x in ids], np.int64)
         self.ids = np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)
         self.doc = np.repeat(np.arange(len(ids)), self.counts)
         self.first = np.concatenate(([0], np.cumsum(self.counts)))
-        width = widths[self.ids]
-        run = np.cumsum(width)
-        before = np.concatenate(([0], run))[self.first[:-1]]
-        self.end = run - np.repeat(before, self.counts)
-        self.start = self.end - width
+        self.end = np.cumsum(widths[self.ids])
+        self.start = self.end - widths[self.ids]
+
+    def groups(self, links: np.ndarray) -> np.ndarray:
+        """For each token, how many links, in order, are on tokens before it."""
+        steps = np.zeros(len(self.ids) + 1, np.int64)
+        steps[links + 1] = 1
+        return np.cumsum(steps)[:-1]
 
 
 def overlaps(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all tokens of a and b that share bytes, as pairs sorted by a, then b."""
+    """The numbers of all tokens of a and b that share bytes, as pairs sorted by a, then b.  Both sides have the same
+    texts."""
 
     def covering(one: Side, two: Side) -> np.ndarray:
         """For each token of ``one``, the token of ``two`` that covers its start."""
-        frame = lambda s, name: pd.DataFrame(
-            {"start": s.start, "doc": s.doc, name: np.arange(len(s.ids))}).sort_values("start", kind="stable")
-        found = pd.merge_asof(frame(one, "own"), frame(two, "other"), on="start", by="doc")
-        out = np.empty(len(one.ids), np.int64)
-        out[found["own"].to_numpy()] = found["other"].to_numpy()
-        return out
+        left = pd.DataFrame({"start": one.start, "doc": one.doc})
+        right = pd.DataFrame({"start": two.start, "doc": two.doc, "other": np.arange(len(two.ids))})
+        return pd.merge_asof(left, right, on="start", by="doc")["other"].to_numpy()
 
     if not len(a.ids):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     width = len(b.ids)
     keys = np.concatenate([np.arange(len(a.ids)) * width + covering(a, b), covering(b, a) * width + np.arange(width)])
-    return np.divmod(np.unique(keys), width)
+    keys.sort(kind="stable")
+    return np.divmod(keys[np.append(True, keys[1:] != keys[:-1])], width)
 
 
 def _tokens(texts: list[str | None], a: ByteLevel, b: Pieces) -> tuple[list, list]:
-    """Ids on both sides; none where a side does not give the text back."""
+    """Ids on both sides; none where a side does not give the text back.  Side A's tokens are cut from the bytes of the
+    text, so that it does if they are as long."""
     ids_a, ids_b, none = [], [], np.empty(0, np.int32)
-    for text in texts:
-        one = two = none
-        if text:
-            raw, x, y = b" " + text.encode(), a.encode(" " + text), b.encode(text)
-            if raw == b"".join(map(a.bytes.__getitem__, x)) and raw == b"".join(map(b.bytes.__getitem__, y)):
-                one, two = np.array(x, np.int32), np.array(y, np.int32)
-        ids_a.append(one)
-        ids_b.append(two)
+    for text, two in zip(texts, b.model.encode([t or "" for t in texts], num_threads=1)):
+        x = y = none
+        if text and (raw := b" " + text.encode()) == b"".join(map(b.bytes.__getitem__, two)):
+            one = np.array(a.encode(" " + text), np.int32)
+            if int(a.widths[one].sum()) == len(raw):
+                x, y = one, np.array(two, np.int32)
+        ids_a.append(x)
+        ids_b.append(y)
     return ids_a, ids_b
 
 
@@ -170,8 +171,7 @@ def align(texts: list[str | None], a: ByteLevel, b: Pieces, written: tuple[Writt
     over_a, over_b = overlaps(one, two)
     ends = one.end[over_a] == two.end[over_b]
     link_a, link_b = over_a[ends], over_b[ends]
-    # The group of a token: how many groups, in this batch, end before it.
-    group_a, group_b = (np.searchsorted(link, np.arange(len(s.ids)), "left") for s, link in ((one, link_a), (two, link_b)))
+    group_a, group_b = one.groups(link_a), two.groups(link_b)
     docs, count = one.doc[link_a], len(texts)
     return {
         "n_a": one.counts, "n_b": two.counts, "n_groups": np.bincount(docs, minlength=count),
