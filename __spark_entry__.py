@@ -26,6 +26,7 @@ from logquarry.plans import event_logs as E
 from logquarry.plans import incidents, metrics
 from logquarry.schema import LOG_SCHEMA, ROW_ID
 from logquarry.session import scratch_path
+from logquarry.sources.ledger import reload_logs
 from logquarry.sources.store import LogStore
 from logquarry.sources.tables import read_table_file
 from logquarry.sources.text_logs import read_logs
@@ -158,6 +159,18 @@ def store_ingest(spark, sf):
     )
 
 
+def store_reload(spark, sf):
+    """Text files taken in, and the folder reloaded twice: once as it is, once with a file more."""
+    path, half = scratch_path(spark, "store"), F.col(ROW_ID) % 3 == 0
+    folder, store = scratch_path(spark, "log-text"), LogStore(spark, path, "logs_" + path.rsplit("-", 1)[1])
+    lines = _logs(spark, sf).sortWithinPartitions(ROW_ID)
+    for part in (half, half, ~half):
+        lines.where(part & (F.col(ROW_ID) >= 0)).coalesce(1).select(C.render_line()).write.mode("ignore" if part is half else "append").text(folder)
+        reload_logs(store, folder)
+    reload_logs(store, folder)
+    return store.df().drop("event_date")
+
+
 def get_by_id(spark, sf):
     return _store(spark, sf).get_by_id("42").drop("event_date")
 
@@ -612,7 +625,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found["totals"] = lambda spark, sf: metrics.totals(_table(spark, sf, "events"), "value")
     for f in (
         error_rate_by_app, log_parse, log_file_parse, log_file_row_ids, log_lines_single, format_round_trip,
-        store_ingest, store_append, store_overwrite, get_by_id, delete_record, delete_filter, delete_whole_day, validate_logs, validation_counts,
+        store_ingest, store_append, store_overwrite, store_reload, get_by_id, delete_record, delete_filter, delete_whole_day, validate_logs, validation_counts,
         param_query, filter_raw_then_scrub, group_raw_then_scrub, query_audit, query_audit_counts, query_preview,
         table_profile, table_profile_distinct, table_descriptions, query_results, filter_audit, table_samples, scrub_documents, scrub_pages, scrub_conversations,
         scrub_target_columns, scrub_tokens, scrub_nested, redaction_audit, tracebacks, payload_tracebacks,
@@ -812,6 +825,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT CAST(timestamp AS DATE) AS event_date, level, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM r GROUP BY ALL",
         "store_append": f"{logs} SELECT row_number() OVER (ORDER BY _rowid % 2, _rowid) - 1 AS _rowid, {_LOG} FROM logs",
         "store_overwrite": f"{logs} SELECT row_number() OVER (ORDER BY _rowid) - 1 AS _rowid, {_LOG} FROM logs WHERE level = 'ERROR'",
+        "store_reload": f"{logs} SELECT row_number() OVER (ORDER BY _rowid % 3 <> 0, _rowid) - 1 AS _rowid, {_LOG} FROM logs",
         "get_by_id": f"{logs} SELECT _rowid, {logs_clean} FROM logs WHERE CAST(_rowid AS VARCHAR) = '42'",
         "delete_record": f"{logs} SELECT _rowid, {_LOG} FROM logs WHERE CAST(_rowid AS VARCHAR) NOT IN ('42', '0042')",
         "delete_filter": f"{logs} SELECT _rowid, {_LOG} FROM logs WHERE NOT coalesce({GONE}, false)",

@@ -45,10 +45,13 @@ UNSAFE_FILTER = (
     r"|CALL)\b"
 )
 
-# --- What Spark's own SQL can reach besides tables: methods of the virtual machine, files by path, names made from texts
+# --- What Spark's own SQL can reach besides tables: methods of the virtual machine, files by path or by the class of a
+# reader, names made from texts, and programs that rows are sent through
 ENGINE_ACCESS = (
     r"\b(?:java_method|reflect|try_reflect|identifier)`?\s*\("
     r"|\b(?:parquet|orc|csv|json|text|xml|avro|binaryfile)`?\s*\.\s*`"
+    r"|\.\s*`[^`]*[/\\:]|`[^`]*\.[^`]*`\s*\."
+    r"|\b(?:transform|map|reduce)\b[\s\S]*\busing\s*r?['\"]"
 )
 
 # --- Fixed values: failures ---------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from logquarry.functions import guards
 from logquarry.functions import patterns as P
+from logquarry.functions import statements as guard
 from logquarry.functions.redaction import scrub, scrub_text
 from logquarry.operators.ranking import join_groups, top_k_per_group
 
@@ -23,9 +24,11 @@ def run_query(spark: SparkSession, query: str, params: Sequence | None = None, *
     """The redacted result of one read-only statement.
 
     `params` fill ``?`` marks.  A table given by keyword can be named in braces in
-    the statement.  Filters and groupings see the raw values.
+    the statement.  Filters and groupings see the raw values.  The statement is judged by its words and by
+    what the parser makes of it, before anything is analysed or run.
     """
     guards.check_query(query)
+    guard.check_statement(spark, query, tables)
     return scrub(spark.sql(query, args=list(params) if params else None, **tables))
 
 
@@ -95,9 +98,12 @@ def query_results(
 def _outcome(spark: SparkSession, query: str, params, k: int, tables: dict) -> tuple[str, int | None, str]:
     try:
         guards.check_query(query)
+        guard.check_statement(spark, query, tables)
     except ValueError as error:
         rule = guards.first_broken_query_rule(query)
-        return rule.verdict, None, f"{P.QUERY_ERROR}{error}"
+        return rule.verdict if rule else guards.ENGINE, None, f"{P.QUERY_ERROR}{error}"
+    except Exception as error:  # the parser's
+        return "failed", None, f"{P.QUERY_ERROR}{error}"
     try:
         result = run_query(spark, query, params, **tables)
         first = result.limit(k).collect()
@@ -125,6 +131,7 @@ def run_recorded(
     started, counts, failure = time.time(), {}, None
     try:
         guards.check_query(query)
+        guard.check_statement(spark, query, tables)
         raw = spark.sql(query, args=list(params) if params else None, **tables)
         changed = F.lit(0)
         for field in raw.schema:

@@ -53,7 +53,7 @@ FROM {src}
 
 STATEMENTS_SQL = """
 SELECT event_id AS query_id,
-  CASE event_id % 14
+  CASE event_id % 18
     WHEN 0 THEN concat('SELECT app FROM logs WHERE line_number = ', CAST(event_id % 500 AS STRING))
     WHEN 1 THEN concat('  select app, max(line_number) from logs where line_number < ', CAST(event_id AS STRING), ' group by app')
     WHEN 2 THEN concat('WITH few AS (SELECT * FROM logs LIMIT ', CAST(event_id AS STRING), ') SELECT app FROM few')
@@ -67,13 +67,17 @@ SELECT event_id AS query_id,
     WHEN 10 THEN concat('VACUUM logs RETAIN ', CAST(event_id AS STRING), ' HOURS')
     WHEN 11 THEN concat('SELECT app, ', CAST(event_id AS STRING), ' /* which */ FROM logs')
     WHEN 12 THEN concat('SELECT java_method(''java.lang.Math'', ''abs'', -', CAST(event_id AS STRING), ')')
-    ELSE concat('SELECT app FROM parquet.`/data/', CAST(event_id AS STRING), '`') END AS query
+    WHEN 13 THEN concat('SELECT app FROM parquet.`/data/', CAST(event_id AS STRING), '`')
+    WHEN 14 THEN concat('SELECT TRANSFORM(app) USING ''job', CAST(event_id AS STRING), ''' AS (x) FROM logs')
+    WHEN 15 THEN concat('SELECT * FROM `org.example.Reader`.`job', CAST(event_id AS STRING), '`')
+    WHEN 16 THEN concat('SELECT * FROM reader.`s3a://logs/', CAST(event_id AS STRING), '`')
+    ELSE concat('SELECT transform(parts, x -> x + ', CAST(event_id AS STRING), ') FROM logs JOIN jobs USING (app)') END AS query
 FROM {src}
 """
 
 CONDITIONS_SQL = """
 SELECT event_id AS filter_id,
-  CASE event_id % 8
+  CASE event_id % 9
     WHEN 0 THEN concat('line_number > ', CAST(event_id AS STRING))
     WHEN 1 THEN concat('app = ''app_', CAST(user_id AS STRING), ''' or level is null')
     WHEN 2 THEN concat('line_number = ', CAST(event_id AS STRING), '; select 1')
@@ -81,6 +85,7 @@ SELECT event_id AS filter_id,
     WHEN 4 THEN ' '
     WHEN 5 THEN concat('reflect(''java.lang.Math'', ''abs'', ', CAST(event_id AS STRING), ') > 0')
     WHEN 6 THEN concat('updated_by = ', CAST(user_id AS STRING))
+    WHEN 7 THEN concat('app IN (SELECT TRANSFORM(app) USING ''job', CAST(event_id AS STRING), ''' AS (x) FROM logs)')
     ELSE concat('true /* ', CAST(event_id AS STRING), ' */') END AS condition
 FROM {src}
 """

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logquarry.functions import guards
+from logquarry.functions import guards, statements
 from logquarry.functions.redaction import scrub
 from logquarry.schema import DEFAULT_TABLE, EVENT_DATE, ROW_ID
 from logquarry.session import file_system, scratch_path, settle
@@ -127,6 +127,8 @@ class LogStore:
         # The new rows are complete in a folder of their own before the old ones go.
         self._remove(self._next)
         (columns.write.partitionBy(EVENT_DATE) if days else columns.write).parquet(self._next)
+        if mode == "overwrite":
+            self._remove(self.ledger)
         self._replace()
         self._register(columns.schema, days)
 
@@ -159,6 +161,7 @@ class LogStore:
     def delete_filter(self, condition: str) -> None:
         """Delete the rows for which `condition` is true; rows where it is null stay."""
         guards.check_filter(condition)
+        statements.check_condition(self.spark, condition)
         self._delete(F.coalesce(F.expr(condition), F.lit(False)))
 
     def _delete(self, doomed) -> None:
@@ -191,16 +194,25 @@ class LogStore:
     def _next(self) -> str:
         return f"{self.path}.next"
 
+    @property
+    def ledger(self) -> str:
+        """Where the files that were taken in are listed; see `logquarry.sources.ledger`."""
+        return f"{self.path}.ledger"
+
     def _recover(self) -> None:
-        """Complete a replacement that broke off after its new rows were complete; drop one that broke off before."""
+        """Complete a replacement that broke off after its new rows were complete, or else bring back the old ones.
+
+        Nothing is removed: the rows of a replacement that is not complete may be another store's that is being written.
+        The next write removes them.
+        """
         if self._exists(f"{self._next}/{_LIST}"):
             self._swap_days()
-        elif self._exists(f"{self._next}/_SUCCESS") and not self._exists(self.path):
+        elif self._exists(self.path):
+            return
+        elif self._exists(f"{self._next}/_SUCCESS"):
             self._replace()
-        else:
-            self._remove(self._next)
-        if self._exists(self.path):
-            self._remove(f"{self.path}.old")
+        elif self._exists(f"{self.path}.old"):
+            self._rename(f"{self.path}.old", self.path)
 
     def _replace(self) -> None:
         """Put the new rows in the place of all old ones."""

@@ -17,8 +17,8 @@ def escape_glob(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the files under `path` with their order key.
+def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines of the files under `path`, or several paths, with their order key.
 
     The id grows in file order inside a split, and the split's start orders the
     splits, so no file is read whole.  A compressed file is one split.
@@ -27,7 +27,7 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
         raw = spark.read.text(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"Log file not found: {path}") from error
+            raise FileNotFoundError(f"no log at {path}") from error
         raise
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
@@ -38,7 +38,7 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_logs(
-    spark: SparkSession, path: str, on_bad: str = "fail", row_ids: bool = False, keep: tuple[str, ...] = ()
+    spark: SparkSession, path: str | list[str], on_bad: str = "fail", row_ids: bool = False, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """The records of a file, a folder or a file pattern; see `stitch` for the options."""
     return stitch(read_log_lines(spark, path), on_bad=on_bad, row_ids=row_ids, keep=keep)

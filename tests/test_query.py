@@ -1,8 +1,9 @@
 import pytest
 from helpers import rows, value_of, values_of
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
-from logquarry.functions import guards
+from logquarry.functions import guards, statements
 from logquarry.functions import patterns as P
 from logquarry.operators import classify as Q
 from logquarry.operators import profile as G
@@ -20,7 +21,8 @@ UNSAFE = [
 ]
 ENGINE = [
     "SELECT java_method('java.lang.Math', 'abs', -1)", "select REFLECT ('a', 'b')", "SELECT `try_reflect`('a', 'b')",
-    "SELECT * FROM parquet.`/data/x`", "SELECT * FROM `csv` . `x`", "SELECT IDENTIFIER('java_' || 'method')('a', 'b')",
+    "SELECT * FROM parquet.`/data/x`", "SELECT * FROM `csv` . `x`", "SELECT TRANSFORM(n) USING 'cat' AS (x) FROM jobs",
+    "SELECT * FROM `org.example.Reader`.`x`", "WITH x AS (SELECT 1) SELECT * FROM x MAP a USING 'cat'", "SELECT * FROM x.`s3a://b/c`", "SELECT IDENTIFIER('java_' || 'method')('a', 'b')",
 ]
 EMPTY = ["", "   ", "\n\t "]
 
@@ -47,6 +49,44 @@ def test_no_statement_runs_methods(spark):
             S.run_query(spark, query)
 
 
+READING = [
+    "SELECT id FROM {t} WHERE id = ?", "WITH x AS (SELECT 1 AS a) SELECT * FROM x WHERE a IN (SELECT id FROM {t})", "SHOW TABLES",
+    "SELECT transform(array(1), x -> x + 1) FROM {t} JOIN {t} AS u USING (id)", "SELECT * FROM {t} LATERAL VIEW explode(array(1)) e AS x",
+    "SELECT sum(id) OVER (ORDER BY id) FROM range(3) GROUP BY id HAVING id > 0 ORDER BY 1 LIMIT 2", "EXPLAIN SELECT 1", "DESCRIBE default.t",
+    "SELECT * FROM {t} PIVOT (sum(id) FOR id IN (1, 2)) UNION ALL VALUES (1, 2)", "SHOW DATABASES", "SHOW COLUMNS IN t",
+]
+REACHING = [
+    "SELECT 1 WHERE 1 IN (SELECT TRANSFORM(id) USING 'cat' FROM {t})", "SELECT * FROM text.x", "SELECT * FROM `a.b.C`.x", "DESCRIBE text.`x`",
+    "SELECT system.builtin.reflect('a', 'b')", "SELECT * FROM {t} LIMIT (SELECT length(reflect('a', 'b')))", "SELECT * FROM python_worker_logs()",
+    "SELECT 1 GROUP BY abs(java_method('a', 'b'))", "SELECT * FROM IDENTIFIER('t')", "SELECT sum(1) OVER (ORDER BY `reflect`('a', 'b'))",
+    "EXPLAIN SELECT * FROM orc.x", "EXPLAIN INSERT INTO t SELECT 1", "WITH x AS (SELECT * FROM csv.y) SELECT * FROM x", "SET a = b",
+    "SELECT * FROM {t} |> SELECT reflect('a', 'b')", "SELECT input_file_name() FROM {t}", "SHOW COLUMNS IN text.`x`",
+]
+
+
+def test_structure_of_statements(spark):
+    for query in READING:
+        statements.check_statement(spark, query, ["t"])
+    for query in REACHING:
+        with pytest.raises(ValueError, match="reaches past the tables"):
+            statements.check_statement(spark, query, ["t"])
+    with pytest.raises(ParseException):
+        statements.check_statement(spark, "SELECT (")
+
+
+def test_structure_of_conditions(spark):
+    for text in ("id > 3", "id IN (SELECT id FROM t)", "exists(array(1), x -> x > 1)"):
+        statements.check_condition(spark, text)
+    for text in ("id IN (SELECT TRANSFORM(id) USING 'cat' FROM t)", "id IN (SELECT id FROM text.x)", "system.builtin.reflect('a', 'b') > 0"):
+        with pytest.raises(ValueError, match="reaches past the tables"):
+            statements.check_condition(spark, text)
+
+
+def test_a_refused_statement_is_a_result(spark):
+    found = rows(S.query_results(spark, [(0, "SELECT * FROM text.x"), (1, "SELECT ("), (2, "SELECT 1 AS a")]), "verdict")
+    assert found == [(guards.ENGINE,), ("failed",), (guards.OK,)]
+
+
 BAD_FILTERS = [
     "n = 1; select 2", "n = 1 -- all", "n = 1 /* or */ or n = 2", "note = 'will copy'", "", "  ", "n in (select 1) or exec",
     "java_method('java.lang.Math', 'abs', -1) > 0", "exists (select 1 from parquet.`/x`)", None,
