@@ -2,7 +2,9 @@
 
 Fertility is measured word by word: characters per token, the share of tokens that are single bytes, and the entropy
 of the tokens in bits.  Each language, or script where the language isn't known, has its own bands around the
-quartiles of all its documents that pass the base rules.
+quartiles of all its different texts that pass the base rules: copies of one text, which may be most of a corpus
+before it is deduplicated, count once.  In a group of few texts, whose quartiles say little, a text may as well be within
+the bands of all.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logquarry.session import settle
 
@@ -34,14 +37,16 @@ SCRIPTS = (
 )
 # A band reaches this many times from the median to the quartile on its side: 7 is the usual outer fence, three quartile
 # ranges beyond the quartile.  Means over few tokens scatter more, so ``chars_per_token`` is judged by its distance from the
-# median times the root of the number of tokens.  Most groups have no byte tokens at all, and a quartile distance of 0
-# would reject one odd character; only there a band has a least width.
+# median times the root of the number of tokens.  Each band has a small least width; most groups have no byte tokens at
+# all, and a quartile distance of 0 would reject one odd character.
 BANDS = {
-    "chars_per_token": {"times": 7.0, "least": 0.0, "low": True, "high": True},
+    "chars_per_token": {"times": 7.0, "least": 0.5, "low": True, "high": True},
     "byte_share": {"times": 7.0, "least": 0.05, "low": False, "high": True},
-    "entropy": {"times": 7.0, "least": 0.0, "low": True, "high": False},
+    "entropy": {"times": 7.0, "least": 0.1, "low": True, "high": False},
 }
 NOISE = 0.01  # of rounding, added to each band
+ALL = "*"  # the group of all texts
+LEAST_TEXTS = 20  # different texts of a group that is judged by its own bands alone
 
 REMEMBERED = 200_000  # words that a task remembers
 MEASURES = (
@@ -145,22 +150,26 @@ def _value(measured: Column, name: str, middle: Column) -> Column:
 
 
 def _quartiles(rows: DataFrame, values: list[Column]) -> DataFrame:
-    """band_group, measure, q: exact quartiles from counts of (measure, value) structs of each row."""
+    """band_group, measure, q, n: exact quartiles, and the number of values, from counts of (measure, value) structs of each row."""
     counted = rows.select("band_group", F.inline(F.array(*values))).groupBy("band_group", "measure", "value")
     return counted.agg(F.count(F.lit(1)).alias("n")).groupBy("band_group", "measure").agg(
-        F.expr("percentile(value, array(0.25D, 0.5D, 0.75D), n)").alias("q")
+        F.expr("percentile(value, array(0.25D, 0.5D, 0.75D), n)").alias("q"), F.sum("n").alias("n")
     )
 
 
-def bands(measured: Column, rows: DataFrame) -> DataFrame:
-    """band_group, middle (the median of ``chars_per_token``) and, for each measure, the lowest and highest ``_value`` that
-    is kept: at most a row per language and script.  Quartiles are taken from counts of rounded values, over all rows
-    that pass the base rules."""
-    good = rows.where(~base_failed(measured)).select(measured["band_group"].alias("band_group"), F.struct(
-        *[measured[k].alias(k) for k in (*BANDS, "n_tokens")]).alias("m"))
+def bands(measured: Column, text_hash: Column, rows: DataFrame) -> DataFrame:
+    """band_group, texts (different ones), middle (the median of ``chars_per_token``) and, for each measure, the lowest and
+    highest ``_value`` that is kept: at most a row per language and script, and one for ``ALL``.  Quartiles are taken from
+    counts of rounded values, over all different texts that pass the base rules."""
+    good = rows.where(~base_failed(measured)).select(
+        measured["band_group"].alias("band_group"), text_hash.alias("text_hash"),
+        F.struct(*[measured[k].alias(k) for k in (*BANDS, "n_tokens")]).alias("m"),
+    )
+    different = good.groupBy("band_group", "text_hash").agg(F.first("m").alias("m"))
+    good = settle(different.select(F.explode(F.array("band_group", F.lit(ALL))).alias("band_group"), "m"), "different")
     pair = lambda k, value: F.struct(F.lit(k).alias("measure"), value.alias("value"))
     middles = _quartiles(good, [pair("chars_per_token", F.round(F.col("m.chars_per_token"), 3))])
-    middles = middles.select(F.col("band_group").alias("own_group"), F.col("q")[1].alias("middle"))
+    middles = middles.select(F.col("band_group").alias("own_group"), F.col("q")[1].alias("middle"), F.col("n").alias("texts"))
     placed = good.join(F.broadcast(middles), F.col("band_group") == F.col("own_group"))
     quartiles = _quartiles(placed, [pair(k, _value(F.col("m"), k, F.col("middle"))) for k in BANDS])
     limits = []
@@ -175,15 +184,24 @@ def bands(measured: Column, rows: DataFrame) -> DataFrame:
         F.broadcast(middles), F.col("band_group") == F.col("own_group")).drop("own_group")
 
 
-def _judged(rows: DataFrame, m: str, verdict: str) -> DataFrame:
+def _judged(rows: DataFrame, m: str, text_hash: str, verdict: str) -> DataFrame:
     """``rows``, whose column ``m`` holds measures, with the verdict whether they are kept."""
     measured, name = named(rows, m), fresh(rows, "limits")
-    limits = bands(measured, rows).select(F.struct("*").alias(name))
+    limits = bands(measured, named(rows, text_hash), rows)
+    found = {r["band_group"]: r for r in limits.collect()}  # a row per language and script
+    both = [(g, tuple(r), tuple(found[ALL])) for g, r in found.items() if g != ALL]
+    schema = T.StructType().add("of_group", T.StringType()).add("own", limits.schema).add("all", limits.schema)
+    chosen = rows.sparkSession.createDataFrame(both, schema).select(F.struct("*").alias(name))
     own = F.col(f"`{name}`")
-    inside = F.lit(True)
-    for k in BANDS:
-        inside &= _value(measured, k, own["middle"]).between(own[f"{k}_low"], own[f"{k}_high"])
-    joined = rows.join(F.broadcast(limits), measured["band_group"] == own["band_group"], "left")
+
+    def inside(band: Column) -> Column:
+        out = F.lit(True)
+        for k in BANDS:
+            out &= _value(measured, k, band["middle"]).between(band[f"{k}_low"], band[f"{k}_high"])
+        return out
+
+    inside = inside(own["own"]) | ((own["own"]["texts"] < LEAST_TEXTS) & inside(own["all"]))
+    joined = rows.join(F.broadcast(chosen), measured["band_group"] == own["of_group"], "left")
     return joined.withColumn(verdict, ~base_failed(measured) & F.coalesce(inside, F.lit(False))).drop(name)
 
 
@@ -199,15 +217,17 @@ def judge(docs: DataFrame, path: str) -> DataFrame:
     measures are staged, counted for the bands, and judged.
     """
     rows = in_small_batches(docs).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), measures(path, F.col("text"), _lang(docs)).alias("m")
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
+        measures(path, F.col("text"), _lang(docs)).alias("m"),
     )
     rows = settle(rows, "measures")
-    judged = _judged(rows, "m", "kept")
+    judged = _judged(rows, "m", "text_hash", "kept")
     return judged.select("doc_id", "m.*", base_failed(F.col("m")).alias("base_failed"), "kept")
 
 
 def keep_good(docs: DataFrame, path: str) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    m, verdict = fresh(docs, "measures"), fresh(docs, "verdict")
-    rows = settle(in_small_batches(docs).withColumn(m, measures(path, F.col("text"), _lang(docs))), "measured")
-    return _judged(rows, m, verdict).where(f"`{verdict}`").drop(m, verdict)
+    m, verdict, text_hash = fresh(docs, "measures"), fresh(docs, "verdict"), fresh(docs, "text_hash")
+    measured = in_small_batches(docs).withColumn(m, measures(path, F.col("text"), _lang(docs)))
+    rows = settle(measured.withColumn(text_hash, F.xxhash64("text")), "measured")
+    return _judged(rows, m, text_hash, verdict).where(f"`{verdict}`").drop(m, verdict, text_hash)

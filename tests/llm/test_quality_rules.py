@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from logquarry.llm import quality_rules as Q
 
@@ -94,3 +96,51 @@ def test_strewn_symbols_are_outside(docs):
     rows = {r["doc_id"]: r for r in Q.judge(docs(good + [(100, strewn)]), PATH).collect()}
     assert not rows[100]["base_failed"] and not rows[100]["kept"]
     assert all(rows[i]["kept"] for i in range(60))
+
+
+def test_copies_do_not_narrow_the_bands(spark, sf):
+    """Nine hundred copies of one text change no verdict on the others."""
+    rows = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").where("lang = 'en'")
+    before = {r["doc_id"]: r["kept"] for r in Q.judge(rows, PATH).collect()}
+    usual = rows.where(F.col("doc_id") == min(i for i, kept in before.items() if kept)).withColumn("doc_id", F.lit(-1).cast("bigint"))
+    copies = usual.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(930)))).drop("n")
+    after = {r["doc_id"]: r["kept"] for r in Q.judge(rows.union(copies), PATH).collect()}
+    assert sum(before.values()) > 400 and after.pop(-1) and after == before
+
+
+def _plain_bands(rows):
+    """The limits of each group, from the measures of rows as plain numbers."""
+    groups = {}
+    for r in {(r["band_group"], r["text"]): r for r in rows if not r["base_failed"]}.values():
+        for g in (r["band_group"], Q.ALL):
+            groups.setdefault(g, []).append(r)
+    out = {}
+    for g, found in groups.items():
+        middle = float(np.quantile([round(r["chars_per_token"], 3) for r in found], 0.5))
+        limits = {}
+        for k, band in Q.BANDS.items():
+            q = np.quantile([_plain_value(r, k, middle) for r in found], [0.25, 0.5, 0.75])
+            low = q[1] - max(band["times"] * (q[1] - q[0]), band["least"]) - Q.NOISE
+            high = q[1] + max(band["times"] * (q[2] - q[1]), band["least"]) + Q.NOISE
+            limits[k] = (low if band["low"] else -np.inf, high if band["high"] else np.inf)
+        out[g] = (len(found), middle, limits)
+    return out
+
+
+def _plain_value(r, k, middle):
+    return round((r[k] - middle) * r["n_tokens"] ** 0.5, 2) if k == "chars_per_token" else round(r[k], 3)
+
+
+def test_verdicts_equal_plain_bands(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = [{**r.asDict(), "text": texts[r["doc_id"]]} for r in Q.judge(docs, PATH).collect()]
+    bands = _plain_bands(rows)
+    assert {n >= Q.LEAST_TEXTS for g, (n, *_) in bands.items() if g != Q.ALL} == {True, False}
+    def inside(r, n, middle, limits):
+        return all(low - 1e-6 <= _plain_value(r, k, middle) <= high + 1e-6 for k, (low, high) in limits.items())
+
+    for r in rows:
+        own = bands.get(r["band_group"], bands[Q.ALL])
+        fits = inside(r, *own) or own[0] < Q.LEAST_TEXTS and inside(r, *bands[Q.ALL])
+        assert r["kept"] == (fits and not r["base_failed"]), r["doc_id"]
