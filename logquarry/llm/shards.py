@@ -58,11 +58,11 @@ def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id") -> DataFram
     (``key``), shard, slot (0, 1, ... without gaps in each shard), grown_shard (with one more shard).
 
     Rows of one key share a shard, whatever their texts; a null key is a key.  A null text has size 16 and the
-    checksum of an empty one.  Within a shard slots go by part, key, size and checksum; repeated rows get slots of
-    their own.  Other columns are not read.
+    checksum of an empty one.  Within a shard slots go by part, which key, size and checksum decide, and in it by those;
+    repeated rows get slots of their own.  Other columns are not read.
 
-    No task numbers a whole shard: repeated rows are counted before they are moved, and go on in chunks; rows are
-    numbered in parts of shards, and a table of ``GROUPS`` sizes (or one per shard) gives where each part starts.
+    No task numbers a whole shard, nor all texts of one key: repeated rows are counted before they are moved, and go on in
+    chunks; rows are numbered in parts of shards, and a table of ``GROUPS`` sizes (or one per shard) gives where each part starts.
     """
     parts = max(1, GROUPS // shards)
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -76,7 +76,7 @@ def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id") -> DataFram
         "*",
         shard_of(F.col("key"), shards).alias("shard"),
         shard_of(F.col("key"), shards + 1).alias("grown_shard"),
-        stable_key(F.col("key")).alias("hash"),
+        F.xxhash64("key", "size", "text_crc32").alias("hash"),
         F.explode(F.expr(f"sequence(0, (copies - 1) div {COPIES})")).alias("chunk"),
     ).select(
         "key", "size", "text_crc32", "shard", "grown_shard", "chunk",

@@ -61,3 +61,14 @@ def test_order_of_input_does_not_matter(docs):
 
 def test_empty(docs):
     assert S.assign_shards(docs([(1, "x")]).limit(0), 40).collect() == []
+
+
+def test_a_key_of_many_texts_is_spread(docs, monkeypatch):
+    """One key with most of all rows: no part, and so no task, numbers more than a few of them."""
+    monkeypatch.setattr(S, "GROUPS", 64)
+    given = [(1, f"text {i}") for i in range(2000)] + [(i, "x") for i in range(2, 50)]
+    out = S.assign_shards(docs(given), 4)
+    _check(out.collect(), given, 4)
+    hashed = docs(given).where("doc_id = 1").selectExpr("xxhash64(doc_id, cast(octet_length(text) + 16 as bigint), crc32(text)) as h")
+    parts = hashed.groupBy(hashed.h % 16).count().collect()
+    assert max(r["count"] for r in parts) < 200
