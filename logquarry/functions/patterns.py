@@ -86,6 +86,8 @@ SQL_PHRASES = (
 NO_RESULTS = "No results available for this question."
 QUERY_ERROR = "Error executing query: "
 EMPTY_RESULT = "Query executed successfully. Result is empty."
+REPORT_TITLE = "# Question"
+CAUSE_TITLE, RESULT_TITLE, WARNINGS_TITLE = "## Root Cause Analysis\n", "## Query Results\n", "## Warnings\n"
 PREVIEW_ROWS = 5
 SAMPLE_ROWS = 3
 

@@ -17,11 +17,11 @@ def report_text(question: Column, diagnosis: Column, result: Column, warnings: C
     has_result = F.coalesce(result, F.lit("")) != ""
     return F.concat_ws(
         "\n\n",
-        F.when(title != "", F.concat(F.lit("# "), title)).otherwise("# Question"),
-        F.when(has_diagnosis, F.concat(F.lit("## Root Cause Analysis\n"), diagnosis)),
-        F.when(has_result, F.concat(F.lit("## Query Results\n"), result)),
+        F.when(title != "", F.concat(F.lit("# "), title)).otherwise(P.REPORT_TITLE),
+        F.when(has_diagnosis, F.concat(F.lit(P.CAUSE_TITLE), diagnosis)),
+        F.when(has_result, F.concat(F.lit(P.RESULT_TITLE), result)),
         F.when(~has_diagnosis & ~has_result, P.NO_RESULTS),
-        F.when(warnings.isNotNull(), F.concat(F.lit("## Warnings\n"), warnings)),
+        F.when(warnings.isNotNull(), F.concat(F.lit(P.WARNINGS_TITLE), warnings)),
     )
 
 

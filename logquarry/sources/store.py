@@ -29,6 +29,7 @@ log = logging.getLogger(__name__)
 _NO_DATE = "1970-01-01"
 _LIST = "days.json"  # the days that a delete swaps; complete when it is there
 _ID_BITS = 33  # monotonically_increasing_id holds the row's place in its partition in the lower bits
+_RANGE_BITS = 10  # partitions whose rows are numbered in one task
 
 
 def with_row_ids(df: DataFrame, start: int = 0) -> DataFrame:
@@ -36,18 +37,23 @@ def with_row_ids(df: DataFrame, start: int = 0) -> DataFrame:
 
     The rows are written once to the shared folder together with their partition and
     place.  Counting and numbering then read the same files, so both see the
-    same rows even if an executor is lost in between.  Offsets are one row per partition.
+    same rows even if an executor is lost in between.  Offsets are one row per partition, summed in ranges.
     """
     staged_path = scratch_path(df.sparkSession, "row-ids")
     row = F.monotonically_increasing_id()
     df.withColumn("_row", row).write.parquet(staged_path)
     staged = df.sparkSession.read.parquet(staged_path).withColumn("_part", F.shiftright("_row", _ID_BITS))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        staged.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    )
+    # Partitions are numbered in ranges: a running sum inside each range, and one over the few ranges on the driver.
+    sizes = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = settle(sizes.withColumn("range", F.shiftright("_part", _RANGE_BITS)), "sizes")
+    totals = dict(sizes.groupBy("range").agg(F.sum("n")).collect())
+    starts, total = [], 0
+    for i in range(max(totals, default=-1) + 1):
+        starts.append(total)
+        total += totals.get(i, 0)
+    before = Window.partitionBy("range").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.element_at(F.lit(starts or [0]).cast("array<bigint>"), (F.col("range") + 1).cast("int"))
+    offsets = sizes.select("_part", (base + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("offset"))
     place = F.col("_row") - F.shiftleft(F.col("_part"), _ID_BITS)
     numbered = staged.join(settle(offsets, "offsets"), "_part").withColumn(ROW_ID, F.lit(start) + F.col("offset") + place)
     return numbered.select(ROW_ID, *[F.col(f"`{c}`") for c in df.columns])

@@ -162,7 +162,7 @@ def failures(spark):
             (0, "2026-01-01 00:00:00", "ERROR", "a", at + "KeyError: k"),
             (1, "2026-01-01 00:00:01", "ERROR", "a", at + "KeyError: k"),
             (2, "2026-01-01 00:00:02", "FATAL", "a", at + "OSError: x@y.zz"),
-            (3, "2026-01-01 00:00:02", "ERROR", "b", "lost 10.0.0.5"),
+            (3, "2026-01-01 00:00:02", "ERROR", "b", "lost 172.16.0.9"),
             (4, "2026-01-01 00:00:03", "INFO", "c", at + "KeyError: k"),
             (5, "2026-01-01 00:00:04", "ERROR", "d", "Traceback (most recent call last):\n  nothing known"),
         ],

@@ -197,6 +197,15 @@ def test_ingest_text_log(store, tmp_path):
     assert sorted(r[0] for r in rows(store.df(), "_rowid")) == list(range(100))
 
 
+def test_rows_are_numbered_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr("logquarry.sources.store._RANGE_BITS", 1)
+    df = spark.range(0, 100, 1, 9).where("id % 3 <> 0 and (id < 30 or id > 60)")
+    numbered = with_row_ids(df, 5)
+    assert [i for _, i in sorted(rows(numbered, "_rowid", "id"))] == [r["id"] for r in df.collect()]
+    assert sorted(r["_rowid"] for r in numbered.collect()) == list(range(5, 5 + df.count()))
+    assert "Exchange SinglePartition" not in numbered._jdf.queryExecution().executedPlan().toString()
+
+
 def test_row_ids_are_contiguous_in_row_order(spark):
     df = spark.range(0, 1000, 1, 7)
     assert rows(with_row_ids(df, 5).orderBy("id"), "_rowid", "id") == [(i + 5, i) for i in range(1000)]
