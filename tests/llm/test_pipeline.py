@@ -18,7 +18,7 @@ def test_query_equals_sql(spark, sf, name):
 
 def test_names():
     names = list(queries.queries())
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
 
 
 def _near(a, b):
