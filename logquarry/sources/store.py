@@ -1,9 +1,10 @@
 """The persisted log table: insert, lookup and delete.
 
-A Parquet table in the session's catalog, with its files in a folder of its own.
-It is partitioned by day when it has a timestamp, so date filters prune, and a delete
-rewrites only the days it touches.  Overwrites and deletes write their rows next to the
-table first and move them into place, so one that fails leaves the table as it was.
+Every write puts its rows into a new folder and then enters a new version of the table: a small file that lists the folders
+of all days.  The session's catalog has one table of partitions per version, and a view over the newest under the name of
+the store.  Nothing is moved or removed, so a reader keeps the version it began with, and a write that breaks off leaves
+the table as it was.  Partitions are days when there is a timestamp, so date filters prune, and a delete rewrites only
+the days it touches.  ``vacuum`` removes what the newest version does not use.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import json
 import logging
 import os
 import re
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +29,8 @@ from logquarry.sources.text_logs import count_records, escape_glob, read_logs
 log = logging.getLogger(__name__)
 
 _NO_DATE = "1970-01-01"
-_LIST = "days.json"  # the days that a delete swaps; complete when it is there
+_WRITE = "_write_id"  # partition column: the write that brought a row
+_AT_ONCE = 500  # partitions entered by one statement
 _ID_BITS = 33  # monotonically_increasing_id holds the row's place in its partition in the lower bits
 _RANGE_BITS = 10  # partitions whose rows are numbered in one task
 
@@ -66,12 +69,13 @@ class LogStore:
         self.spark = spark
         self.table = table
         self.path = f"{path.rstrip('/')}/{table}"
-        self._recover()
-        if not spark.catalog.tableExists(table) and self._exists(self.path):
-            # Written by an earlier session whose catalog is gone.
-            spark.catalog.createTable(table, path=self.path, source="parquet")
-            if EVENT_DATE in self.df().columns:
-                spark.catalog.recoverPartitions(table)
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Show the newest version in this session's catalog; needed after another session's write."""
+        number, version = self._newest()
+        if version and number > self._shown():
+            self._show(number, version)
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
@@ -94,6 +98,7 @@ class LogStore:
             data = read_table_file(self.spark, os.fspath(data))
         elif not isinstance(data, DataFrame):
             raise ValueError(f"a frame or a path is needed, not {type(data).__name__}")
+        self.refresh()
         if mode == "ignore" and self.exists():
             log.warning("table %s exists, nothing inserted", self.table)
             return
@@ -125,27 +130,106 @@ class LogStore:
         return 0 if top is None else top + 1
 
     def _write(self, data: DataFrame, mode: str) -> None:
+        _, version = self._newest()
         columns, days = _days(data)
-        if mode == "append" and self.exists():
-            writer = columns.write.partitionBy(EVENT_DATE) if days else columns.write
-            writer.format("parquet").mode("append").option("path", self.path).saveAsTable(self.table)
-            return
-        # The new rows are complete in a folder of their own before the old ones go.
-        self._remove(self._next)
-        (columns.write.partitionBy(EVENT_DATE) if days else columns.write).parquet(self._next)
-        if mode == "overwrite":
-            self._remove(self.ledger)
-        self._replace()
-        self._register(columns.schema, days)
-
-    def _register(self, schema: T.StructType, days: bool) -> None:
+        folders, ledger, schema = [], self.ledger, columns.schema
+        if mode == "append" and version:
+            schema = T.StructType.fromJson(version["schema"])
+            if sorted(columns.columns) != sorted(schema.names):
+                raise ValueError(f"columns {columns.columns} do not match those of the table, {schema.names}")
+            columns = columns.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema])
+            folders = version["folders"]
+        elif version:
+            ledger = f"{self.path}/ledger-{uuid.uuid4().hex}"  # a new table has taken in no files
+        self._commit(schema, folders + self._store_rows(columns, days), ledger)
+
+    def _store_rows(self, columns: DataFrame, days: bool) -> list[list[str | None]]:
+        """Write rows to a new folder: day (none without days) and write for each partition."""
+        write = uuid.uuid4().hex
+        folder = f"{self.path}/{_WRITE}={write}"
+        if not days:
+            columns.write.parquet(folder)
+            return [[None, write]]
+        columns.write.partitionBy(EVENT_DATE).parquet(folder)
+        return [[n.split("=", 1)[1], write] for n in self._names(folder) if n.startswith(f"{EVENT_DATE}=")]
+
+    def _commit(self, schema: T.StructType, folders: list, ledger: str) -> None:
+        """Enter a new version, which from then on is the table, and show it."""
+        number = max(self._numbers(), default=0) + 1
+        version = {"schema": schema.jsonValue(), "folders": folders, "ledger": ledger}
+        self._create(f"{self.path}/versions/{number}", json.dumps(version))
+        self._show(number, version)
+
+    # -- versions ------------------------------------------------------------
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(n) for n in self._names(f"{self.path}/versions") if n.isdigit())
+
+    def _newest(self) -> tuple[int, dict | None]:
+        """Number and contents of the newest version that was entered wholly; 0 and none for a new store."""
+        for number in reversed(self._numbers()):
+            try:
+                return number, json.loads(self._read(f"{self.path}/versions/{number}"))
+            except ValueError:  # its writer was lost, or is at it
+                continue
+        return 0, None
+
+    def _shown(self) -> int:
+        """The version that the catalog shows."""
+        if not self.exists():
+            return 0
+        return int(self.spark.sql(f"SHOW TBLPROPERTIES {self.table} ('version')").first()["value"])
+
+    def _show(self, number: int, version: dict) -> None:
+        """A table of the version's partitions, and then, in one step, the view over it.
+
+        The table of the version before stays for those who read it; the one before that leaves the catalog.
+        """
+        schema, part = T.StructType.fromJson(version["schema"]), f"{self.table}__v{number}"
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-        parts = f" PARTITIONED BY ({EVENT_DATE})" if days else ""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        self.spark.sql(f"CREATE TABLE {self.table} ({columns}) USING parquet{parts} LOCATION '{escaped(self.path)}'")
-        if days:
-            self.spark.catalog.recoverPartitions(self.table)
-        self.spark.catalog.refreshTable(self.table)
+        days = EVENT_DATE in schema.names
+        keys = f"{EVENT_DATE}, {_WRITE}" if days else _WRITE
+        self.spark.sql(f"DROP TABLE IF EXISTS {part}")
+        self.spark.sql(
+            f"CREATE TABLE {part} ({columns}, {_WRITE} string) USING parquet PARTITIONED BY ({keys}) LOCATION '{escaped(self.path)}'"
+        )
+        entries = []
+        for day, write in version["folders"]:
+            of_day, folder = (f"{EVENT_DATE}='{day}', ", f"/{EVENT_DATE}={day}") if day else ("", "")
+            place = escaped(f"{self.path}/{_WRITE}={write}{folder}")
+            entries.append(f"PARTITION ({of_day}{_WRITE}='{write}') LOCATION '{place}'")
+        for i in range(0, len(entries), _AT_ONCE):
+            self.spark.sql(f"ALTER TABLE {part} ADD {' '.join(entries[i : i + _AT_ONCE])}")
+        names = ", ".join(f"`{n}`" for n in schema.names)
+        before = self._shown()
+        self.spark.sql(
+            f"CREATE OR REPLACE VIEW {self.table} TBLPROPERTIES ('version' = '{number}') AS SELECT {names} FROM {part}"
+        )
+        for old in self._numbers():
+            if old < before:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.table}__v{old}")
+
+    def vacuum(self) -> None:
+        """Remove the rows, lists and tables that the newest version does not use, among them rows that were deleted.
+
+        For times without other readers and writers: it takes away what those of older versions read."""
+        number, version = self._newest()
+        if not version:
+            return
+        used = {f"{_WRITE}={write}": day for day, write in version["folders"]}
+        days = {f"{_WRITE}={write}/{EVENT_DATE}={day}" for day, write in version["folders"]}
+        for name in self._names(self.path):
+            if name.startswith((f"{_WRITE}=", "ledger")):
+                if name not in used and f"{self.path}/{name}" != version["ledger"]:
+                    self._remove(f"{self.path}/{name}")
+                elif used.get(name):
+                    for day in self._names(f"{self.path}/{name}"):
+                        if day.startswith(f"{EVENT_DATE}=") and f"{name}/{day}" not in days:
+                            self._remove(f"{self.path}/{name}/{day}")
+        for old in self._numbers():
+            if old < number:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.table}__v{old}")
+                self._remove(f"{self.path}/versions/{old}")
 
     # -- rows ----------------------------------------------------------------
 
@@ -171,96 +255,56 @@ class LogStore:
         self._delete(F.coalesce(F.expr(condition), F.lit(False)))
 
     def _delete(self, doomed) -> None:
-        """Write the survivors of the days with something to delete to a folder of their own, and swap the days.
-
-        The folder and a list of its days are complete before anything is replaced.  A delete that breaks off before
-        that has done nothing; one that breaks off later is completed when the table is opened again.
-        """
+        """A version in which the days with something to delete have new folders; all other days keep theirs."""
+        self.refresh()
+        _, version = self._newest()
         current = self.df()
-        self._remove(self._next)
         if EVENT_DATE not in current.columns:
-            current.where(~doomed).write.parquet(self._next)
-            self._replace()
-            self._register(current.schema, False)
+            self._commit(current.schema, self._store_rows(current.where(~doomed), False), version["ledger"])
             return
         # One row per day with something to delete.
         days = [r[0] for r in current.where(doomed).select(EVENT_DATE).distinct().collect()]
         if not days:
             return
         columns, _ = _days(current.where(F.col(EVENT_DATE).isin(days)).where(~doomed))
-        columns.write.partitionBy(EVENT_DATE).parquet(self._next)
-        kept = [str(d) for d in days if self._exists(f"{self._next}/{EVENT_DATE}={d}")]
-        self._put(f"{self._next}/{_LIST}", json.dumps({"days": [str(d) for d in days], "kept": kept}))
-        self._swap_days()
-        self._register(current.schema, True)
+        touched = {str(d) for d in days}
+        others = [f for f in version["folders"] if f[0] not in touched]
+        self._commit(current.schema, others + self._store_rows(columns, True), version["ledger"])
 
     # -- files ---------------------------------------------------------------
 
-    @property
-    def _next(self) -> str:
-        return f"{self.path}.next"
-
     @property
     def ledger(self) -> str:
         """Where the files that were taken in are listed; see `logquarry.sources.ledger`."""
-        return f"{self.path}.ledger"
-
-    def _recover(self) -> None:
-        """Complete a replacement that broke off after its new rows were complete, or else bring back the old ones.
-
-        Nothing is removed: the rows of a replacement that is not complete may be another store's that is being written.
-        The next write removes them.
-        """
-        if self._exists(f"{self._next}/{_LIST}"):
-            self._swap_days()
-        elif self._exists(self.path):
-            return
-        elif self._exists(f"{self._next}/_SUCCESS"):
-            self._replace()
-        elif self._exists(f"{self.path}.old"):
-            self._rename(f"{self.path}.old", self.path)
-
-    def _replace(self) -> None:
-        """Put the new rows in the place of all old ones."""
-        if self._exists(self.path):
-            self._remove(f"{self.path}.old")
-            self._rename(self.path, f"{self.path}.old")
-        self._rename(self._next, self.path)
-        self._remove(f"{self.path}.old")
-
-    def _swap_days(self) -> None:
-        """Put the new rows of each listed day in the place of the old ones; repeating it does no harm."""
-        todo = json.loads(self._get(f"{self._next}/{_LIST}"))
-        for day in todo["days"]:
-            old, new = f"{self.path}/{EVENT_DATE}={day}", f"{self._next}/{EVENT_DATE}={day}"
-            if day not in todo["kept"]:
-                self._remove(old)
-            elif self._exists(new):
-                self._remove(old)
-                self._rename(new, old)
-        self._remove(self._next)
+        _, version = self._newest()
+        return version["ledger"] if version else f"{self.path}/ledger"
 
     def _exists(self, path: str) -> bool:
         fs, jvm_path = file_system(self.spark, path)
         return fs.exists(jvm_path)
 
+    def _names(self, folder: str) -> list[str]:
+        fs, jvm_path = file_system(self.spark, folder)
+        return [s.getPath().getName() for s in fs.listStatus(jvm_path)] if fs.exists(jvm_path) else []
+
     def _remove(self, path: str) -> None:
         fs, jvm_path = file_system(self.spark, path)
         fs.delete(jvm_path, True)
 
-    def _rename(self, old: str, new: str) -> None:
-        fs, jvm_path = file_system(self.spark, old)
-        if not fs.rename(jvm_path, self.spark._jvm.org.apache.hadoop.fs.Path(new)):
-            raise OSError(f"could not move {old} to {new}")
-
-    def _put(self, path: str, text: str) -> None:
+    def _create(self, path: str, text: str) -> None:
+        """Write a small file that must not be there yet."""
         fs, jvm_path = file_system(self.spark, path)
-        out = fs.create(jvm_path, True)
+        out = fs.create(jvm_path, False)
         out.write(bytearray(text.encode()))
         out.close()
 
-    def _get(self, path: str) -> str:
-        return "\n".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect())
+    def _read(self, path: str) -> str:
+        fs, jvm_path = file_system(self.spark, path)
+        stream = fs.open(jvm_path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
 
 def _days(data: DataFrame) -> tuple[DataFrame, bool]:

@@ -81,21 +81,24 @@ def test_an_overwrite_empties_the_ledger(spark, store, folder):
 def test_opening_during_an_overwrite(spark, store, folder, monkeypatch):
     """Another store opened when the new rows are staged sees the old ones, and the writer goes on."""
     L.reload_logs(store, str(folder))
-    replace, seen = LogStore._replace, []
+    commit, seen = LogStore._commit, []
 
-    def opened(self):
+    def opened(self, *args):
         monkeypatch.undo()
         seen.append(lines(LogStore(spark, store.path.rsplit("/", 1)[0], store.table)))
-        replace(self)
+        commit(self, *args)
 
-    monkeypatch.setattr(LogStore, "_replace", opened)
+    monkeypatch.setattr(LogStore, "_commit", opened)
     new = spark.createDataFrame([("2031-03-04 10:00:00", 9)], "timestamp string, line_number long")
     store.insert(new, mode="overwrite")
     assert seen == [ALL] and lines(LogStore(spark, store.path.rsplit("/", 1)[0], store.table)) == [(0, 9)]
 
 
-def test_old_rows_come_back(spark, store, folder):
+def test_an_overwrite_that_broke_off_keeps_rows_and_ledger(spark, store, folder, monkeypatch):
     L.reload_logs(store, str(folder))
-    store._rename(store.path, f"{store.path}.old")
-    spark.sql(f"DROP TABLE {store.table}")
+    monkeypatch.setattr(LogStore, "_create", lambda *a: (_ for _ in ()).throw(OSError("lost driver")))
+    with pytest.raises(OSError):
+        store.insert(spark.createDataFrame([("2031-03-04 10:00:00", 9)], "timestamp string, line_number long"), mode="overwrite")
+    monkeypatch.undo()
     assert lines(LogStore(spark, store.path.rsplit("/", 1)[0], store.table)) == ALL
+    assert L.reload_logs(store, str(folder)) == 0 and lines(store) == ALL

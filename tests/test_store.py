@@ -107,15 +107,98 @@ def test_a_failing_source_leaves_the_old_rows(spark, store, sample):
     assert count(again) == 1
 
 
-def test_a_delete_that_broke_off_is_completed(spark, store, sample, monkeypatch):
+def forget(spark, store):
+    """The catalog of a new session knows neither the view nor its tables."""
+    spark.sql(f"DROP VIEW {store.table}")
+    for row in spark.sql(f"SHOW TABLES LIKE '{store.table}__v*'").collect():
+        spark.sql(f"DROP TABLE {row['tableName']}")
+
+
+def reopened(spark, store):
+    return LogStore(spark, store.path.rsplit("/", 1)[0], store.table)
+
+
+@pytest.mark.parametrize("cut", ["_create", "_show"])
+def test_a_delete_that_broke_off_is_done_or_not(spark, store, sample, monkeypatch, cut):
+    """Without its version entered it has done nothing; once entered it is done, shown or not."""
     store.insert(sample)
-    monkeypatch.setattr(LogStore, "_rename", lambda *a: (_ for _ in ()).throw(OSError("lost driver")))
+    monkeypatch.setattr(LogStore, cut, lambda *a: (_ for _ in ()).throw(OSError("lost driver")))
     with pytest.raises(OSError):
         store.delete_filter("line_number in (10, 105)")
     monkeypatch.undo()
-    spark.sql(f"DROP TABLE {store.table}")
-    again = LogStore(spark, store.path.rsplit("/", 1)[0], store.table)
-    assert rows(again.df(), "line_number") == [(42,)]
+    left = [(10,), (42,), (105,)] if cut == "_create" else [(42,)]
+    assert sorted(rows(reopened(spark, store).df(), "line_number")) == left
+    forget(spark, store)
+    assert sorted(rows(reopened(spark, store).df(), "line_number")) == left
+    store.insert(sample.limit(1), mode="append")
+    assert count(store) == len(left) + 1
+
+
+def test_half_a_version_is_none(spark, store, sample):
+    store.insert(sample)
+    store._create(f"{store.path}/versions/2", '{"schema": {"ty')
+    forget(spark, store)
+    again = reopened(spark, store)
+    assert count(again) == 3
+    again.delete_record("0")
+    assert count(again) == 2 and again._numbers() == [1, 2, 3]
+
+
+def test_a_reader_keeps_its_version(spark, store, sample):
+    store.insert(sample)
+    reader = store.df()
+    for write in (
+        lambda: store.insert(sample, mode="append"), lambda: store.delete_filter("level = 'INFO'"),
+        lambda: store.insert(sample.limit(1), mode="overwrite"),
+    ):
+        before, reader = count(store), store.df()
+        write()
+        assert reader.count() == before != count(store)
+
+
+def test_a_reader_opened_in_the_middle_sees_the_old_rows(spark, store, sample, monkeypatch):
+    store.insert(sample)
+    commit, seen = LogStore._commit, []
+
+    def opened(self, *args):
+        seen.append(count(reopened(spark, store)))
+        commit(self, *args)
+        seen.append(count(reopened(spark, store)))
+
+    monkeypatch.setattr(LogStore, "_commit", opened)
+    store.insert(sample, mode="append")
+    store.delete_filter("level = 'ERROR'")
+    store.insert(sample.limit(1), mode="overwrite")
+    assert seen == [3, 6, 6, 2, 2, 1]
+
+
+def test_a_table_of_another_shape_is_refused(store, sample):
+    store.insert(sample)
+    with pytest.raises(ValueError, match="do not match"):
+        store.insert(sample.drop("app"), mode="append")
+    store.insert(sample.select(*reversed(sample.columns)), mode="append")
+    assert sorted(r[0] for r in rows(store.df(), "app")) == ["night_job"] * 6
+
+
+def test_vacuum_takes_what_was_deleted(spark, store, sample, tmp_path):
+    store.insert(sample)
+    store.insert(sample, mode="append")
+    store.delete_filter("line_number = 42")
+    store.delete_filter("line_number = 105")
+    files = lambda: {str(p.relative_to(store.path)) for p in tmp_path.rglob("*.parquet")}
+    before, kept = files(), sorted(rows(store.df()))
+    used = {r[0].split(f"{store.table}/", 1)[1] for r in rows(store.df().select(F.input_file_name()).distinct())}
+    store.vacuum()
+    assert files() == used < before and sorted(rows(store.df())) == kept
+    forget(spark, store)
+    assert sorted(rows(reopened(spark, store).df())) == kept
+
+
+def test_a_day_prunes(store, sample, capsys):
+    store.insert(sample)
+    store.df().where("event_date = date'2031-03-05' and line_number > 3").select("app").explain()
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "GreaterThan(line_number,3)" in plan
 
 
 def test_negative_ids(spark, store):
@@ -169,7 +252,8 @@ def test_table_without_a_timestamp(spark, store):
 def test_table_outlives_the_catalog(spark, tmp_path, sample):
     name = "logs_" + uuid.uuid4().hex
     LogStore(spark, str(tmp_path / "s"), name).insert(sample)
-    spark.sql(f"DROP TABLE {name}")
+    again = LogStore(spark, str(tmp_path / "s"), name)
+    forget(spark, again)
     again = LogStore(spark, str(tmp_path / "s"), name)
     assert again.exists() and count(again) == 3
     again.delete_record("0")
