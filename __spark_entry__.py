@@ -444,6 +444,10 @@ def diagnosis(spark, sf):
     return found.select("subject", "failures", "analysis", "evidence")
 
 
+def failure_places(spark, sf):
+    return D.affected_places(_lost(_logs(spark, sf)))
+
+
 def _rejects(spark, sf):
     return _statements(spark, sf).select(
         (F.col("query_id") - F.col("query_id") % 3).alias("question_id"), F.col("query_id").alias("pos"), "query"
@@ -631,7 +635,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         scrub_target_columns, scrub_tokens, scrub_nested, redaction_audit, tracebacks, payload_tracebacks,
         failure_lines, trace_kind, failure_text, document_failure_lines, exception_profile, top_exceptions,
         recent_failures, context_sample, context_payload, sample_text, route_questions, route_conversations,
-        route_mix, route_fanout, diagnosis, incident_report, telling_exceptions, context_budget, recorded_query,
+        route_mix, route_fanout, diagnosis, failure_places, incident_report, telling_exceptions, context_budget, recorded_query,
         alert_reports, visible_records, tailed_logs, streamed_error_rate,
     ):
         found[f.__name__] = f
@@ -947,6 +951,8 @@ def oracle_sql() -> dict[str, str]:
         + _sampled("app", "timestamp, _rowid, pos", split.replace("FROM logs", "FROM failed").replace("app, source_file,", "app,")) + ", "
         + payload_texts.format(group="app") + " SELECT subject, failures, " + _clean("analysis") + " AS analysis, " + _clean(payload_cut) + " AS evidence "
         "FROM diagnoses d LEFT JOIN texts p ON p.app IS NOT DISTINCT FROM d.app",
+        "failure_places": f"{lost}, {_EXC} SELECT app, {_clean('frame')} AS frame, count(*) AS traces FROM exceptions "
+        "WHERE level IN ('ERROR', 'FATAL') GROUP BY ALL",
         "incident_report": f"{logs}, {_EXC}, {_diagnosis('app')}, questions AS ({_derived(E.QUESTIONS_SQL)}), statements AS ({_derived(E.STATEMENTS_SQL)}), "
         "counts AS (SELECT app, level, count(*) AS n, row_number() OVER (PARTITION BY app ORDER BY count(*) DESC, level) AS r FROM logs GROUP BY app, level), "
         "previews AS (SELECT app, '| level | records |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(concat('| ', level, ' | ', n, ' |'), chr(10) ORDER BY r) AS preview FROM counts GROUP BY app), "

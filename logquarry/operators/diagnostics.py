@@ -109,66 +109,84 @@ def telling_exceptions(excs: DataFrame, k: int = 3) -> DataFrame:
     return scrub(top.select("signature", "rank", ROW_ID, "timestamp", "level", "app", "trace"))
 
 
-_NO_FACTS = "array<struct<kind:string,exc_type:string,exc_message:string,frame:string,line:string>>"
+_RECORD, _CAUSE, _PLACE, _LINE = "record", "cause", "place", "line"
+_NO_FACTS = "array<struct<what:string,name:string,said:string>>"
 
 
 def _facts(message: Column) -> Column:
-    """What a failed record tells: that it failed, its tracebacks, and without one its failure lines."""
-
-    def fact(kind: str, **known: Column) -> Column:
-        fields = ("exc_type", "exc_message", "frame", "line")
-        return F.struct(F.lit(kind).alias("kind"), *[known.get(n, F.lit(None).cast("string")).alias(n) for n in fields])
-
-    def trace(t: Column) -> Column:
-        return once(_fields(t), lambda x: fact("trace", **{n: x[n] for n in ("exc_type", "exc_message", "frame")}))
-
-    none = F.array().cast(_NO_FACTS)
+    """What a failed record tells: that it failed, the exception and the innermost frame of each of its tracebacks, and
+    without one its failure lines."""
+
+    def fact(what: str, name: Column, said: Column) -> Column:
+        return F.struct(F.lit(what).alias("what"), name.alias("name"), said.alias("said"))
+
+    blank, none = F.lit(""), F.array().cast(_NO_FACTS)
+    traces = F.transform(
+        X.tracebacks(message),
+        lambda t: once(
+            _fields(t), lambda x: F.array(fact(_CAUSE, x["exc_type"], x["exc_message"]), fact(_PLACE, x["frame"], blank))
+        ),
+    )
     lines = F.when(X.failure_kind(message) == "lines", X.failure_lines(message))
     return F.concat(
-        F.array(fact("record")), F.coalesce(F.transform(X.tracebacks(message), trace), none),
-        F.coalesce(F.transform(lines, lambda x: fact("line", line=x)), none),
+        F.array(fact(_RECORD, blank, blank)), F.coalesce(F.flatten(traces), none),
+        F.coalesce(F.transform(lines, lambda x: fact(_LINE, x, blank)), none),
     )
 
 
+def _fact_counts(logs: DataFrame, group: Sequence[str]) -> DataFrame:
+    """How often each fact stands in the failed records of each group."""
+    failed = logs.where(F.col("level").isin(*FAILURE_LEVELS))
+    facts = failed.select(*group, F.inline(_facts(F.col("message"))))
+    return facts.groupBy(*group, "what", "name", "said").agg(F.count(F.lit(1)).alias("n"))
+
+
+def affected_places(logs: DataFrame, group: Sequence[str] = ("app",)) -> DataFrame:
+    """Every innermost frame of each group's failed records: the group, frame, traces.
+
+    All of them, as rows; the analysis of `diagnose` names the commonest.
+    """
+    places = _fact_counts(logs, group).where(F.col("what") == _PLACE)
+    return scrub(places.select(*group, F.col("name").alias("frame"), F.col("n").alias("traces")))
+
+
 def diagnose(logs: DataFrame, group: Sequence[str] = ("app",), components: int = 5) -> DataFrame:
     """One row per group with failed records: the group, subject, failures, analysis.
 
     The analysis states what failed, the commonest cause and where: the exception of most tracebacks, or without any
-    the commonest failure line; and the innermost frames, `components` of them by name and the number of the others.
+    the commonest failure line; and the innermost frames, `components` of them by name and the number of the others, which
+    `affected_places` lists.
     Only facts found in the records; advice on repair is left out.  Records are read once, and everything is taken
-    from the counts of their facts.  Rows without a group form one of their own.
+    from the counts of their facts, ranked in one selection.  Rows without a group form one of their own.
     """
-    failed = logs.where(F.col("level").isin(*FAILURE_LEVELS))
-    facts = failed.select(*group, F.inline(_facts(F.col("message"))))
-    counts = facts.groupBy(*group, "kind", "exc_type", "exc_message", "frame", "line").agg(F.count(F.lit(1)).alias("n"))
+    counts = _fact_counts(logs, group)
+    ranked = top_k_per_group(
+        counts.where(F.col("what") != _RECORD), [*group, "what"], [F.desc("n"), F.asc("name"), F.asc("said")], max(components, 1)
+    )
 
-    def commonest(kind: str, what: list[str], k: int) -> DataFrame:
-        sums = counts.where(F.col("kind") == kind).groupBy(*group, *what).agg(F.sum("n").alias("n"))
-        return top_k_per_group(sums, group, [F.desc("n"), *[F.asc(c) for c in what]], k)
+    def first(what: str, text: Column) -> Column:
+        return F.max(F.when((F.col("what") == what) & (F.col("rank") == 1), text))
 
-    said = F.when(F.col("exc_message") != "", F.concat(F.lit(": "), "exc_message")).otherwise("")
     number = F.col("n").cast("string")
-    cause = commonest("trace", ["exc_type", "exc_message"], 1).select(
-        *group, F.concat("exc_type", said, F.lit(" ("), number, F.lit(" traces)")).alias("cause")
-    )
-    line = commonest("line", ["line"], 1).select(
-        *group, F.concat(F.btrim("line", F.lit(P.BLANKS)), F.lit(" ("), number, F.lit(" lines)")).alias("line")
+    said = F.when(F.col("said") != "", F.concat(F.lit(": "), "said")).otherwise("")
+    place = F.when((F.col("what") == _PLACE) & (F.col("rank") <= components), F.struct("rank", "name"))
+    tops = ranked.groupBy(*group).agg(
+        first(_CAUSE, F.concat("name", said, F.lit(" ("), number, F.lit(" traces)"))).alias("cause"),
+        first(_LINE, F.concat(F.btrim("name", F.lit(P.BLANKS)), F.lit(" ("), number, F.lit(" lines)"))).alias("line"),
+        F.transform(F.array_sort(F.collect_list(place)), lambda r: r["name"]).alias("places"),
     )
-    in_order = F.array_sort(F.collect_list(F.struct("rank", "frame")))
-    named = commonest("trace", ["frame"], components).groupBy(*group).agg(
-        F.array_join(F.transform(in_order, lambda r: r["frame"]), ", ").alias("places")
+    sums = counts.groupBy(*group).agg(
+        F.sum(F.when(F.col("what") == _RECORD, F.col("n"))).alias("failures"),
+        F.count_if(F.col("what") == _PLACE).alias("n_places"),
     )
-    frames = counts.where("kind = 'trace'").select(*group, "frame").distinct()
-    all_places = frames.groupBy(*group).agg(F.count(F.lit(1)).alias("n_places"))
-    found = counts.where("kind = 'record'").groupBy(*group).agg(F.sum("n").alias("failures"))
-    for part in (cause, line, named, all_places):
-        found = join_groups(found, part, group, "left")
+    found = join_groups(sums, tops, group, "left")
     subject = F.concat_ws(" on ", *[F.coalesce(F.col(c).cast("string"), F.lit("(none)")) for c in group])
     others = F.col("n_places") - components
+    places = F.when(F.size("places") > 0, F.array_join("places", ", "))
     text = F.concat(
         F.lit("- **Primary Issue**: "), F.col("failures").cast("string"), F.lit(" failed records in "), subject,
         F.lit("\n- **Root Cause**: "), F.coalesce("cause", "line", F.lit(P.NO_FAILURE)),
-        F.lit("\n- **Affected Components/Files**: "), F.coalesce("places", F.lit("none identified")),
+        F.lit("\n- **Affected Components/Files**: "), F.coalesce(places, F.lit("none identified")),
         F.when(others > 0, F.concat(F.lit(" and "), others.cast("string"), F.lit(" more"))).otherwise(""),
     )
     return found.select(*group, subject.alias("subject"), "failures", scrub_text(text).alias("analysis"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from logquarry.functions.redaction import scrub_text
 from logquarry.functions.sampling import dropped_title, has_context_word
 from logquarry.operators.ranking import join_groups, top_k_per_group
 from logquarry.schema import ROW_ID
+from logquarry.session import settle
 
 HEAD, MIDDLE, TAIL, ALL = "head", "middle", "tail", "all"
+_START, _END, _HIT = "start", "end", "hit"  # ways in which a row may come into a sample
 
 
 def render_line(prefix: str = ""):
@@ -36,47 +39,36 @@ def log_lines(logs: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
-def sample_context(
+def sample_keys(
     lines: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
     text: str = "line",
     max_lines: int = P.MAX_LINES,
 ) -> DataFrame:
-    """A bounded, telling set of rows of each group.
-
-    A group of at most `max_lines` rows is kept whole (section ``all``).  Of a
-    longer one: the head, the tail, and from between them the first rows with a
-    context word, or the first rows if none has one.  `order` must be total.  Rows without a
-    group form one of their own.  `max_lines` is bounded as in `top_k_per_group`.
+    """Which rows `sample_context` takes: the group, the order, section, pos_in_section, group_lines.
 
     Every candidate is among the first or last rows of its group, or among its first
-    flagged rows.  So three bounded selections and a count replace a sort of the
-    group: at most HEAD flagged rows can sit in the head, which makes
-    HEAD + MIDDLE flagged rows enough.
+    flagged rows: at most HEAD flagged rows can sit in the head, which makes
+    HEAD + MIDDLE flagged rows enough.  So one bounded selection and a count replace a sort of the
+    group, and no text leaves the task that reads it.
     """
     enough = P.HEAD_LINES + P.MIDDLE_LINES
-    base = lines.select(*group, *order, F.col(text).alias("line"))
-    up = [F.col(c).asc() for c in order]
-    down = [F.col(c).desc() for c in order]
-    picks = (
-        top_k_per_group(base, group, up, max(enough, max_lines), "from_start")
-        .withColumn("from_end", F.lit(None).cast("long"))
-        .unionByName(
-            top_k_per_group(base, group, down, P.TAIL_LINES, "from_end"), allowMissingColumns=True
-        )
-        .unionByName(
-            top_k_per_group(base.where(has_context_word(F.col("line"))), group, up, enough, "hit").drop("hit"),
-            allowMissingColumns=True,
-        )
-        .groupBy(*group, *order)
-        .agg(
-            F.first("line").alias("line"),
-            F.min("from_start").alias("from_start"),
-            F.min("from_end").alias("from_end"),
-        )
+    most = {_START: max(enough, max_lines), _END: P.TAIL_LINES, _HIT: enough}
+    keys = lines.select(*group, *order, F.coalesce(has_context_word(F.col(text)), F.lit(False)).alias("flagged"))
+    ways = F.array(F.lit(_START), F.lit(_END), F.when(F.col("flagged"), F.lit(_HIT)))
+    ways = keys.select("*", F.explode(F.array_compact(ways)).alias("way"))
+    # Of the two orders only one is not null in a way.
+    forth = [F.when(F.col("way") != _END, F.col(c)).asc() for c in order]
+    back = [F.when(F.col("way") == _END, F.col(c)).desc() for c in order]
+    picks = top_k_per_group(ways, [*group, "way"], [*forth, *back], max(most.values()))
+    picks = picks.where(reduce(lambda a, b: a | b, [(F.col("way") == w) & (F.col("rank") <= k) for w, k in most.items()]))
+    picks = picks.groupBy(*group, *order).agg(
+        F.bool_or("flagged").alias("flagged"),
+        F.min(F.when(F.col("way") == _START, F.col("rank"))).alias("from_start"),
+        F.min(F.when(F.col("way") == _END, F.col("rank"))).alias("from_end"),
     )
-    sizes = base.groupBy(*group).agg(F.count(F.lit(1)).alias("group_lines"))
+    sizes = lines.groupBy(*group).agg(F.count(F.lit(1)).alias("group_lines"))
     head_size = F.least(F.lit(P.HEAD_LINES).cast("long"), F.col("group_lines"))
     tail_size = F.least(F.lit(P.TAIL_LINES).cast("long"), F.col("group_lines") - head_size)
     placed = join_groups(picks, sizes, group).withColumn(
@@ -87,15 +79,37 @@ def sample_context(
         .otherwise(MIDDLE),
     )
     # From here on a group holds a bounded number of rows.
-    flagged = has_context_word(F.col("line"))
     by_section = Window.partitionBy(*group, "section")
     chosen = (
-        placed.withColumn("any_flagged", F.max(flagged).over(by_section))
-        .where((F.col("section") != MIDDLE) | ~F.col("any_flagged") | flagged)
-        .withColumn("pos_in_section", F.row_number().over(by_section.orderBy(*up)).cast("long"))
+        placed.withColumn("any_flagged", F.max("flagged").over(by_section))
+        .where((F.col("section") != MIDDLE) | ~F.col("any_flagged") | F.col("flagged"))
+        .withColumn("pos_in_section", F.row_number().over(by_section.orderBy(*[F.col(c).asc() for c in order])).cast("long"))
         .where((F.col("section") != MIDDLE) | (F.col("pos_in_section") <= P.MIDDLE_LINES))
     )
-    return chosen.select(*group, "section", "pos_in_section", "group_lines", *order, "line")
+    return chosen.select(*group, *order, "section", "pos_in_section", "group_lines")
+
+
+def sample_context(
+    lines: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    text: str = "line",
+    max_lines: int = P.MAX_LINES,
+) -> DataFrame:
+    """A bounded, telling set of rows of each group.
+
+    A group of at most `max_lines` rows is kept whole (section ``all``).  Of a
+    longer one: the head, the tail, and from between them the first rows with a
+    context word, or the first rows if none has one.  `order` must be total.  Rows without a
+    group form one of their own.  `max_lines` is bounded as in `top_k_per_group`.
+
+    The rows are chosen by their keys and flags, see `sample_keys`; the choice is staged, and its texts are then looked up.
+    """
+    chosen = settle(sample_keys(lines, group, order, text, max_lines), "sample")
+    texts = lines.select(*group, *order, F.col(text).alias("line"))
+    return join_groups(texts, chosen, [*group, *order]).select(
+        *group, "section", "pos_in_section", "group_lines", *order, "line"
+    )
 
 
 def within_budget(sample: DataFrame, group: Sequence[str], budget: int) -> DataFrame:

@@ -132,8 +132,12 @@ def test_more_rows_than_spark_limits_are_refused(spark):
 def test_sampling_keeps_bounded_candidates(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet").select(
         F.col("lang").alias("g"), F.col("doc_id").alias("i"), F.col("text").alias("line"))
-    plan = C.sample_context(df, ["g"], ["i"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") >= 6
+    plan = C.sample_keys(df, ["g"], ["i"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+    moved = [x for x in plan.splitlines() if "Sort [" in x or "Exchange" in x]
+    assert moved and not any("line" in x or "text" in x for x in moved)
+    looked_up = C.sample_context(df, ["g"], ["i"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in looked_up and "Sort" not in looked_up and looked_up.count("BroadcastHashJoin") == 1
 
 
 def test_top_k_does_not_depend_on_layout(spark):
@@ -205,5 +209,7 @@ def test_diagnosis_without_traces_or_app_and_with_many_places(spark):
     assert found[None]["analysis"].endswith("f4.py:1 in run and 2 more")
     assert "- **Root Cause**: disk FAILED (2 lines)" in found["b"]["analysis"]
     assert "disk FAILED" in found["b"]["evidence"] and "2031-01-01 00:00:00 [ERROR]  (f.py:1): Traceback" in found[None]["evidence"]
+    places = [(r["app"], r["frame"], r["traces"]) for r in D.affected_places(logs(spark, records)).collect()]
+    assert len(places) == len(set(places)) and all(n > 0 for _, _, n in places)
     two = D.diagnose(logs(spark, records), ["app", "level"]).select("subject", "failures")
     assert sorted(rows(two)) == [("(none) on ERROR", 7), ("b on ERROR", 1), ("b on FATAL", 1)]
