@@ -160,9 +160,8 @@ def diagnose(logs: DataFrame, group: Sequence[str] = ("app",), components: int =
     from the counts of their facts, ranked in one selection.  Rows without a group form one of their own.
     """
     counts = _fact_counts(logs, group)
-    ranked = top_k_per_group(
-        counts.where(F.col("what") != _RECORD), [*group, "what"], [F.desc("n"), F.asc("name"), F.asc("said")], max(components, 1)
-    )
+    # Not filtered by kind before: a filter would be pushed below the counts, and the records be read twice.
+    ranked = top_k_per_group(counts, [*group, "what"], [F.desc("n"), F.asc("name"), F.asc("said")], max(components, 1))
 
     def first(what: str, text: Column) -> Column:
         return F.max(F.when((F.col("what") == what) & (F.col("rank") == 1), text))

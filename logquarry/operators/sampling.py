@@ -16,7 +16,7 @@ from logquarry.schema import ROW_ID
 from logquarry.session import settle
 
 HEAD, MIDDLE, TAIL, ALL = "head", "middle", "tail", "all"
-_START, _END, _HIT = "start", "end", "hit"  # ways in which a row may come into a sample
+_START, _END, _HIT = 0, 1, 2  # ways in which a row may come into a sample
 
 
 def render_line(prefix: str = ""):
@@ -58,10 +58,11 @@ def sample_keys(
     keys = lines.select(*group, *order, F.coalesce(has_context_word(F.col(text)), F.lit(False)).alias("flagged"))
     ways = F.array(F.lit(_START), F.lit(_END), F.when(F.col("flagged"), F.lit(_HIT)))
     ways = keys.select("*", F.explode(F.array_compact(ways)).alias("way"))
-    # Of the two orders only one is not null in a way.
-    forth = [F.when(F.col("way") != _END, F.col(c)).asc() for c in order]
-    back = [F.when(F.col("way") == _END, F.col(c)).desc() for c in order]
-    picks = top_k_per_group(ways, [*group, "way"], [*forth, *back], max(most.values()))
+    # Of the two orders only one is not null in a way.  They are columns, as a sort works its expressions out at every comparison.
+    forth = {f"_forth_{i}": F.when(F.col("way") != _END, F.col(c)) for i, c in enumerate(order)}
+    back = {f"_back_{i}": F.when(F.col("way") == _END, F.col(c)) for i, c in enumerate(order)}
+    by = [*[F.asc(c) for c in forth], *[F.desc(c) for c in back]]
+    picks = top_k_per_group(ways.withColumns({**forth, **back}), [*group, "way"], by, max(most.values()))
     picks = picks.where(reduce(lambda a, b: a | b, [(F.col("way") == w) & (F.col("rank") <= k) for w, k in most.items()]))
     picks = picks.groupBy(*group, *order).agg(
         F.bool_or("flagged").alias("flagged"),
