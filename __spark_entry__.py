@@ -20,6 +20,7 @@ from logquarry.operators import diagnostics as D
 from logquarry.operators import profile as G
 from logquarry.operators import query as S
 from logquarry.operators import sampling as C
+from logquarry.operators import temporal
 from logquarry.operators import validate as V
 from logquarry.operators.stitch import parse_lines, parse_texts
 from logquarry.plans import event_logs as E
@@ -471,6 +472,25 @@ def context_budget(spark, sf):
     return kept.select("app", "section", "pos_in_section", ROW_ID, "used")
 
 
+def before_failures(spark, sf):
+    """The last record of the same app before each failed one."""
+    logs = _lost(_logs(spark, sf))
+    before = logs.select("app", "timestamp", ROW_ID, F.col(ROW_ID).alias("last_id"), F.col("level").alias("last_level"))
+    failed = logs.where(F.col("level").isin(*D.FAILURE_LEVELS)).select(ROW_ID, "app", "timestamp", "level")
+    return temporal.asof_join(failed, before, ["app"], "timestamp", ROW_ID, ["last_id", "last_level"], 6 * 3600)
+
+
+def questions_in_alerts(spark, sf):
+    """Questions about an app from six hours before to thirty hours after the start of a day of many errors."""
+    rates = metrics.error_rate_by_app(_lost(_logs(spark, sf))).where("error_rate > 0.25")
+    alerts = rates.select(
+        "app", F.col("day").alias("alert_day"), F.expr("cast(day as timestamp_ntz) - interval 6 hours").alias("first"),
+        F.expr("cast(day as timestamp_ntz) + interval 30 hours").alias("last"),
+    )
+    asked = _questions(spark, sf).select("question_id", "app", "asked_at")
+    return temporal.overlap_join(asked, alerts, ["app"], ("asked_at", "asked_at"), ("first", "last"), ["alert_day"], 24 * 3600)
+
+
 def recorded_query(spark, sf):
     out, journal = scratch_path(spark, "result"), scratch_path(spark, "journal")
     statement = "SELECT _rowid, app, message FROM {logs} WHERE level = ?"
@@ -635,7 +655,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         scrub_target_columns, scrub_tokens, scrub_nested, redaction_audit, tracebacks, payload_tracebacks,
         failure_lines, trace_kind, failure_text, document_failure_lines, exception_profile, top_exceptions,
         recent_failures, context_sample, context_payload, sample_text, route_questions, route_conversations,
-        route_mix, route_fanout, diagnosis, failure_places, incident_report, telling_exceptions, context_budget, recorded_query,
+        route_mix, route_fanout, diagnosis, failure_places, incident_report, telling_exceptions, context_budget, before_failures, questions_in_alerts, recorded_query,
         alert_reports, visible_records, tailed_logs, streamed_error_rate,
     ):
         found[f.__name__] = f
@@ -951,6 +971,14 @@ def oracle_sql() -> dict[str, str]:
         + _sampled("app", "timestamp, _rowid, pos", split.replace("FROM logs", "FROM failed").replace("app, source_file,", "app,")) + ", "
         + payload_texts.format(group="app") + " SELECT subject, failures, " + _clean("analysis") + " AS analysis, " + _clean(payload_cut) + " AS evidence "
         "FROM diagnoses d LEFT JOIN texts p ON p.app IS NOT DISTINCT FROM d.app",
+        "before_failures": f"{lost}, placed AS (SELECT *, coalesce(app, '(none)') AS a, CAST(epoch(timestamp) AS BIGINT) * 1000000000 + _rowid AS k FROM logs) "
+        "SELECT f._rowid, f.app, f.timestamp, f.level, b._rowid AS last_id, b.level AS last_level "
+        "FROM (SELECT * FROM placed WHERE level IN ('ERROR', 'FATAL')) f ASOF LEFT JOIN placed b ON f.a = b.a AND f.k > b.k",
+        "questions_in_alerts": f"{lost}, questions AS ({_derived(E.QUESTIONS_SQL)}), "
+        "rates AS (SELECT app, CAST(timestamp AS DATE) AS day FROM logs GROUP BY ALL "
+        "HAVING round(sum(CASE WHEN level = 'ERROR' THEN 1 ELSE 0 END) / count(*), 6) > 0.25) "
+        "SELECT q.question_id, q.app, q.asked_at, r.day AS alert_day FROM questions q JOIN rates r ON q.app IS NOT DISTINCT FROM r.app "
+        "AND q.asked_at BETWEEN r.day - INTERVAL 6 HOUR AND r.day + INTERVAL 30 HOUR",
         "failure_places": f"{lost}, {_EXC} SELECT app, {_clean('frame')} AS frame, count(*) AS traces FROM exceptions "
         "WHERE level IN ('ERROR', 'FATAL') GROUP BY ALL",
         "incident_report": f"{logs}, {_EXC}, {_diagnosis('app')}, questions AS ({_derived(E.QUESTIONS_SQL)}), statements AS ({_derived(E.STATEMENTS_SQL)}), "
