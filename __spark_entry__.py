@@ -536,6 +536,18 @@ def streamed_error_rate(spark, sf):
     return spark.read.parquet(out)
 
 
+def streamed_and_late(spark, sf):
+    """Records per app of a stream whose files come a few at a time: those in windows and the late ones."""
+    source, out = scratch_path(spark, "tail"), scratch_path(spark, "windows")
+    tail.tail_logs(spark, _log_files(spark, sf), source, scratch_path(spark, "checkpoint"), files_per_batch=2).awaitTermination()
+    records = tail.record_stream(spark, source, files_per_batch=4)
+    tail.count_and_keep_late(records, out, scratch_path(spark, "checkpoint")).awaitTermination()
+    both = tail.window_totals(spark, out).select("app", "records", "errors").union(
+        tail.late_rows(spark, out).select("app", F.lit(1), F.when(F.col("level") == "ERROR", 1).otherwise(0))
+    )
+    return both.groupBy("app").agg(F.sum("records").alias("records"), F.sum("errors").alias("errors"))
+
+
 def _on_tables(statement: str, *names: str) -> Callable[[SparkSession, str], DataFrame]:
     """A guarded statement over driver tables, the same text in both engines."""
 
@@ -656,7 +668,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         failure_lines, trace_kind, failure_text, document_failure_lines, exception_profile, top_exceptions,
         recent_failures, context_sample, context_payload, sample_text, route_questions, route_conversations,
         route_mix, route_fanout, diagnosis, failure_places, incident_report, telling_exceptions, context_budget, before_failures, questions_in_alerts, recorded_query,
-        alert_reports, visible_records, tailed_logs, streamed_error_rate,
+        alert_reports, visible_records, tailed_logs, streamed_error_rate, streamed_and_late,
     ):
         found[f.__name__] = f
     for name, (statement, tables) in PASS_THROUGH.items():
@@ -1021,6 +1033,7 @@ def oracle_sql() -> dict[str, str]:
         "streamed_error_rate": f"{logs} SELECT app, date_trunc('hour', timestamp) AS window_start, count(*) AS records, "
         "count(*) FILTER (level = 'ERROR') AS errors, round(count(*) FILTER (level = 'ERROR') / count(*), 6) AS error_rate FROM logs "
         "WHERE date_trunc('hour', timestamp) + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM logs) GROUP BY ALL",
+        "streamed_and_late": f"{logs} SELECT app, count(*) AS records, count(*) FILTER (level = 'ERROR') AS errors FROM logs GROUP BY app",
         "errors_by_app": f"{logs} SELECT app, count(*) AS errors FROM logs WHERE level = 'ERROR' GROUP BY app",
         "errors_on_day": f"{logs} SELECT count(*) AS errors FROM logs WHERE level = 'ERROR' AND CAST(timestamp AS DATE) = DATE '{DAY}'",
         "top5_apps": f"{logs} SELECT app, count(*) AS errors FROM logs WHERE level = 'ERROR' GROUP BY app ORDER BY errors DESC, app LIMIT 5",

@@ -92,3 +92,60 @@ def windowed_error_rate(records: DataFrame, window: str = "1 hour", delay: str =
         "app", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "records", "errors",
         F.round(F.col("errors") / F.col("records"), 6).alias("error_rate"),
     )
+
+
+_COUNTS = f"app string, window_start timestamp_ntz, records long, errors long, last long, {_BATCH} long"
+
+
+def count_and_keep_late(
+    records: DataFrame, out: str, checkpoint: str, window: int = 3600, delay: int = 600, trigger: dict | None = None
+) -> StreamingQuery:
+    """Records and errors per app and window of `window` seconds, with a side table of the records that came too late.
+
+    A window is closed once a batch has ended that saw a record more than `delay` seconds past the window's end.  What comes
+    for it later, and records without a time, goes to the side table whole, so `window_totals` and `late_rows` add up to
+    the input.  Whether a row is late follows from the latest time of the batches before, which each batch stores; so a batch that is run again
+    after a failure replaces its folders by the same rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = _latest(spark, out, batch_id - 1) if batch_id else None
+        at = F.unix_micros(F.col("timestamp").cast("timestamp_ltz"))
+        start = F.floor(at / (window * 1_000_000)) * window
+        closed = F.lit(False) if before is None else (start + window) * 1_000_000 <= before - delay * 1_000_000
+        late = F.col("timestamp").isNull() | closed
+        rows = batch.drop(_BATCH)
+        rows.where(late).write.mode("overwrite").parquet(f"{out}/late/{_BATCH}={batch_id}")
+        counts = rows.where(~late).groupBy("app", F.timestamp_seconds(start).cast("timestamp_ntz").alias("window_start")).agg(
+            F.count(F.lit(1)).alias("records"), F.count_if(F.col("level") == "ERROR").alias("errors"), F.max(at).alias("last")
+        )
+        of_batch = f"{out}/counts/{_BATCH}={batch_id}"
+        counts.write.mode("overwrite").parquet(of_batch)
+        latest = spark.read.schema(_COUNTS).parquet(of_batch).agg(F.greatest(F.max("last"), F.lit(before).cast("long")).alias("latest"))
+        latest.write.mode("overwrite").parquet(f"{out}/latest/{_BATCH}={batch_id}")
+
+    return (
+        records.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def _latest(spark: SparkSession, out: str, batch_id: int) -> int | None:
+    """The latest time, in microseconds, that a batch or one before it has seen."""
+    return spark.read.schema("latest long").parquet(f"{out}/latest/{_BATCH}={batch_id}").first()["latest"]
+
+
+def window_totals(spark: SparkSession, out: str) -> DataFrame:
+    """What `count_and_keep_late` has counted: app, window_start, records, errors, error_rate.  The latest windows may still grow."""
+    counts = spark.read.schema(_COUNTS).parquet(f"{out}/counts")
+    sums = counts.groupBy("app", "window_start").agg(F.sum("records").alias("records"), F.sum("errors").alias("errors"))
+    return sums.withColumn("error_rate", F.round(F.col("errors") / F.col("records"), 6))
+
+
+def late_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The records that `count_and_keep_late` has kept apart, with the batch that brought them."""
+    schema = T.StructType([*LOG_SCHEMA.fields, T.StructField(_BATCH, T.LongType())])
+    return spark.read.schema(schema).parquet(f"{out}/late")

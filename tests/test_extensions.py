@@ -86,6 +86,30 @@ def test_late_and_timeless_records_are_counted(spark, tmp_path):
     assert tail.without_time(spark.read.parquet(out)).count() == 4
 
 
+def test_late_records_are_kept_apart(spark, tmp_path):
+    """Windows and side table add up to the input, also when all batches are run again."""
+    source, out = str(tmp_path / "records"), str(tmp_path / "windows")
+    for i, hour in enumerate((1, 9, 15, 2, 15)):
+        df = spark.range(4).select(
+            F.when(F.col("id") > 0, F.lit(f"2031-01-01 {hour:02d}:00:00")).cast("timestamp_ntz").alias("timestamp"),
+            F.when(F.col("id") == 1, "ERROR").otherwise("INFO").alias("level"), F.when(F.col("id") > 1, "a").alias("app"),
+            F.lit("f").alias("source_file"), F.col("id").alias("line_number"), F.lit("m").alias("message"),
+        )
+        df.coalesce(1).write.parquet(f"{source}/batch={i}")
+        time.sleep(1.1)  # files are read in the order of their times
+    for attempt in ("c1", "c2"):
+        records = tail.record_stream(spark, source, files_per_batch=1)
+        tail.count_and_keep_late(records, out, str(tmp_path / attempt)).awaitTermination()
+        totals = sorted((str(w), a or "", n, e, r) for a, w, n, e, r in rows(tail.window_totals(spark, out)))
+        assert totals == [
+            (f"2031-01-01 {h:02d}:00:00", a, n * k, n * (a == ""), 1.0 if a == "" else 0.0)
+            for h, n in ((1, 1), (9, 1), (15, 2)) for a, k in (("", 1), ("a", 2))
+        ]
+        late = tail.late_rows(spark, out)
+        assert late.where("timestamp is null").count() == 5
+        assert sorted(rows(late.where("timestamp is not null"), "line_number", "batch")) == [(1, 3), (2, 3), (3, 3)]
+
+
 def test_recorded_query(spark, tmp_path):
     logs = spark.createDataFrame([(1, "a@b.cc"), (2, "x"), (3, None)], "n long, message string")
     out, journal = str(tmp_path / "out"), str(tmp_path / "journal")
