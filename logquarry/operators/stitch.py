@@ -50,7 +50,10 @@ def stitch(
     """
     # Everything below starts from this one shuffle.  What is taken from a line is worked
     # out after it, so that each use needs the same columns and the shuffle is shared.
-    marked = split_to_lines(lines).repartition("file", "block")
+    # Its number of parts is fixed, because small ones that are joined up to a size of compressed
+    # bytes may hold many times as much memory; every window below sorts what a part holds.
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = split_to_lines(lines).repartition(parts, "file", "block")
     in_block = Window.partitionBy("file", "block").orderBy("seq", "pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

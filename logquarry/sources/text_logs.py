@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from logquarry.functions import lines as L
 from logquarry.operators.stitch import split_to_lines, stitch
 
+_BLOCK_BITS = 16  # rows of a split that one task puts in order: 2 ** _BLOCK_BITS
+
 
 def escape_glob(path: str) -> str:
     """`path` with the characters that would start a file pattern taken literally."""
@@ -21,7 +23,8 @@ def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of the files under `path`, or several paths, with their order key.
 
     The id grows in file order inside a split, and the split's start orders the
-    splits, so no file is read whole.  A compressed file is one split.
+    splits, so no file is read whole.  A split is cut into blocks of ``2 ** _BLOCK_BITS``
+    ids, so that neither its size nor a compressed file, which is one split, decides what a task holds.
     """
     try:
         raw = spark.read.text(path)
@@ -29,12 +32,13 @@ def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no log at {path}") from error
         raise
-    return raw.select(
+    placed = raw.select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("seq"),
         "value",
     )
+    return placed.select("file", F.struct("start", F.shiftright("seq", _BLOCK_BITS).alias("part")).alias("block"), "seq", "value")
 
 
 def read_logs(

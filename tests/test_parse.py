@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from logquarry.functions import lines as L
 from logquarry.operators.stitch import parse_lines, parse_texts
 from logquarry.schema import LOG_COLUMNS
-from logquarry.sources.text_logs import count_records, escape_glob, read_logs
+from logquarry.sources import text_logs
+from logquarry.sources.text_logs import count_records, escape_glob, read_log_lines, read_logs
 
 HEAD = "2031-05-06 07:08:09 [ERROR] night_job (load.py:31): copy stopped"
 WHEN = datetime(2031, 5, 6, 7, 8, 9)
@@ -187,3 +188,17 @@ def test_line_splitting_matches_splitlines(spark):
     text = "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g\u2028h\u2029i\r\nj\rk\nl"
     df = spark.createDataFrame([(text,)], "t string").select(L.split_lines(F.col("t")).alias("x"))
     assert df.first()["x"] == text.splitlines()
+
+
+@pytest.mark.parametrize("suffix", ["", ".gz"])
+def test_a_split_is_put_in_order_in_blocks(spark, tmp_path, monkeypatch, suffix):
+    monkeypatch.setattr(text_logs, "_BLOCK_BITS", 2, raising=False)
+    text = "lead\n\n" + "".join(f"{HEAD} {i}\n" + f"more {i}\n" * (i % 11) for i in range(60))
+    for name in ("a", "b"):
+        with (gzip.open if suffix else open)(tmp_path / f"{name}.log{suffix}", "wt") as out:
+            out.write(text)
+    blocks = read_log_lines(spark, str(tmp_path)).groupBy("file", "block").count()
+    assert blocks.agg(F.max("count")).first()[0] <= 4
+    got = read_logs(spark, str(tmp_path), row_ids=True).orderBy("_rowid").collect()
+    assert [r["_rowid"] for r in got] == list(range(120))
+    assert [r["message"] for r in got] == [f"copy stopped {i}" + f"\nmore {i}" * (i % 11) for i in range(60)] * 2
