@@ -266,7 +266,8 @@ def _stars(open_: DataFrame, known: DataFrame | None = None) -> DataFrame:
     other = open_.join(best, "key").where(F.col("root") != F.col("p1.root")).groupBy("key").agg(most.alias("p2"))
     pivots = best.join(other, "key", "left")
     pivot = F.when(F.col("root") != F.col("p1.root"), F.col("p1")).otherwise(F.col("p2"))
-    pairs = open_.join(pivots, "key").select("id", pivot.alias("p")).where("p is not null")
+    # A member meets one pivot in many buckets; it is one pair from here on.
+    pairs = open_.join(pivots, "key").select("id", pivot.alias("p")).where("p is not null").distinct()
     if known is not None:
         seen = known.select(F.col("a").alias("id"), F.col("b").alias("pid")).union(known.select("b", "a"))
         pairs = pairs.withColumn("pid", F.col("p.id")).join(seen, ["id", "pid"], "left_anti")
