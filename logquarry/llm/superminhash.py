@@ -9,7 +9,8 @@ Documents with equal sets are one node from the start.  Nodes with ``ROWS`` equa
 A bucket is never paired with itself as a whole.  In each of a few rounds a member is held against one pivot of another
 component, the one that meets most members in its buckets, and components grow by the links found.  Only members of one
 bucket that are in different components after that are paired, where their known distances to a common pivot leave it open (the
-Jaccard distance obeys the triangle inequality).  So copies of one text cost a comparison a round each, and no link between
+Jaccard distance obeys the triangle inequality) and so do the parities of their sets, which no two near sets can differ in by more bits
+than they may by shingles.  So copies of one text cost a comparison a round each, and no link between
 different components is lost.
 """
 
@@ -33,16 +34,19 @@ PERCENT = 80
 COMPONENTS, ROWS = 128, 4  # two sets with a similarity of 0.8 share none of the 32 bands once in 20 million times
 # Each component gives one bit.  Of sets with a similarity of 0.8 a tenth of the bits differ, six deviations are 33.
 MOST_BITS = 33
-PIVOTS = 8  # rounds with pivots, while they find links, before what is left is paired
+# Each shingle falls on one bit of a set, which is set if an odd number does.  Of two sets no more bits differ than shingles do.
+PARITY_LONGS = 32
+PIVOTS = 8  # rounds with pivots, while they join components, before what is left is paired
+PIVOT_SHARE = 10  # a further round follows one that left at least one in so many components fewer
 FILTER_BITS = 24
 
 _PART = 1 << 17  # shingles that are ranked at once; bounds memory only
 _GOLDEN, _ONE, _TWO = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _SETS = pa.schema(
     [("doc_id", pa.int64()), ("th", pa.int64()), ("tg", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("g", pa.int64()),
-     ("bands", pa.list_(pa.int64())), ("k0", pa.int64()), ("k1", pa.int64())]
+     ("bands", pa.list_(pa.int64())), ("k0", pa.int64()), ("k1", pa.int64()), ("odd", pa.list_(pa.int64()))]
 )
-_COLUMNS = "doc_id bigint, th bigint, tg bigint, n bigint, h bigint, g bigint, bands array<bigint>, k0 bigint, k1 bigint"
+_COLUMNS = "doc_id bigint, th bigint, tg bigint, n bigint, h bigint, g bigint, bands array<bigint>, k0 bigint, k1 bigint, odd array<bigint>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -117,8 +121,18 @@ def _sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
     return [shingle_set(t.as_py(), shingle) for t in texts]
 
 
+def parities(sets: list[np.ndarray], longs: int = PARITY_LONGS) -> np.ndarray:
+    """A row per set: for each of 64 * ``longs`` bits whether an odd number of the set's shingles falls on it."""
+    out = np.empty((len(sets), longs), np.int64)
+    for row, items in zip(out, sets):
+        odd = np.bincount((_mix(items) % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
+        row[:] = np.packbits(odd.astype(bool)).view(np.int64)
+    return out
+
+
 def _described(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, th and tg (for the text), n (shingles), h and g (for the set), bands, k0 and k1 (bits of the signature)."""
+    """doc_id, th and tg (for the text), n (shingles), h and g (for the set), bands, k0 and k1 (bits of the signature), odd
+    (parities of the set)."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -139,6 +153,9 @@ def _described(docs: DataFrame, shingle: int) -> DataFrame:
                 *(batch.column(c) for c in ("doc_id", "th", "tg")), pa.array([len(s) for s in sets], pa.int64()),
                 *(pa.array(np.ascontiguousarray(digests[:, i])) for i in (0, 1)), bands,
                 *(pa.array(np.ascontiguousarray(bits[:, i])) for i in (0, 1)),
+                pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(sets) + 1) * PARITY_LONGS, pa.int32()), pa.array(parities(sets).ravel())
+                ),
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=_SETS)
 
@@ -198,15 +215,18 @@ def _compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _possible(percent: int) -> Column:
-    """Whether the sizes and signatures of a pair allow the similarity."""
+    """Whether the sizes, parities and signatures of a pair allow the similarity."""
     sizes = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
     bits = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in ("k0", "k1"))
     # Below 0.8 more bits may differ; each point less lets a two-hundredth of them.
-    return sizes & (bits <= MOST_BITS + max(0, PERCENT - percent) * COMPONENTS // 200)
+    signed = bits <= MOST_BITS + max(0, PERCENT - percent) * COMPONENTS // 200
+    # Shingles of one set only are at least as many as the bits that differ.
+    apart = sum(F.bit_count(F.col("aodd")[i].bitwiseXOR(F.col("bodd")[i])) for i in range(PARITY_LONGS))
+    return sizes & signed & ((100 + percent) * apart <= (100 - percent) * (F.col("an") + F.col("bn")))
 
 
 def _side(nodes: DataFrame, x: str) -> DataFrame:
-    return nodes.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}{c}") for c in ("n", "k0", "k1")])
+    return nodes.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}{c}") for c in ("n", "k0", "k1", "odd")])
 
 
 def _judged(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, known: DataFrame | None, shingle: int, percent: int) -> DataFrame:
@@ -225,25 +245,27 @@ def _judged(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, known: DataFra
 
 
 def links(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """a, b: pairs of ``nodes`` (id, th, tg, n, bands, k0, k1) whose sets are near, which connect all that are and share
+    """a, b: pairs of ``nodes`` (id, th, tg, n, bands, k0, k1, odd) whose sets are near, which connect all that are and share
     a band."""
     entries = nodes.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = settle(entries.join(buckets, "key"), "shared")
     # The more members a node meets in its buckets, the nearer it is to the middle of a group of copies.
     met = shared.groupBy("id").agg(F.sum("size").alias("met"))
-    wanted = settle(nodes.select("id", "th", "tg", "n", "bands", "k0", "k1").join(met, "id"), "wanted")
+    wanted = settle(nodes.select("id", "th", "tg", "n", "bands", "k0", "k1", "odd").join(met, "id"), "wanted")
     shared = settle(shared.select("id", "band", "key").join(wanted.select("id", "met"), "id"), "shared")
     texts = settle(_texts(docs, wanted.select("id", "th", "tg")), "texts")
 
     known = first = _judged(_stars(_open(shared, None)), wanted, texts, None, shingle, percent)
+    open_, before = _open(shared, known.where("near")), None
     for _ in range(PIVOTS):
-        open_ = _open(shared, known.where("near"))
+        roots = open_.select("root").distinct().count()
+        if not roots or before is not None and PIVOT_SHARE * (before - roots) < before:
+            break
+        before = roots
         more = _judged(_stars(open_, known), wanted, texts, known, shingle, percent)
         known = settle(known.union(more), "known")
-        if more.where("near").isEmpty():
-            break
-    open_ = _open(shared, known.where("near"))
+        open_ = _open(shared, known.where("near"))
     left = _judged(_apart(open_, first, wanted, percent), wanted, texts, known, shingle, percent)
     return known.union(left).where("near").select("a", "b")
 
@@ -282,7 +304,7 @@ def _apart(open_: DataFrame, first: DataFrame, nodes: DataFrame, percent: int) -
     nearest = seen.groupBy("id").agg(F.min(F.struct("far", "pivot")).alias("to"))
     placed = open_.select("key", "band", "id", "root").join(nearest, "id", "left").join(nodes.drop("th", "tg", "met"), "id")
     one, two = (
-        placed.select("key", *[F.col(c).alias(f"{x}{c}") for c in ("band", "id", "root", "to", "n", "k0", "k1", "bands")])
+        placed.select("key", *[F.col(c).alias(f"{x}{c}") for c in ("band", "id", "root", "to", "n", "k0", "k1", "odd", "bands")])
         for x in "ab"
     )
     reach = F.abs(F.col("ato.far") - F.col("bto.far")) <= 1 - percent / 100 + 1e-9
@@ -304,9 +326,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     described = _described(_with_text_hash(docs), shingle).withColumn("id", F.monotonically_increasing_id())
     rows = settle(described, "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    same = [F.first(c).alias(c) for c in ("n", "bands", "k0", "k1")]
+    same = [F.first(c).alias(c) for c in ("n", "bands", "k0", "k1", "odd")]
     grouped = rows.where("n > 0").groupBy("h", "g").agg(F.min(F.struct("id", "th", "tg")).alias("own"), first, *same)
-    nodes = settle(grouped.select("h", "g", "own.*", "first", "n", "bands", "k0", "k1"), "nodes")
+    nodes = settle(grouped.select("h", "g", "own.*", "first", "n", "bands", "k0", "k1", "odd"), "nodes")
     roots = components(links(nodes, docs, shingle, percent)).withColumnRenamed("node", "id")
     rooted = nodes.select("h", "g", "id", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = settle(rooted, "rooted")

@@ -148,3 +148,37 @@ def test_odd_input(docs, clashing):
     assert _got(S.near_duplicates(df, 2)) == sorted(
         [(5, 399_999, 5), (9, 400_000, 5), (2, 1, 2), (2, 1, 2), (7, 0, 7)], key=str
     )
+
+
+def test_parities_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    whole = rng.integers(0, 2**64, 3000, np.uint64)
+    sets = [whole[: rng.integers(0, 3000)] for _ in range(30)] + [whole[::2], whole[:0]]
+    odd = S.parities(sets)
+    assert odd.shape == (32, S.PARITY_LONGS) and not odd[-1].any()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            bits = int(np.unpackbits((odd[i] ^ odd[j]).view(np.uint8)).sum())
+            apart = len(np.setxor1d(a, b))
+            assert bits <= apart and (apart - bits) % 2 == 0 and (i != j or not bits)
+
+
+def test_a_group_of_which_none_are_near_is_not_compared(docs, monkeypatch):
+    rng = random.Random(10)
+    base = [f"g{i}" for i in range(140)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(140), 8):
+            words[at] = f"own{i}at{at}"
+        rows.append((i, " ".join(words)))
+    made, compared = [], S._compared
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(S, "_compared", counted)
+    near = rows + [(200 + i, t + " end") for i, t in rows[:5]]
+    assert _got(S.near_duplicates(docs(near), 2)) == _plain(near, 2, 80)
+    assert sum(made) < len(near)
